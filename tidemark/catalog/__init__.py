@@ -1,9 +1,9 @@
 """All registered queries: name -> (query, SQL check or None)."""
 
-from tidemark.catalog import readings, request_tables
+from tidemark.catalog import readings, request_tables, telemetry, upkeep
 
 CATALOG: dict = {}
-for _area in (readings, request_tables):
+for _area in (readings, request_tables, upkeep, telemetry):
     for _name, _entry in _area.CATALOG.items():
         if _name in CATALOG:
             raise ValueError(f"query {_name} registered twice")

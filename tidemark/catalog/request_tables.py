@@ -70,7 +70,7 @@ add("lookup_by_id", lambda s, d: plain(B.lookup_ids(requests_at(s, d), events(s,
     CASE WHEN q.error_param IS NOT NULL THEN 'INVALID_PARAMETER' WHEN r.id IS NULL THEN 'READING_NOT_FOUND'
     ELSE 'OK' END AS outcome, r.device_id, r.ts, r.reading_type, r.value, r.unit, r.metadata
     FROM checked q LEFT JOIN readings r ON q.error_param IS NULL AND r.id = q.row_id
-    WHERE q.mode = 'id' OR q.mode IS NULL""")
+    WHERE q.mode = 'id'""")
 add("latest_for_requests", lambda s, d: plain(_hits(s, d).drop("unit", "metadata")),
     "SELECT request_id, CAST(rn AS INTEGER) AS rn, id, device_id, ts, reading_type, value FROM answers")
 add("request_outcomes", lambda s, d: B.request_outcome(requests_at(s, d), _hits(s, d)),

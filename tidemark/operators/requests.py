@@ -64,11 +64,11 @@ def validate_requests(req: DataFrame) -> DataFrame:
 
 
 def lookup_ids(parsed: DataFrame, readings: DataFrame) -> DataFrame:
-    """Every id request with its reading, ``OK``, ``READING_NOT_FOUND`` or its error.
+    """Every request by id alone with its reading, ``OK``, ``READING_NOT_FOUND`` or its error.
 
     Readings meet each wanted id once, however often it is requested.
     """
-    asked = parsed.where((F.col("mode") == "id") | (F.col("mode").isNull()))
+    asked = parsed.where("mode = 'id'")
     wanted = asked.where("error_code is null").select("id").distinct()
     found = readings.select(*READING_COLUMNS).join(wanted, "id")
     hits = found.select(F.col("id").alias("_id"), *READING_COLUMNS[1:], F.lit(True).alias("_hit"))
@@ -192,14 +192,19 @@ def _bounded(asked: DataFrame, series: DataFrame, bucket_seconds: int) -> DataFr
     answers = picks.join(rows, [*keys, "pos"]).withColumn(
         "rn", (F.col("pos") - F.col("_after")).cast("int")
     )
-    same = [answers[c].eqNullSafe(asked[c]) for c in question] + [answers["rn"] <= asked["limit"]]
-    return answers.join(asked, same).select(
-        asked["request_id"], *[answers[c] for c in ("rn", "id", "device_id", *RECORD)]
+    who = asked.select(
+        "request_id",
+        *[F.col(c).alias(f"_{c}") for c in question],
+        F.col("limit").alias("_limit"),
     )
+    same = F.col("rn") <= F.col("_limit")
+    for c in question:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return answers.join(who, same).select("request_id", "rn", "id", "device_id", *RECORD)
 
 
 def request_outcome(parsed: DataFrame, hits: DataFrame) -> DataFrame:
-    """Outcome and row count of every device request.
+    """Outcome and row count of every request that is not by id alone.
 
     No rows and no bound means that the device is unknown; no rows within bounds is a success.
     """
