@@ -80,15 +80,15 @@ def samples(s, d) -> DataFrame:
 def counters_sql(cells: dict[str, str]) -> str:
     """Cumulative values per endpoint and day, and their growth with the midnight restart."""
     sums = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in cells.items())
-    runs = ", ".join(f"sum({n}) OVER (PARTITION BY endpoint, day ORDER BY at) AS {n}" for n in cells)
+    runs = ", ".join(f"sum({n}) OVER (PARTITION BY endpoint, day ORDER BY scraped_at) AS {n}" for n in cells)
     grown = ", ".join(
         f"CASE WHEN lag({n}) OVER w IS NULL THEN NULL WHEN {n} < lag({n}) OVER w THEN {n} ELSE {n} - lag({n}) OVER w END AS {n}"
         for n in cells)
     return f"""
 scraped AS (SELECT endpoint, status, CAST(ts AS DATE) AS day,
-    to_timestamp(CAST(epoch_us(ts) // 1000000 // {SCRAPE} * {SCRAPE} + {SCRAPE} AS DOUBLE))::TIMESTAMP AS at, {sums} FROM log GROUP BY ALL),
-cumulated AS (SELECT endpoint, status, day, at, {runs} FROM scraped),
-grown AS (SELECT endpoint, status, at, {grown} FROM cumulated WINDOW w AS (PARTITION BY endpoint ORDER BY at))"""
+    to_timestamp(CAST(epoch_us(ts) // 1000000 // {SCRAPE} * {SCRAPE} + {SCRAPE} AS DOUBLE))::TIMESTAMP AS scraped_at, {sums} FROM log GROUP BY ALL),
+cumulated AS (SELECT endpoint, status, day, scraped_at, {runs} FROM scraped),
+grown AS (SELECT endpoint, status, scraped_at, {grown} FROM cumulated WINDOW w AS (PARTITION BY endpoint ORDER BY scraped_at))"""
 
 
 def bucket_sql(seconds: int, col: str = "ts") -> str:
@@ -197,19 +197,19 @@ for q in (50, 95, 99):
 LE_CELLS = {f"le{i}": (f"count(*) FILTER (WHERE cents <= {b} * 100000)") for i, b in enumerate(T.LATENCY_BOUNDS)} | {"le12": "count(*)"}
 RATE_HIST = counters_sql(LE_CELLS) + """,
 hist AS (""" + " UNION ALL ".join(
-    f"SELECT {bucket_sql(3600, 'at')} AS window_start, endpoint, {b if b is not None else 'NULL'}::DOUBLE AS le, sum(le{i}) / 3600 AS rate FROM grown WHERE le{i} IS NOT NULL GROUP BY ALL"
+    f"SELECT {bucket_sql(3600, 'scraped_at')} AS window_start, endpoint, {b if b is not None else 'NULL'}::DOUBLE AS le, sum(le{i}) / 3600 AS rate FROM grown WHERE le{i} IS NOT NULL GROUP BY ALL"
     for i, b in enumerate([*T.LATENCY_BOUNDS, None])) + ")"
 add("windowed_quantile", lambda s, d: plain(T.histogram_quantile(
         T.counter_rate(samples(s, d), "http_request_duration_seconds_bucket", ["endpoint", "le"], 3600), 0.95, ["window_start", "endpoint"], "rate")),
     f", {RATE_HIST}, {quantile_sql(0.95, 'window_start, endpoint', 'rate')} SELECT * FROM quantiles")
 for seconds in (600, 3600):
     add(f"request_rate_{seconds}s", lambda s, d, n=seconds: plain(T.counter_rate(samples(s, d), "http_requests_total", ["endpoint"], n)),
-        f", {counters_sql({'n': 'count(*)'})} SELECT {bucket_sql(seconds, 'at')} AS window_start, endpoint, sum(n) / {seconds} AS rate FROM grown WHERE n IS NOT NULL GROUP BY ALL")
+        f", {counters_sql({'n': 'count(*)'})} SELECT {bucket_sql(seconds, 'scraped_at')} AS window_start, endpoint, sum(n) / {seconds} AS rate FROM grown WHERE n IS NOT NULL GROUP BY ALL")
 add("mean_latency", lambda s, d: plain(T.mean_from_hist(samples(s, d), "http_request_duration_seconds", ["endpoint"], 3600)),
-    f""", {counters_sql({'c': 'count(*)', 'v': 'sum(cents)'})} SELECT {bucket_sql(3600, 'at')} AS window_start, endpoint,
+    f""", {counters_sql({'c': 'count(*)', 'v': 'sum(cents)'})} SELECT {bucket_sql(3600, 'scraped_at')} AS window_start, endpoint,
     sum(v) / 3600 AS per_second, (sum(v) / 3600) / nullif(sum(c) / 3600, 0) AS mean FROM grown WHERE c IS NOT NULL GROUP BY ALL""")
 add("block_hit_share", lambda s, d: plain(T.share_of(samples(s, d), "pg_stat_database_blks_hit", "pg_stat_database_blks_read", [], 3600)),
-    f""", {counters_sql({'h': 'sum(rows)', 'r': 'sum(100 - rows)'})} SELECT {bucket_sql(3600, 'at')} AS window_start,
+    f""", {counters_sql({'h': 'sum(rows)', 'r': 'sum(100 - rows)'})} SELECT {bucket_sql(3600, 'scraped_at')} AS window_start,
     sum(h) / 3600 AS num, sum(r) / 3600 AS den, (sum(h) / 3600) / nullif(sum(h) / 3600 + sum(r) / 3600, 0) AS ratio
     FROM grown WHERE h IS NOT NULL GROUP BY ALL""")
 add("gauge_last", lambda s, d: T.gauge_last(samples(s, d), "http_requests_in_flight", ["device"]),
@@ -322,7 +322,7 @@ add("alerts", lambda s, d: plain(K.alerts(alert_series(s, d), K.rules_table(s, A
     judged AS (SELECT *, value > threshold AS is_on FROM series JOIN rules USING (rule)),
     runs AS (SELECT *, row_number() OVER (PARTITION BY rule, series ORDER BY ts) - row_number() OVER (PARTITION BY rule, series, is_on ORDER BY ts) AS g FROM judged)
     SELECT rule, series, severity, component, min(ts) AS pending_since, min(ts) + INTERVAL 2 HOUR AS firing_since, max(ts) AS last_true, max(value) AS peak
-    FROM runs WHERE is_on GROUP BY rule, series, severity, component, hold, g HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= hold * 1000000""")
+    FROM runs WHERE is_on GROUP BY rule, series, severity, component, hold, g HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= CAST(hold AS BIGINT) * 1000000""")
 add("activity_islands", lambda s, d: plain(gap_islands(events(s, d), ["device_id"], ["ts", "id"], 43200)
         .groupBy("device_id", "island").agg(F.max("ts").alias("island_end"), F.count(F.lit(1)).alias("reading_count"))),
     """, marked AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 43200000000 THEN 0 ELSE 1 END AS opens FROM readings WINDOW w AS (PARTITION BY device_id ORDER BY ts, id)),

@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import gap_islands, running_max
+from tidemark.functions.ship import ship
+from tidemark.session import written
+
+ship(__name__)
 
 MICROS = 1_000_000
 FANOUT = 128
+FOLD_INSTANTS = 4096
 NEVER = -(2**62)
 
 
@@ -48,7 +53,8 @@ def unambiguous_key() -> Column:
 # A fill opens a stretch of ``ttl`` in which the key's requests are hits; the next fill is the
 # first fillable request after that stretch. Fillable requests at least one ttl apart always
 # fill, so the key's time line falls into islands that start with a fill. In an island shorter
-# than ttl that is the only one. Longer islands are cut into chunks of time. Within a chunk, the
+# than ttl that is the only one, and an island of few instants is folded as one short array.
+# The others are cut into chunks of time. Within a chunk, the
 # last fill is a step function of the moment from which filling is allowed again, and that
 # moment lies less than one ttl into the chunk: the steps of its first ttl sum the chunk up.
 # Summaries of neighbouring chunks are chained into larger chunks, up to one chain per island,
@@ -139,7 +145,8 @@ def _chain_fills(instants: DataFrame, ttl: int) -> DataFrame:
             place = int(np.searchsorted(times, times[place] + ttl))
         return pd.DataFrame({"key": group[0], "_t": np.array(picked, dtype=np.int64)})
 
-    small = chunked.groupBy(*LINE, "chunk").applyInPandas(summarise, STEPS)
+    # Used on the way up and on the way down.
+    small = written(chunked.groupBy(*LINE, "chunk").applyInPandas(summarise, STEPS), "reuse-steps")
     nested = small.withColumn("parent", F.floor(F.col("chunk") / FANOUT))
     large = nested.groupBy(*LINE, "parent").applyInPandas(chain, STEPS)
     large_states = large.groupBy(*LINE).applyInPandas(over_island, STATES)
@@ -155,7 +162,24 @@ def _chain_fills(instants: DataFrame, ttl: int) -> DataFrame:
     )
 
 
-def ttl_status(log: DataFrame, ttl_seconds: int = 30) -> DataFrame:
+def _folded_fills(instants: DataFrame, ttl: int) -> DataFrame:
+    """Fill times of islands with a bounded number of instants."""
+    start = F.struct(
+        F.lit(NEVER).alias("last"), F.array().cast("array<bigint>").alias("fills")
+    )
+
+    def step(state: Column, t: Column) -> Column:
+        filled = F.struct(t.alias("last"), F.concat(state["fills"], F.array(t)).alias("fills"))
+        return F.when(t >= state["last"] + ttl, filled).otherwise(state)
+
+    times = instants.groupBy(*LINE).agg(F.sort_array(F.collect_list("_t")).alias("times"))
+    fills = F.aggregate("times", start, step, lambda state: state["fills"])
+    return times.select("key", F.explode(fills).alias("_t"))
+
+
+def ttl_status(
+    log: DataFrame, ttl_seconds: int = 30, fold_instants: int = FOLD_INSTANTS
+) -> DataFrame:
     """Add ``cache_status``: HIT within ``ttl`` of the key's last fill, otherwise MISS.
 
     A miss with a successful, non-empty result fills. Hits do not prolong a fill, and a request
@@ -169,14 +193,20 @@ def ttl_status(log: DataFrame, ttl_seconds: int = 30) -> DataFrame:
         .groupBy("key", "ts", "_t")
         .agg(F.min("request_id").alias("request_id"))
     )
-    instants = gap_islands(fillable, ["key"], ["ts"], ttl_seconds, chunk).withColumn(
-        "island", F.unix_micros("island")
+    found = gap_islands(fillable, ["key"], ["ts"], ttl_seconds, chunk)
+    instants = written(found.withColumn("island", F.unix_micros("island")), "reuse-instants")
+    spans = instants.groupBy(*LINE).agg(
+        (F.max("_t") - F.col("island")).alias("_span"), F.count(F.lit(1)).alias("_n")
     )
-    spans = instants.groupBy(*LINE).agg((F.max("_t") - F.col("island")).alias("_span"))
-    long = spans.where(F.col("_span") >= ttl).select(*LINE)
-    chained = _chain_fills(instants.join(long, LINE, "left_semi").select(*LINE, "_t"), ttl)
+    long = spans.where(F.col("_span") >= ttl)
     single = spans.where(F.col("_span") < ttl).select("key", F.col("island").alias("_t"))
-    filled = chained.unionByName(single).join(fillable, ["key", "_t"]).select(
+    short_lists = long.where(F.col("_n") <= fold_instants).select(*LINE)
+    fills = single.unionByName(_folded_fills(instants.join(short_lists, LINE, "left_semi"), ttl))
+    busy = long.where(F.col("_n") > fold_instants).select(*LINE)
+    if not busy.isEmpty():
+        crowded = instants.join(busy, LINE, "left_semi").select(*LINE, "_t")
+        fills = fills.unionByName(_chain_fills(crowded, ttl))
+    filled = fills.join(instants, ["key", "_t"]).select(
         "key", "_t", "request_id", F.col("_t").alias("_filled")
     )
     marked = rows.join(filled, ["key", "_t", "request_id"], "left")
