@@ -76,6 +76,15 @@ def hourly_rollup(df: DataFrame) -> DataFrame:
     return _grouped(hourly, HOURLY_KEY, STAT_NAMES, {})
 
 
+def hourly_by_window(df: DataFrame) -> DataFrame:
+    """The hourly rollup grouped by a time window, as a stream with a watermark needs it."""
+    opened = df.withColumn("_w", F.window("ts", "1 hour"))
+    grouped = _grouped(opened, ["device_id", "_w", "reading_type"], STAT_NAMES, {})
+    return grouped.withColumn("hour", F.col("_w.start")).select(
+        *HOURLY_KEY, *STAT_NAMES, "first_reading", "last_reading"
+    )
+
+
 def daily_rollup(df: DataFrame, max_group_rows: int | None = None) -> DataFrame:
     """Hourly columns per day plus exact interpolated percentiles, rounded to two places.
 
