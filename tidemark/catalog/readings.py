@@ -16,6 +16,7 @@ from tidemark.catalog.tables import (
     orders,
     plain,
 )
+from tidemark.functions.joins import beside
 from tidemark.operators import aggregates as A
 from tidemark.operators import attributes as J
 from tidemark.operators import filters as P
@@ -134,8 +135,9 @@ add("attribute_nested_equals", lambda s, d: plain(
 add("attribute_below", lambda s, d: plain(J.json_num_lt(events(s, d), "k", 20)),
     f"SELECT {COLS} FROM readings WHERE CAST(json_extract_string(metadata, '$.k') AS INTEGER) < 20")
 add("attribute_exists", lambda s, d: plain(
-        J.json_has(events(s, d), "k").agg(F.count("*").alias("with_k")).join(
-            J.json_has(events(s, d), "missing").agg(F.count("*").alias("with_missing")), F.lit(True))),
+        beside(
+            J.json_has(events(s, d), "k").agg(F.count("*").alias("with_k")),
+            J.json_has(events(s, d), "missing").agg(F.count("*").alias("with_missing")))),
     """SELECT count(*) FILTER (WHERE json_exists(metadata, '$.k')) AS with_k,
     count(*) FILTER (WHERE json_exists(metadata, '$.missing')) AS with_missing FROM readings""")
 add("attribute_exists_when_null", lambda s, d: plain(
@@ -249,6 +251,8 @@ add("weighted_average", lambda s, d: plain(R.weighted_avg(R.hourly_rollup(events
     f""", {HOURLY_SQL}, w AS (SELECT device_id, CAST(sum(reading_count) AS BIGINT) AS n,
     CAST(sum(CAST(round(avg_value * 100) AS BIGINT) * reading_count) AS BIGINT) AS s FROM hourly GROUP BY 1)
     SELECT device_id, n AS reading_count, ((2 * s + n) // (2 * n)) / CAST(100 AS DOUBLE) AS avg_value FROM w""")
+add("weighted_average_exact", lambda s, d: plain(R.weighted_avg(R.hourly_rollup(events(s, d), keep_sum=True), ["device_id"])),
+    f"SELECT device_id, count(*) AS reading_count, {AVG} AS avg_value FROM readings GROUP BY device_id")
 add("rollup_recent_hours", lambda s, d: plain(A.rollup_recent(R.hourly_rollup(events(s, d)), "hour", DEVICE, AS_OF, 240, "hour", 10)),
     f""", {HOURLY_SQL} SELECT * FROM hourly WHERE device_id = '{DEVICE}'
     AND hour >= TIMESTAMP '{AS_OF}' - INTERVAL 240 HOUR ORDER BY hour DESC, reading_type LIMIT 10""")

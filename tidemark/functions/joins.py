@@ -13,6 +13,16 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when it is small enough, otherwise for Spark to decide."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def beside(df: DataFrame, single: DataFrame) -> DataFrame:
+    """Every row of ``df`` with the columns of a frame that has exactly one row."""
+    return df.join(F.broadcast(single), F.lit(True))
+
+
 def keep_matching(big: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Drop rows of ``big`` early when the wanted keys are few enough to broadcast.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import BROADCAST_ROWS, beside
 from tidemark.functions.numbers import from_units, mean_units, power_sums, units
 from tidemark.functions.percentiles import exact_percentiles
 from tidemark.operators.filters import ago, between_ts, by_device, moment
@@ -45,11 +46,9 @@ def service_stats(global_rollup: DataFrame, readings: DataFrame, sample_percent:
     devices = (
         device_count_sampled(readings, sample_percent) if sample_percent else device_count(readings)
     )
-    one = F.lit(1).alias("_one")
-    totals = total_from_rollup(global_rollup).select("total_readings", one)
-    return totals.join(
-        devices.select(F.col("device_count").alias("total_devices"), one), "_one"
-    ).drop("_one")
+    return beside(
+        total_from_rollup(global_rollup), devices.withColumnRenamed("device_count", "total_devices")
+    )
 
 
 def device_hourly_avg(df: DataFrame, device_id: str, as_of: str, hours: int = 24) -> DataFrame:
@@ -97,11 +96,9 @@ def reads_per_device_dist(df: DataFrame) -> DataFrame:
         F.min("reading_count").alias("min_reads"),
         F.sum("reading_count").alias("_s"),
         F.count(F.lit(1)).alias("_n"),
-    ).withColumn("_one", F.lit(1))
-    ranks = exact_percentiles(counts, [], F.col("reading_count"), [50, 95, 99]).withColumn(
-        "_one", F.lit(1)
     )
-    return ranks.join(sums, "_one").select(
+    ranks = exact_percentiles(counts, [], F.col("reading_count"), [50, 95, 99])
+    return beside(ranks, sums).select(
         *[(F.col(f"p{p}_x100") / 100).alias(f"p{p}_reads") for p in (50, 95, 99)],
         "max_reads",
         "min_reads",
@@ -115,7 +112,8 @@ def top_devices(df: DataFrame, k: int = 10) -> DataFrame:
 
 def hot_device_rows(df: DataFrame, k: int = 100) -> DataFrame:
     """Rows of the ``k`` devices with most readings; the key list is ``k`` rows long."""
-    return df.join(F.broadcast(top_devices(df, k).select("device_id")), "device_id", "left_semi")
+    hot = top_devices(df, k).select("device_id")
+    return df.join(F.broadcast(hot) if k <= BROADCAST_ROWS else hot, "device_id", "left_semi")
 
 
 def time_span(df: DataFrame) -> DataFrame:

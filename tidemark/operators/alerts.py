@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import checked
 from tidemark.functions.ordered import islands
 from tidemark.operators.telemetry import counter_rate, gauge_share, histogram_quantile
 
@@ -31,9 +32,9 @@ def alerts(series: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``series(rule, series, ts, value)`` holds one value per evaluation. A run of evaluations
     above the threshold fires once it has lasted the hold time. Runs are islands, so a long
-    series is cut by day and never ordered in one task. The rule table is small.
+    series is cut by day and never ordered in one task.
     """
-    judged = series.join(F.broadcast(rules), "rule").withColumn(
+    judged = series.join(checked(rules), "rule").withColumn(
         "_on", (F.col("value") > F.col("threshold")).cast("int")
     )
     keys = ["rule", "series"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import beside
 from tidemark.spec import MAX_ENTITY_LENGTH, MAX_TYPE_LENGTH, MAX_UNIT_LENGTH, READING_TYPES
 
 VALUE_LIMIT = "100000000"
@@ -63,9 +64,9 @@ def reconcile(source: DataFrame, target: DataFrame) -> DataFrame:
         return df.agg(
             F.count(F.lit(1)).alias(f"{side}_rows"),
             F.count_distinct("device_id").alias(f"{side}_devices"),
-        ).withColumn("_one", F.lit(1))
+        )
 
-    both = summary(source, "source").join(summary(target, "target"), "_one").drop("_one")
+    both = beside(summary(source, "source"), summary(target, "target"))
     return both.withColumn(
         "matches",
         (F.col("source_rows") == F.col("target_rows"))

@@ -71,9 +71,14 @@ def _grouped(df: DataFrame, keys: list[str], names: tuple[str, ...], extra: dict
 STAT_NAMES = ("reading_count", "avg_value", "min_value", "max_value", "stddev_value")
 
 
-def hourly_rollup(df: DataFrame) -> DataFrame:
+def hourly_rollup(df: DataFrame, keep_sum: bool = False) -> DataFrame:
+    """Count, average, extremes, deviation and time span per device, hour and type.
+
+    ``keep_sum`` adds ``sum_value``, from which coarser averages stay exact.
+    """
     hourly = df.withColumn("hour", F.date_trunc("hour", "ts"))
-    return _grouped(hourly, HOURLY_KEY, STAT_NAMES, {})
+    extra = {"sum_value": F.sum("value")} if keep_sum else {}
+    return _grouped(hourly, HOURLY_KEY, STAT_NAMES, extra)
 
 
 def hourly_by_window(df: DataFrame) -> DataFrame:
@@ -154,12 +159,20 @@ def entity_stats(df: DataFrame) -> DataFrame:
 
 
 def weighted_avg(rollup: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Average over rollup rows, weighted by their counts, rounded to two places."""
+    """Average over rollup rows, weighted by their counts, rounded to two places.
+
+    Exact when the rollup kept its sums, otherwise as exact as its rounded averages.
+    """
     total = F.sum(F.col("reading_count"))
-    weighted = F.sum(
-        (units(F.col("avg_value"), 2).cast("decimal(19,0)") * F.col("reading_count")).cast("decimal(38,0)")
-    )
+    if "sum_value" in rollup.columns:
+        scale = rollup.schema["sum_value"].dataType.scale
+        weighted = F.sum((F.col("sum_value") * 10**scale).cast("decimal(38,0)"))
+        drop = _drop(scale)
+    else:
+        average = units(F.col("avg_value"), 2).cast("decimal(19,0)")
+        weighted = F.sum((average * F.col("reading_count")).cast("decimal(38,0)"))
+        drop = 1
     sums = rollup.groupBy(*(keys or [])).agg(total.alias("reading_count"), weighted.alias("_w"))
     return sums.withColumn(
-        "avg_value", from_units(round_div(F.col("_w"), F.col("reading_count").cast("decimal(19,0)")))
+        "avg_value", from_units(mean_units(F.col("reading_count"), F.col("_w"), drop))
     ).drop("_w")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import beside, checked
 from tidemark.functions.numbers import power_sums, units
 from tidemark.functions.ordered import previous
 from tidemark.functions.percentiles import exact_percentiles
@@ -212,22 +213,17 @@ def run_summary(log: DataFrame, by: list[str], percents: list[int] | None = None
         ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1_000_000).alias("_span"),
     )
     ranks = exact_percentiles(log, by, whole, percents, kind.precision)
-    one = [] if by else [F.lit(1).alias("_one")]
-    keys = by or ["_one"]
-    return (
-        sums.select("*", *one)
-        .join(ranks.select("*", *one), keys, "left")
-        .select(
-            *by,
-            "requests",
-            "errors",
-            (F.col("errors") / F.col("requests")).alias("error_share"),
-            F.try_divide(F.col("requests").cast("double"), F.col("_span")).alias("requests_per_second"),
-            (F.col("s").cast("double") / F.col("n") / step).alias("avg_ms"),
-            F.col("_min").cast("double").alias("min_ms"),
-            F.col("_max").cast("double").alias("max_ms"),
-            *[(F.col(f"p{p}_x100") / (100 * step)).alias(f"p{p}_ms") for p in percents],
-        )
+    both = sums.join(ranks, by, "left") if by else beside(sums, ranks)
+    return both.select(
+        *by,
+        "requests",
+        "errors",
+        (F.col("errors") / F.col("requests")).alias("error_share"),
+        F.try_divide(F.col("requests").cast("double"), F.col("_span")).alias("requests_per_second"),
+        (F.col("s").cast("double") / F.col("n") / step).alias("avg_ms"),
+        F.col("_min").cast("double").alias("min_ms"),
+        F.col("_max").cast("double").alias("max_ms"),
+        *[(F.col(f"p{p}_x100") / (100 * step)).alias(f"p{p}_ms") for p in percents],
     )
 
 
@@ -236,8 +232,9 @@ def segment_latency(log: DataFrame, segment: Column, percents: list[int] | None
 
 
 def by_heat(log: DataFrame, hot: DataFrame) -> DataFrame:
-    """Mark requests of hot devices; ``hot`` is a top-k list and therefore short."""
-    marked = log.join(F.broadcast(hot.select("device_id").withColumn("_hot", F.lit(True))), "device_id", "left")
+    """Mark requests of the devices listed in ``hot``."""
+    listed = checked(hot.select("device_id").withColumn("_hot", F.lit(True)))
+    marked = log.join(listed, "device_id", "left")
     return marked.withColumn("heat", F.when(F.col("_hot"), "hot").otherwise("cold")).drop("_hot")
 
 
@@ -246,14 +243,8 @@ def by_third(log: DataFrame) -> DataFrame:
     span = log.agg(F.unix_micros(F.min("ts")).alias("_a"), F.unix_micros(F.max("ts")).alias("_b"))
     at = (F.unix_micros("ts") - F.col("_a")) * 3
     length = F.col("_b") - F.col("_a")
-    one = F.lit(1).alias("_one")
-    # The span is a single row.
-    return (
-        log.select("*", one)
-        .join(F.broadcast(span.select("*", one)), "_one")
-        .withColumn("phase", F.when(at < length, "cold").when(at < length * 2, "warm").otherwise("hot"))
-        .drop("_one", "_a", "_b")
-    )
+    phase = F.when(at < length, "cold").when(at < length * 2, "warm").otherwise("hot")
+    return beside(log, span).withColumn("phase", phase).drop("_a", "_b")
 
 
 def range_class(seconds: Column) -> Column:
@@ -286,8 +277,7 @@ def load_ceiling(log: DataFrame, seconds: int = 30, p95_ms: float = 2000, errors
     """The last step before the first failing one, with the highest rate sustained until then."""
     steps = load_steps(log, seconds, p95_ms, errors)
     failed = steps.agg(F.min(F.when(~F.col("passed"), F.col("window_start"))).alias("first_failure"))
-    # One row joined to all steps.
-    held = steps.join(F.broadcast(failed), F.lit(True)).where(
+    held = beside(steps, failed).where(
         F.col("first_failure").isNull() | (F.col("window_start") < F.col("first_failure"))
     )
     return held.agg(

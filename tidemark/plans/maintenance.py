@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import beside
 from tidemark.functions.percentiles import largest_group
 from tidemark.operators import rollups as R
 from tidemark.operators.filters import between_ts, moment
@@ -58,9 +59,13 @@ def _refreshed(kind: str, old: DataFrame, df: DataFrame, as_of: str, days: int)
 
 
 def write_rollup_by_date(rollup: DataFrame, bucket: str, path: str) -> None:
-    """Replace exactly the bucket dates that ``rollup`` holds, other dates stay untouched."""
+    """Replace exactly the bucket dates that ``rollup`` holds, other dates stay untouched.
+
+    Rebalancing gathers each date in few files and splits a date that is too large for one.
+    """
     (
         rollup.withColumn("bucket_date", F.to_date(bucket))
+        .hint("rebalance", "bucket_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket_date")
@@ -85,10 +90,9 @@ def read_rollup_by_date(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rollup_lag(df: DataFrame, rollup: DataFrame, bucket: str = "hour") -> DataFrame:
-    one = F.lit(1).alias("_one")
-    newest = df.agg(F.max("ts").alias("latest_data")).select("*", one)
-    built = rollup.agg(F.max(bucket).alias("latest_bucket")).select("*", one)
-    return newest.join(built, "_one").select(
+    newest = df.agg(F.max("ts").alias("latest_data"))
+    built = rollup.agg(F.max(bucket).alias("latest_bucket"))
+    return beside(newest, built).select(
         "latest_data",
         "latest_bucket",
         ((F.unix_micros("latest_data") - F.unix_micros("latest_bucket")) / 1_000_000).alias(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.joins import beside
 from tidemark.operators.rollups import daily_rollup, hourly_by_window
 from tidemark.plans.maintenance import write_rollup_by_date
 from tidemark.session import use_utc
@@ -74,10 +75,8 @@ def continuous_daily(
         edge = stored.where(F.col("batch") < batch_id).agg(
             F.date_sub(F.max("day"), late_days).alias("edge")
         )
-        # Both lists are partition values: one row per day, and one row.
-        open_days = touched.join(F.broadcast(edge), F.lit(True)).where(
-            "edge is null or day >= edge"
-        )
+        open_days = beside(touched, edge).where("edge is null or day >= edge")
+        # One row per day of the batch.
         rows = stored.join(F.broadcast(open_days.select("day")), "day", "left_semi")
         write_rollup_by_date(daily_rollup(rows.select(*READING_COLUMNS)), "day", path)
 

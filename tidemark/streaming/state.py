@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from tidemark.functions.joins import checked
 from tidemark.functions.ship import ship
 from tidemark.streaming.rollups import _start
 
@@ -107,8 +108,8 @@ class HoldProcessor(StatefulProcessor):
 
 
 def alert_stream(series: DataFrame, rules: DataFrame) -> DataFrame:
-    """A row when a series starts firing; the rule table is small."""
-    judged = series.join(F.broadcast(rules), "rule").select(
+    """A row when a series starts firing."""
+    judged = series.join(checked(rules), "rule").select(
         "rule",
         "series",
         F.unix_micros("ts").alias("t"),
