@@ -19,6 +19,7 @@ from tidemark.functions.text import (
     rfc3339_text,
     strict_long,
 )
+from tidemark.session import written
 from tidemark.spec import READING_COLUMNS
 
 DEFAULT_LIMIT = 10
@@ -98,18 +99,20 @@ def batch_latest(parsed: DataFrame, readings: DataFrame, bucket_seconds: int = 3
 
     Requests without ``to`` share one ranking of at most 500 readings per series. Requests with
     ``to`` are answered by position, so that many requests on one busy device never meet all
-    of its readings; see ``_bounded``.
+    of its readings; see ``_bounded``. The parsed requests are written once, because several
+    steps read them.
     """
-    asked = (
-        parsed.where((F.col("mode") == "device") & F.col("error_code").isNull())
-        .select(
+    valid = parsed.where((F.col("mode") == "device") & F.col("error_code").isNull())
+    asked = written(
+        valid.select(
             "request_id",
             "device_id",
             F.coalesce("reading_type", F.lit("")).alias("series"),
             F.col("limit"),
             "from_ts",
             "to_ts",
-        )
+        ),
+        "requests",
     )
     asked_series = keep_matching(_series(readings), asked, ["device_id", "series"])
     newest = _newest(asked.where("to_ts is null"), asked_series)
@@ -158,7 +161,8 @@ def _bounded(asked: DataFrame, series: DataFrame, bucket_seconds: int) -> DataFr
     local = Window.partitionBy(*keys, "bucket").orderBy(F.desc("ts"), "place", F.desc("id"))
     whole = Window.partitionBy(*keys)
     later = whole.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    # One row per series and bucket, read twice.
+    offsets = written(
         line.groupBy(*keys, "bucket")
         .agg(F.sum("_one").alias("_in"))
         .select(
@@ -166,7 +170,8 @@ def _bounded(asked: DataFrame, series: DataFrame, bucket_seconds: int) -> DataFr
             "bucket",
             F.coalesce(F.sum("_in").over(later), F.lit(0)).alias("_offset"),
             F.sum("_in").over(whole).alias("_total"),
-        )
+        ),
+        "offsets",
     )
     placed = (
         line.withColumn(
