@@ -19,7 +19,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tidemark.catalog import tables  # noqa: E402
 from tidemark.catalog import telemetry as C  # noqa: E402
-from tidemark.functions.percentiles import largest_group  # noqa: E402
 from tidemark.operators import aggregates as A  # noqa: E402
 from tidemark.operators import latest as L  # noqa: E402
 from tidemark.operators import requests as Q  # noqa: E402
@@ -95,7 +94,6 @@ def main() -> None:
     timed("latest_for_requests", lambda: run(Q.batch_latest(reqs, readings)))
     timed("top_devices", lambda: run(A.top_devices(items, 100)))
     timed("reads_per_device", lambda: run(A.reads_per_device_dist(items)))
-    timed("largest_daily_group", lambda: largest_group(R.daily_keys(items), R.DAILY_KEY))
     timed("run_summary", lambda: run(T.run_summary(log, ["endpoint"])))
     timed("latency_histogram", lambda: run(T.latency_histogram(log)))
     timed("error_ratio", lambda: run(T.error_ratio(log)))

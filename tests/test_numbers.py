@@ -12,7 +12,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers as N
-from tidemark.functions.percentiles import exact_percentiles, largest_group, levels_for
+from tidemark.functions.percentiles import (
+    exact_percentiles,
+    interpolated,
+    large_groups,
+    levels_for,
+    rank_picks,
+    ranked,
+)
 from tidemark.operators import aggregates as A
 from tidemark.operators import rollups as R
 
@@ -27,8 +34,8 @@ def x100(values, p):
 
 
 @pytest.mark.parametrize("precision", [10, 15])
-@pytest.mark.parametrize("bound", [None, 100_000])
-def test_percentiles_of_hot_and_small_groups(spark, precision, bound):
+@pytest.mark.parametrize("way", ["counted", "ranked"])
+def test_percentiles_of_hot_and_small_groups(spark, precision, way):
     rng = random.Random(precision)
     top = 10**precision - 1
     rows = [("hot", rng.randint(-top, top)) for _ in range(4000)]
@@ -39,11 +46,14 @@ def test_percentiles_of_hot_and_small_groups(spark, precision, bound):
         if v is not None:
             groups[k].append(v)
     df = spark.createDataFrame(rows, "k string, v bigint")
-    if bound:
-        assert largest_group(df, ["k"]) == 4000
-        if precision == 15:
-            return  # the built-in works in double; the bound is for stored decimal(10,2)
-    out = exact_percentiles(df, ["k"], F.col("v"), [0, 50, 95, 99, 100], precision, bound)
+    percents = [0, 50, 95, 99, 100]
+    if way == "counted":
+        out = exact_percentiles(df, ["k"], F.col("v"), percents, precision)
+    else:
+        picks = [c.alias(n) for n, c in rank_picks(percents).items()]
+        rows = ranked(df, ["k"], F.col("v"))
+        out = rows.groupBy("k").agg(*picks).select("k", *interpolated(percents))
+        assert sorted(r["k"] for r in large_groups(df, ["k"], 100).collect()) == ["flat", "hot"]
     got = {r["k"]: [r[f"p{p}_x100"] for p in (0, 50, 95, 99, 100)] for r in out.collect()}
     assert got == {k: [x100(v, p) for p in (0, 50, 95, 99, 100)] for k, v in groups.items()}
 
@@ -108,8 +118,8 @@ def test_rollups_on_edge_rows(spark):
     assert many["avg_value"] == Decimal(mean.numerator / mean.denominator).quantize(Decimal("0.01"), ROUND_HALF_UP)
     assert abs(float(many["stddev_value"]) - math.sqrt(variance)) < 0.006
 
-    for bound in (None, 10):
-        daily = {(r["device_id"], r["day"].day): r for r in R.daily_rollup(df, bound).collect()}
+    for large in (None, R.large_daily_groups(df)):
+        daily = {(r["device_id"], r["day"].day): r for r in R.daily_rollup(df, large).collect()}
         row = daily[("many", 1)]
         for p, name in R.PERCENTS.items():
             exact = Fraction(x100([int(v * 100) for v in values], p), 10000)

@@ -17,6 +17,7 @@ from tidemark.catalog.tables import (
     plain,
 )
 from tidemark.functions.joins import beside
+from tidemark.functions.percentiles import large_groups
 from tidemark.operators import aggregates as A
 from tidemark.operators import attributes as J
 from tidemark.operators import filters as P
@@ -228,7 +229,10 @@ add("concentration", lambda s, d: plain(A.concentration(events(s, d))),
 # Rollups
 add("hourly_rollup", lambda s, d: plain(R.hourly_rollup(events(s, d))), f", {HOURLY_SQL} SELECT * FROM hourly")
 add("daily_rollup", lambda s, d: plain(R.daily_rollup(events(s, d))), f", {DAILY_SQL} SELECT * FROM daily")
-add("daily_rollup_small_groups", lambda s, d: plain(_daily_measured(events(s, d))), f", {DAILY_SQL} SELECT * FROM daily")
+add("daily_rollup_measured", lambda s, d: plain(R.daily_rollup(events(s, d), R.large_daily_groups(events(s, d)))),
+    f", {DAILY_SQL} SELECT * FROM daily")
+add("daily_rollup_mixed_groups", lambda s, d: plain(R.daily_rollup(events(s, d), large_groups(R.daily_keys(events(s, d)), R.DAILY_KEY, 2))),
+    f", {DAILY_SQL} SELECT * FROM daily")
 add("global_rollup", lambda s, d: plain(R.global_rollup(events(s, d))), f", {GLOBAL_SQL} SELECT * FROM global")
 add("daily_rollup_orders", lambda s, d: plain(R.daily_rollup(orders(s, d))), f", {DAILY_SQL} SELECT * FROM daily", ORDERS_SQL)
 add("global_rollup_lineitem", lambda s, d: plain(R.global_rollup(lineitems(s, d))), f", {GLOBAL_SQL} SELECT * FROM global", LINEITEM_SQL)
@@ -259,8 +263,3 @@ add("rollup_recent_hours", lambda s, d: plain(A.rollup_recent(R.hourly_rollup(ev
 add("rollup_recent_days", lambda s, d: plain(A.rollup_recent(R.daily_rollup(events(s, d)), "day", DEVICE, AS_OF, 7, "day")),
     f", {DAILY_SQL} SELECT * FROM daily WHERE device_id = '{DEVICE}' AND day >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
 
-
-def _daily_measured(df):
-    from tidemark.functions.percentiles import largest_group
-
-    return R.daily_rollup(df, largest_group(R.daily_keys(df), R.DAILY_KEY))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import use_utc
-from tidemark.sources.readings import read_readings
+from tidemark.sources.readings import read_readings, read_utc
 from tidemark.spec import EVENT_READINGS, LINEITEM_READINGS, ORDER_READINGS
 
 AS_OF = "2024-01-30 00:00:00"
@@ -41,8 +40,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """One text request per event: unbounded, typed, bounded, by id, and a broken one."""
-    use_utc(spark)
-    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+    e = read_utc(spark, f"{sf}/events.parquet").withColumn("t", F.col("ts"))
     kind, eid = F.col("event_type"), F.col("event_id")
     device = F.format_string("sensor-%06d", "user_id")
     limit = (eid % 500 + 1).cast("string")

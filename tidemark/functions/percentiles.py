@@ -6,8 +6,8 @@ high bits of the value then tells in which value range each wanted rank lies, an
 ranges are opened, level by level, until single values remain. With 18 bits per level no task
 orders more than 2**18 entries of one group, whatever the group's size.
 
-Where a caller has measured that every group is small, the built-in ``percentile`` gives the
-same numbers with one shuffle.
+A caller that measured which groups are large (``large_groups``) can rank the rows of the others
+directly (``ranked``), which takes one shuffle and serves other aggregates as well.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import floor_div
+from tidemark.session import written
 
 BITS = 18
 SMALL_GROUP = 200_000
@@ -28,19 +29,79 @@ def levels_for(precision: int) -> int:
     return max(1, math.ceil(math.log2(2 * 10**precision) / BITS))
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group, measured; only one count per group is shuffled."""
+def large_groups(df: DataFrame, keys: list[str], rows: int = SMALL_GROUP) -> DataFrame:
+    """Keys of groups with more than ``rows`` rows; only one count per group is shuffled.
+
+    The result is written, because it decides the plan and is then joined. A table of n rows
+    has fewer than n / ``rows`` such groups.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
+    return written(counts.where(F.col("_n") > rows).select(*keys), "large-groups")
 
 
-def value_counts(df: DataFrame, keys: list[str], value: Column, precision: int) -> DataFrame:
+def value_counts(rows: DataFrame, keys: list[str], precision: int) -> DataFrame:
+    """(keys, ``_v``, ``_n``) for rows whose keys and value are present.
+
+    The conditions name everything later joins need, so that all uses of the counts have the
+    same plan and Spark runs and shuffles them once.
+    """
+    for present in [*keys, "_v", *[F.shiftright("_v", s) for s in _shifts(precision) if s]]:
+        rows = rows.where((F.col(present) if isinstance(present, str) else present).isNotNull())
+    return rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _shifts(precision: int) -> list[int]:
+    return [BITS * i for i in reversed(range(levels_for(precision)))]
+
+
+def ranked(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Rows with their whole value, its rank in the group from zero, and the group's size.
+
+    Sorts each group in one task: only for groups known not to be large.
+    """
+    group = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("_v"))
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn("_v", value.cast("bigint")).select(
+        "*",
+        (F.row_number().over(group) - 1).cast("bigint").alias("_rank"),
+        F.count("_v").over(whole).alias("_size"),
+    )
+
+
+def rank_picks(percents: list[int]) -> dict[str, Column]:
+    """Aggregates over ``ranked`` rows that ``interpolated`` needs."""
+    picks = {"_total": F.max("_size")}
+    for i, p in enumerate(percents):
+        low = floor_div((F.col("_size") - 1) * p, 100)
+        high = F.least(low + 1, F.col("_size") - 1)
+        picks[f"_lo{i}"] = F.max(F.when(F.col("_rank") == low, F.col("_v")))
+        picks[f"_hi{i}"] = F.max(F.when(F.col("_rank") == high, F.col("_v")))
+    return picks
+
+
+def interpolated(percents: list[int]) -> list[Column]:
+    """``p<percent>_x100`` from the two values around each rank."""
+    return [_interpolate(i, p).alias(f"p{p}_x100") for i, p in enumerate(percents)]
+
+
+def exact_percentiles(
+    df: DataFrame, keys: list[str], value: Column, percents: list[int], precision: int = 15
+) -> DataFrame:
+    """Per key, ``p<percent>_x100``: 100 times the interpolated percentile of ``value``.
+
+    ``value`` is a whole number below 10**precision in size; rows with a null key or value do
+    not count. The factor 100 keeps the interpolation weight exact: percentile = x100 / 100.
+    """
+    rows = df.select(*keys, value.cast("bigint").alias("_v"))
+    return percentiles_of_counts(value_counts(rows, keys, precision), keys, percents, precision)
+
+
+def value_counts(rows: DataFrame, keys: list[str], precision: int) -> DataFrame:
     """(keys, ``_v``, ``_n``) for rows whose keys and value are present.
 
     The conditions name everything later joins need, so that all uses of the counts have the
     same plan and Spark runs and shuffles them once.
     """
-    rows = df.select(*df.columns, value.cast("bigint").alias("_v"))
     for present in [*keys, "_v", *[F.shiftright("_v", s) for s in _shifts(precision) if s]]:
         rows = rows.where((F.col(present) if isinstance(present, str) else present).isNotNull())
     return rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
@@ -56,25 +117,45 @@ def exact_percentiles(
     value: Column,
     percents: list[int],
     precision: int = 15,
-    max_group_rows: int | None = None,
+    large: DataFrame | None = None,
 ) -> DataFrame:
     """Per key, ``p<percent>_x100``: 100 times the interpolated percentile of ``value``.
 
     ``value`` is a whole number below 10**precision in size; rows with a null key or value do
     not count. The factor 100 keeps the interpolation weight exact: percentile = x100 / 100.
-    ``max_group_rows`` is a measured bound on the rows of any group, see ``largest_group``.
+    ``large`` holds the keys of the groups that are too large for one task. Without it, or when
+    they are too many to broadcast, every group is treated as large.
     """
-    if max_group_rows is not None and max_group_rows <= SMALL_GROUP:
-        shares = F.array(*[F.lit(p / 100) for p in percents])
-        groups = df.groupBy(*keys).agg(F.percentile(value.cast("bigint"), shares).alias("_p"))
-        return groups.where("_p is not null").select(
-            *keys,
-            *[
-                F.rint(F.col("_p")[i] * 100).cast("bigint").alias(f"p{p}_x100")
-                for i, p in enumerate(percents)
-            ],
-        )
-    return percentiles_of_counts(value_counts(df, keys, value, precision), keys, percents, precision)
+    rows = df.select(*keys, value.cast("bigint").alias("_v"))
+    if large is None or not is_small(large):
+        return _of_large(rows, keys, percents, precision)
+    if large.isEmpty():
+        return _of_small(rows, keys, percents)
+    listed = F.broadcast(large)
+    return _of_small(rows.join(listed, keys, "left_anti"), keys, percents).unionByName(
+        _of_large(rows.join(listed, keys, "left_semi"), keys, percents, precision)
+    )
+
+
+def _of_small(rows: DataFrame, keys: list[str], percents: list[int]) -> DataFrame:
+    """Picks from the sorted values of groups whose size is bounded."""
+    groups = rows.where("_v is not null").groupBy(*keys).agg(
+        F.sort_array(F.collect_list("_v")).alias("_sorted")
+    )
+    n = F.size("_sorted").cast("bigint")
+
+    def at(percent: int) -> Column:
+        low = floor_div((n - 1) * percent, 100)
+        weight = ((n - 1) * percent) % 100
+        first = F.get("_sorted", low.cast("int"))
+        second = F.get("_sorted", F.least(low + 1, n - 1).cast("int"))
+        return first * (100 - weight) + second * weight
+
+    return groups.select(*keys, *[at(p).alias(f"p{p}_x100") for p in percents])
+
+
+def _of_large(rows: DataFrame, keys: list[str], percents: list[int], precision: int) -> DataFrame:
+    return percentiles_of_counts(value_counts(rows, keys, precision), keys, percents, precision)
 
 
 def percentiles_of_counts(
@@ -105,10 +186,7 @@ def percentiles_of_counts(
     out = hits.groupBy(*keys).agg(*picks)
     if not keys:
         out = out.where("_total is not null")
-    return out.select(
-        *keys,
-        *[_interpolate(i, p).alias(f"p{p}_x100") for i, p in enumerate(percents)],
-    )
+    return out.select(*keys, *interpolated(percents))
 
 
 def _bucketed(counted: DataFrame, keys: list[str], extra: list[Column], shift: int) -> DataFrame:

@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import is_small
 from tidemark.functions.numbers import (
     from_units,
     mean_units,
@@ -16,7 +17,13 @@ from tidemark.functions.numbers import (
     stddev_units,
     units,
 )
-from tidemark.functions.percentiles import SMALL_GROUP, percentiles_of_counts, value_counts
+from tidemark.functions.percentiles import (
+    exact_percentiles,
+    interpolated,
+    large_groups,
+    rank_picks,
+    ranked,
+)
 
 HOURLY_KEY = ["device_id", "hour", "reading_type"]
 DAILY_KEY = ["device_id", "day", "reading_type"]
@@ -90,31 +97,44 @@ def hourly_by_window(df: DataFrame) -> DataFrame:
     )
 
 
-def daily_rollup(df: DataFrame, max_group_rows: int | None = None) -> DataFrame:
+def daily_rollup(df: DataFrame, large: DataFrame | None = None) -> DataFrame:
     """Hourly columns per day plus exact interpolated percentiles, rounded to two places.
 
-    With a measured bound on the rows per key (``largest_group(daily_keys(df), DAILY_KEY)``)
-    small groups take one shuffle. Without one, the percentiles come from counts per distinct
-    value, which holds up when one device has a third of all rows.
+    ``large`` holds the measured large groups, ``large_daily_groups(df)``; the others are then
+    ranked and aggregated with one shuffle. Without it, or when they are too many to broadcast,
+    every group is treated as one that may hold a third of all rows.
     """
-    precision, scale = _decimal_type(df)
     daily = daily_keys(df)
+    if large is None or not is_small(large):
+        return _daily_of_large(daily)
+    if large.isEmpty():
+        return _daily_of_small(daily)
+    listed = F.broadcast(large)
+    small = _daily_of_small(daily.join(listed, DAILY_KEY, "left_anti"))
+    return small.unionByName(_daily_of_large(daily.join(listed, DAILY_KEY, "left_semi")))
+
+
+def _daily_of_large(daily: DataFrame) -> DataFrame:
+    precision, scale = _decimal_type(daily)
     value = units(F.col("value"), scale)
-    if max_group_rows is not None and max_group_rows <= SMALL_GROUP:
-        shares = F.array(*[F.lit(p / 100) for p in PERCENTS])
-        stats = _grouped(daily, DAILY_KEY, STAT_NAMES, {"_p": F.percentile(value, shares)})
-        x100 = [F.rint(F.col("_p")[i] * 100).cast("bigint") for i in range(len(PERCENTS))]
-    else:
-        counted = value_counts(daily, DAILY_KEY, value, precision)
-        ranks = percentiles_of_counts(counted, DAILY_KEY, list(PERCENTS), precision)
-        stats = _grouped(daily, DAILY_KEY, STAT_NAMES, {}).join(ranks, DAILY_KEY, "left")
-        x100 = [F.col(f"p{p}_x100") for p in PERCENTS]
+    ranks = exact_percentiles(daily, DAILY_KEY, value, list(PERCENTS), precision)
+    return _daily_columns(_grouped(daily, DAILY_KEY, STAT_NAMES, {}).join(ranks, DAILY_KEY, "left"), scale)
+
+
+def _daily_of_small(daily: DataFrame) -> DataFrame:
+    _, scale = _decimal_type(daily)
+    rows = ranked(daily, DAILY_KEY, units(F.col("value"), scale))
+    picked = _grouped(rows, DAILY_KEY, STAT_NAMES, rank_picks(list(PERCENTS)))
+    return _daily_columns(picked.select("*", *interpolated(list(PERCENTS))), scale)
+
+
+def _daily_columns(stats: DataFrame, scale: int) -> DataFrame:
     return stats.select(
         *DAILY_KEY,
         *STAT_NAMES,
         *[
-            from_units(round_div(x, 100 * _drop(scale))).alias(name)
-            for x, name in zip(x100, PERCENTS.values())
+            from_units(round_div(F.col(f"p{p}_x100"), 100 * _drop(scale))).alias(name)
+            for p, name in PERCENTS.items()
         ],
         "first_reading",
         "last_reading",
@@ -125,6 +145,14 @@ def daily_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.date_trunc("day", "ts"))
 
 
+def large_daily_groups(df: DataFrame) -> DataFrame:
+    return large_groups(daily_keys(df), DAILY_KEY)
+
+
+def daily_keys(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.date_trunc("day", "ts"))
+
+
 def global_rollup(df: DataFrame) -> DataFrame:
     names = ("total_readings", "global_avg", "global_min", "global_max", "global_stddev")
     return _grouped(df, GLOBAL_KEY, names, {"active_devices": F.count_distinct("device_id")})

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import beside
-from tidemark.functions.percentiles import largest_group
 from tidemark.operators import rollups as R
 from tidemark.operators.filters import between_ts, moment
 from tidemark.sources.layout import publish_rollup
@@ -18,11 +17,11 @@ LOOK_BACK_DAYS = {"hourly": 7, "daily": 30}
 
 
 def build(kind: str, df: DataFrame) -> DataFrame:
-    """Recompute one rollup; the daily one first measures how large its groups are."""
+    """Recompute one rollup; the daily one first measures which groups are large."""
     if kind == "hourly":
         return R.hourly_rollup(df)
     if kind == "daily":
-        return R.daily_rollup(df, largest_group(R.daily_keys(df), R.DAILY_KEY))
+        return R.daily_rollup(df, R.large_daily_groups(df))
     if kind == "global":
         return R.global_rollup(df)
     raise ValueError(f"unknown rollup {kind}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import use_utc
 from tidemark.spec import READING_COLUMNS, ReadingsSpec
@@ -11,8 +12,28 @@ from tidemark.spec import READING_COLUMNS, ReadingsSpec
 
 def read_readings(spark: SparkSession, path: str, spec: ReadingsSpec) -> DataFrame:
     """Readings of a Parquet table in canonical columns; filters on them reach the scan."""
+    return as_readings(read_utc(spark, path), spec)
+
+
+def read_utc(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose timestamps without a zone are read as UTC instants.
+
+    Reading them with that type, rather than casting afterwards, lets time filters reach the
+    scan.
+    """
     use_utc(spark)
-    return as_readings(spark.read.parquet(path), spec)
+    return spark.read.schema(utc_schema(spark.read.parquet(path).schema)).parquet(path)
+
+
+def utc_schema(stored: T.StructType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField(f.name, T.TimestampType(), f.nullable)
+            if isinstance(f.dataType, T.TimestampNTZType)
+            else f
+            for f in stored.fields
+        ]
+    )
 
 
 def as_readings(df: DataFrame, spec: ReadingsSpec) -> DataFrame:

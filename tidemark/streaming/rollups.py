@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.joins import beside
-from tidemark.operators.rollups import daily_rollup, hourly_by_window
-from tidemark.plans.maintenance import write_rollup_by_date
+from tidemark.operators.rollups import hourly_by_window
+from tidemark.plans.maintenance import build, write_rollup_by_date
 from tidemark.session import use_utc
-from tidemark.sources.readings import as_readings
+from tidemark.sources.readings import as_readings, utc_schema
 from tidemark.spec import READING_COLUMNS, ReadingsSpec
 
 
@@ -19,7 +19,7 @@ def stream_readings(
 ) -> DataFrame:
     """Parquet files that appear under ``path`` as a stream of readings."""
     use_utc(spark)
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
+    schema = utc_schema(spark.read.option("pathGlobFilter", pattern).parquet(path).schema)
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
@@ -78,6 +78,6 @@ def continuous_daily(
         open_days = beside(touched, edge).where("edge is null or day >= edge")
         # One row per day of the batch.
         rows = stored.join(F.broadcast(open_days.select("day")), "day", "left_semi")
-        write_rollup_by_date(daily_rollup(rows.select(*READING_COLUMNS)), "day", path)
+        write_rollup_by_date(build("daily", rows.select(*READING_COLUMNS)), "day", path)
 
     return _start(readings.writeStream.foreachBatch(absorb), checkpoint, every)
