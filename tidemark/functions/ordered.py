@@ -18,7 +18,7 @@ def chunk_of(ts: Column, seconds: int) -> Column:
 
 
 def _chunked(df: DataFrame, ts: str, chunk: int) -> DataFrame:
-    return df if "_chunk" in df.columns else df.withColumn("_chunk", chunk_of(F.col(ts), chunk))
+    return df.withColumn("_chunk", chunk_of(F.col(ts), chunk))
 
 
 def previous(
@@ -27,7 +27,6 @@ def previous(
     order: list[str],
     columns: list[str],
     chunk: int = DAY,
-    keep_chunk: bool = False,
 ) -> DataFrame:
     """Add ``_prev``: a struct of ``columns`` from the previous row of the series, or null.
 
@@ -45,7 +44,7 @@ def previous(
         rows.withColumn("_prev", F.lag(kept).over(within))
         .join(carried, [*keys, "_chunk"])
         .withColumn("_prev", F.coalesce("_prev", "_carry"))
-        .drop("_carry", *([] if keep_chunk else ["_chunk"]))
+        .drop("_chunk", "_carry")
     )
 
 
@@ -98,14 +97,36 @@ def islands(
 ) -> DataFrame:
     """Add ``island``: the timestamp of the row that opened the row's island.
 
-    ``starts`` decides from the row and its ``_prev`` (columns ``order``) whether a new island
-    opens. A row without a predecessor always opens one.
+    ``starts`` decides from the ``order`` columns of a row and of its predecessor ``_prev``
+    whether a new island opens. A row without a predecessor always opens one. Within a chunk
+    all rows but the first know their predecessor; the first ones are settled on the summaries.
     """
-    marked = previous(df, keys, order, order, chunk, keep_chunk=True).withColumn(
-        "_start", F.when(F.col("_prev").isNull() | starts, F.struct(*order))
+    row = F.struct(*order)
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = (
+        _chunked(df, order[0], chunk)
+        .withColumn("_prev", F.lag(row).over(within))
+        .withColumn("_start", F.when(F.col("_prev").isNotNull() & starts, row))
+        .withColumn("_lead", F.max("_start").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    chunks = local.groupBy(*keys, "_chunk").agg(
+        F.min(row).alias("_first"), F.max(row).alias("_last"), F.max("_start").alias("_top")
+    )
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    heads = (
+        chunks.select(*keys, "_chunk", "_first.*", "_top", F.lag("_last").over(across).alias("_prev"))
+        .withColumn("_head", F.when(F.col("_prev").isNull() | starts, row))
+        .withColumn("_newest", F.greatest("_head", "_top"))
+        .select(
+            *keys, "_chunk", F.coalesce("_head", F.max("_newest").over(earlier)).alias("_open")
+        )
+    )
+    return (
+        local.join(heads, [*keys, "_chunk"])
+        .withColumn("island", F.coalesce("_lead", "_open")[order[0]])
+        .drop("_chunk", "_prev", "_start", "_lead", "_open")
     )
-    led = running_max(marked.drop("_prev"), keys, order, F.col("_start"), "_lead", chunk)
-    return led.withColumn("island", F.col(f"_lead.{order[0]}")).drop("_lead", "_start")
 
 
 def gap_islands(
