@@ -32,7 +32,7 @@ from tidemark.sources.layout import write_layout  # noqa: E402
 from tidemark.sources.readings import read_layout  # noqa: E402
 from tidemark.sources.synth import synth_readings  # noqa: E402
 
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
 def run(df) -> None:

@@ -7,7 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import gap_islands, previous, running_max, running_sum
+from tidemark.functions.ordered import gap_islands, previous, running_max
 from tidemark.operators import alerts as K
 from tidemark.operators import telemetry as T
 from tidemark.operators import verdicts as V
@@ -45,8 +45,6 @@ def test_previous_across_days(spark):
     df = spark.createDataFrame([("k", at(t), i) for i, t in enumerate(times)], "k string, ts timestamp, n int")
     got = previous(df, ["k"], ["ts"], ["n"]).orderBy("ts").select("_prev.n").collect()
     assert [r[0] for r in got] == [None, 0, 1, 2, 3, 4]
-    sums = running_sum(df, ["k"], ["ts"], F.col("n"), "s", 3600).orderBy("ts").collect()
-    assert [r["s"] for r in sums] == [0, 1, 3, 6, 10, 15]
     tops = running_max(df, ["k"], ["ts"], F.when(F.col("n") == 2, 9).otherwise(F.col("n")), "m").orderBy("ts").collect()
     assert [r["m"] for r in tops] == [0, 1, 9, 9, 9, 9]
     isles = gap_islands(df, ["k"], ["ts"], 86400).groupBy("island").count().orderBy("island").collect()

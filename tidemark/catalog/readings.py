@@ -24,7 +24,6 @@ from tidemark.operators import filters as P
 from tidemark.operators import latest as L
 from tidemark.operators import quality as Q
 from tidemark.operators import rollups as R
-from tidemark.operators.requests import RECORD
 
 CATALOG: dict = {}
 
@@ -163,9 +162,6 @@ add("widen_value_changes", lambda s, d: J.widen_value(orders(s, d))[1],
     "SELECT count(*) FILTER (WHERE CAST(value AS DECIMAL(15,6)) <> CAST(value AS DECIMAL(15,2))) AS changed FROM readings", ORDERS_SQL)
 
 # Quality and reconciliation
-BAD_SQL = """SELECT id, device_id, ts, reading_type, value,
-  CASE WHEN length(reading_type) > 20 OR reading_type NOT IN ('click', 'purchase', 'view')
-       THEN 1 ELSE 0 END AS broken FROM readings"""
 add("constraint_good", lambda s, d: plain(Q.check_readings(events(s, d), ("click", "purchase", "view"))[0]),
     f"SELECT {COLS} FROM readings WHERE reading_type IN ('click', 'purchase', 'view')")
 add("constraint_quarantine", lambda s, d: plain(

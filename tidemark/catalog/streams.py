@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import telemetry as C
 from tidemark.catalog.readings import DAILY_SQL, HOURLY_SQL
-from tidemark.catalog.tables import READINGS_SQL, events, plain
+from tidemark.catalog.tables import READINGS_SQL, plain
 from tidemark.operators import alerts as K
 from tidemark.operators import telemetry as T
 from tidemark.plans.maintenance import read_rollup_by_date

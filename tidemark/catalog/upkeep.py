@@ -16,7 +16,7 @@ from tidemark.session import shared_folder
 from tidemark.sources import layout as Y
 from tidemark.sources import synth
 from tidemark.sources.csv import append_readings, load_csv
-from tidemark.spec import READING_COLUMNS
+from tidemark.sources.readings import read_layout
 
 CATALOG: dict = {}
 
@@ -32,17 +32,10 @@ def _organised(s, d, source=events):
 
 
 def _layout(s, d):
-    rows = Y.with_month(events(s, d)).select(*READING_COLUMNS, "month")
-    from tidemark.sources.readings import read_layout
-
-    stored = read_layout(s, _organised(s, d))
-    assert stored.columns == rows.columns
-    return plain(stored)
+    return plain(read_layout(s, _organised(s, d)))
 
 
 def _month_range(s, d):
-    from tidemark.sources.readings import read_layout
-
     stored = read_layout(s, _organised(s, d, orders))
     return plain(between_ts(stored, "1997-03-15 00:00:00", "1997-06-02 00:00:00").select("id", "device_id", "ts", "value"))
 

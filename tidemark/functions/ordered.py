@@ -69,29 +69,6 @@ def running_max(
     )
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, chunk: int = DAY
-) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the series up to and including the row."""
-    rows = _chunked(df, order[0], chunk).withColumn("_x", value)
-    within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    sums = rows.groupBy(*keys, "_chunk").agg(F.sum("_x").alias("_part"))
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = sums.select(
-        *keys, "_chunk", F.coalesce(F.sum("_part").over(across), F.lit(0)).alias("_carry")
-    )
-    return (
-        rows.withColumn(name, F.sum("_x").over(within))
-        .join(carried, [*keys, "_chunk"])
-        .withColumn(name, F.col(name) + F.col("_carry"))
-        .drop("_chunk", "_carry", "_x")
-    )
-
-
 def islands(
     df: DataFrame, keys: list[str], order: list[str], starts: Column, chunk: int = DAY
 ) -> DataFrame:

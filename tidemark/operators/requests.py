@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import keep_matching
+from tidemark.functions.joins import checked, keep_matching
 from tidemark.functions.text import (
     DEVICE_PATTERN,
     TYPE_PATTERN,
@@ -67,11 +67,12 @@ def validate_requests(req: DataFrame) -> DataFrame:
 def lookup_ids(parsed: DataFrame, readings: DataFrame) -> DataFrame:
     """Every request by id alone with its reading, ``OK``, ``READING_NOT_FOUND`` or its error.
 
-    Readings meet each wanted id once, however often it is requested.
+    Readings meet each wanted id once, however often it is requested, and are not shuffled
+    while the ids are few enough to broadcast.
     """
     asked = parsed.where("mode = 'id'")
     wanted = asked.where("error_code is null").select("id").distinct()
-    found = readings.select(*READING_COLUMNS).join(wanted, "id")
+    found = readings.select(*READING_COLUMNS).join(checked(wanted), "id")
     hits = found.select(F.col("id").alias("_id"), *READING_COLUMNS[1:], F.lit(True).alias("_hit"))
     valid = F.when(F.col("error_code").isNull(), F.col("id"))
     return (
