@@ -26,13 +26,15 @@ def lineitems(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Result types both engines share: decimals as double, instants without a zone."""
+    """Result types both engines share: decimals as double, instants without a zone, dates as text."""
     out = []
     for name, kind in df.dtypes:
         if kind.startswith("decimal"):
             out.append(F.col(name).cast("double").alias(name))
         elif kind == "timestamp":
             out.append(F.col(name).cast("timestamp_ntz").alias(name))
+        elif kind == "date":
+            out.append(F.col(name).cast("string").alias(name))
         else:
             out.append(F.col(name))
     return df.select(*out)

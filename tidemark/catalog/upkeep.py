@@ -128,12 +128,12 @@ def _spread_like(s, d):
     ))
 
 
-add("organised_layout", _layout, f"SELECT {COLS}, CAST(date_trunc('month', ts) AS DATE) AS month FROM readings")
+add("organised_layout", _layout, f"SELECT {COLS}, CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS month FROM readings")
 add("organised_month_range", _month_range,
     """SELECT id, device_id, ts, value FROM readings
     WHERE ts BETWEEN TIMESTAMP '1997-03-15' AND TIMESTAMP '1997-06-02'""", ORDERS_SQL)
 add("month_partitions", _by_month,
-    "SELECT id, device_id, ts, value, CAST(date_trunc('month', ts) AS DATE) AS month FROM readings", ORDERS_SQL)
+    "SELECT id, device_id, ts, value, CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS month FROM readings", ORDERS_SQL)
 add("retention_drop", _expired,
     "SELECT id, device_id, ts, value FROM readings WHERE ts >= TIMESTAMP '1998-06-01'", ORDERS_SQL)
 add("retention_filter", lambda s, d: plain(
