@@ -3,15 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import exact, jaccard, substrings
+import corpus_pipeline
+from tidemark.llm import (
+    exact,
+    extraction,
+    jaccard,
+    language,
+    materialise,
+    packing,
+    pieces,
+    quality,
+    substrings,
+    wordpiece,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written shards hold, read back from them."""
+    folder, _ = materialise.materialise(table(spark, sf_dir, "documents"))
+    return materialise.read_shards(spark, folder, with_ids=False)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -19,7 +48,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
-                             x -> x <> '') AS w
+                             lambda x: x <> '') AS w
   FROM documents),
 windows AS (
   SELECT doc_id, s, list_slice(w, s, s + 12) AS x
@@ -38,6 +67,14 @@ FROM words LEFT JOIN kept USING (doc_id)
 """
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,7 +85,7 @@ WITH RECURSIVE words AS (
     regexp_split_to_array(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x20\x09-\x0D]+'),
-    x -> x <> '') AS w
+    lambda x: x <> '') AS w
   FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, list_slice(w, s, s + 4) AS x
@@ -71,6 +108,10 @@ GROUP BY words.doc_id
 """
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -82,8 +123,22 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 CATALOG = {
+    "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op2_html_extraction": (op2_html_extraction, None),
+    "op3_quality_rules": (op3_quality_rules, None),
+    "op4_token_output": (op4_token_output, None),
     "op5_substring_dedup": (op5_substring_dedup, OP5_SQL),
+    "op6_sentencepiece": (op6_sentencepiece, None),
+    "op7_token_counts": (op7_token_counts, None),
     "op8_ngram_jaccard": (op8_ngram_jaccard, OP8_SQL),
+    "op9_language_id": (op9_language_id, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
+    "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }
