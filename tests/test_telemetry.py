@@ -134,6 +134,32 @@ def test_all_rules_from_samples(spark):
     assert fired == {name: severity for name, _, _, severity, _ in K.RULES}
 
 
+def test_rules_do_not_add_up_hosts(spark):
+    """Two hosts below a threshold never fire it; one host above it does, whatever the other does."""
+
+    def node(host, wait, idle, used):
+        out = []
+        for i in range(80):
+            t, labels = at(i * 5), {"instance": host, "cpu": "0"}
+            out += [
+                (t, "node_cpu_seconds_total", {**labels, "mode": "iowait"}, None, i * 5 * wait),
+                (t, "node_cpu_seconds_total", {**labels, "mode": "idle"}, None, i * 5 * idle),
+                (t, "redis_memory_used_bytes", {"instance": host}, None, used * K.CACHE_BYTES),
+            ]
+        return out
+
+    def fired(rows):
+        found = K.alerts(K.rule_series(samples(spark, rows)), K.rules_table(spark)).collect()
+        return {(r["rule"], "h2" in r["series"]) for r in found}
+
+    assert fired(node("h1", 0.15, 0.8, 0.5) + node("h2", 0.15, 0.8, 0.5)) == set()
+    assert fired(node("h1", 0.01, 0.9, 0.1) + node("h2", 0.5, 0.05, 0.95)) == {
+        ("HighIOWait", True),
+        ("CPUHighUsage", True),
+        ("RedisMemoryPressure", True),
+    }
+
+
 def test_verdicts_and_comparison(spark):
     summary = spark.createDataFrame(
         [("s", 300.0, 499.9, 0.01, 0.7)], "scenario string, p50_ms double, p95_ms double, error_share double, hit_ratio double"

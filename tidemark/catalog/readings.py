@@ -173,9 +173,11 @@ add("constraint_value_range", lambda s, d: plain(
         .select("id", F.array_join("violations", ",").alias("violations"))),
     """SELECT id, concat_ws(',', CASE WHEN reading_type NOT IN ('F', 'O') THEN 'type_unknown' END,
     CASE WHEN cents * 1000 >= 10000000000 THEN 'value_range' END) AS violations FROM readings""", ORDERS_SQL)
-add("quality_summary", lambda s, d: plain(Q.quality_summary(events(s, d)).drop("sum_value", "avg_value")),
+add("quality_summary", lambda s, d: plain(Q.quality_summary(events(s, d))),
     """SELECT count(*) AS total_rows, count(*) FILTER (WHERE value IS NULL OR reading_type IS NULL) AS null_values,
     min(value) AS min_value, max(value) AS max_value,
+    sum(value::DECIMAL(28, 6))::DOUBLE AS sum_value,
+    sum(value::DECIMAL(28, 6))::DOUBLE / count(value) AS avg_value,
     count(*) FILTER (WHERE value <> round(value, 6)) AS changed_by_rounding FROM readings""")
 add("reconcile", lambda s, d: Q.reconcile(events(s, d), P.by_type(events(s, d), "view")),
     """SELECT count(*) AS source_rows, count(DISTINCT device_id) AS source_devices,

@@ -14,7 +14,6 @@ from tidemark.plans import maintenance as M
 from tidemark.plans.stats import stats
 from tidemark.session import shared_folder
 from tidemark.sources import layout as Y
-from tidemark.sources import synth
 from tidemark.sources.csv import append_readings, load_csv
 from tidemark.sources.readings import read_layout
 
@@ -116,18 +115,6 @@ def _rollups(s, d):
     return {"hourly": R.hourly_rollup(df), "daily": R.daily_rollup(df), "global": R.global_rollup(df)}
 
 
-def _spread_like(s, d):
-    """Generated rows, as many as the table has, one summary row per type."""
-    n = events(s, d).count()
-    made = synth.synth_metadata(synth.synth_readings(s, n, 5000, 90, seed=7, partitions=8))
-    return plain(made.groupBy("reading_type", "unit").agg(
-        F.count(F.lit(1)).alias("reading_count"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.avg((F.col("device_id") < "sensor-001000").cast("double")).alias("hot_share"),
-    ))
-
-
 add("organised_layout", _layout, f"SELECT {COLS}, CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS month FROM readings")
 add("organised_month_range", _month_range,
     """SELECT id, device_id, ts, value FROM readings
@@ -142,7 +129,6 @@ add("retention_filter", lambda s, d: plain(
 add("csv_load", _csv,
     """SELECT device_id, reading_type, unit, count(*) AS reading_count, CAST(sum(cents) AS BIGINT) / CAST(100 AS DOUBLE) AS total,
     min(date_trunc('second', ts))::TIMESTAMP AS first_ts, count(*) AS ids, 0 AS below_start FROM readings GROUP BY ALL""")
-add("synthetic_readings", _spread_like, None)
 add("published_rollup", _published, f", {HOURLY_SQL} SELECT * FROM hourly")
 add("refresh_all_status", _refreshed_all,
     f""", {HOURLY_SQL}, {DAILY_SQL}, {GLOBAL_SQL}

@@ -18,6 +18,15 @@ def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def on_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null keys are equal too; the keys of ``left`` remain."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def beside(df: DataFrame, single: DataFrame) -> DataFrame:
     """Every row of ``df`` with the columns of a frame that has exactly one row."""
     return df.join(F.broadcast(single), F.lit(True))

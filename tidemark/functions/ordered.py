@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import on_same
+
 DAY = 86400
 
 
@@ -40,9 +42,9 @@ def previous(
     )
     across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk")
     carried = ends.select(*keys, "_chunk", F.lag("_last").over(across).alias("_carry"))
+    rows = rows.withColumn("_prev", F.lag(kept).over(within))
     return (
-        rows.withColumn("_prev", F.lag(kept).over(within))
-        .join(carried, [*keys, "_chunk"])
+        on_same(rows, carried, [*keys, "_chunk"])
         .withColumn("_prev", F.coalesce("_prev", "_carry"))
         .drop("_chunk", "_carry")
     )
@@ -61,9 +63,9 @@ def running_max(
         Window.unboundedPreceding, -1
     )
     carried = tops.select(*keys, "_chunk", F.max("_top").over(across).alias("_carry"))
+    rows = rows.withColumn(name, F.max("_x").over(within))
     return (
-        rows.withColumn(name, F.max("_x").over(within))
-        .join(carried, [*keys, "_chunk"])
+        on_same(rows, carried, [*keys, "_chunk"])
         .withColumn(name, F.greatest(name, "_carry"))
         .drop("_chunk", "_carry", "_x")
     )
@@ -100,7 +102,7 @@ def islands(
         )
     )
     return (
-        local.join(heads, [*keys, "_chunk"])
+        on_same(local, heads, [*keys, "_chunk"])
         .withColumn("island", F.coalesce("_lead", "_open")[order[0]])
         .drop("_chunk", "_prev", "_start", "_lead", "_open")
     )

@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import on_same
 from tidemark.functions.numbers import floor_div
 from tidemark.session import written
 
@@ -40,12 +41,12 @@ def large_groups(df: DataFrame, keys: list[str], rows: int = SMALL_GROUP) -> Dat
 
 
 def value_counts(rows: DataFrame, keys: list[str], precision: int) -> DataFrame:
-    """(keys, ``_v``, ``_n``) for rows whose keys and value are present.
+    """(keys, ``_v``, ``_n``) for rows whose value is present.
 
     The conditions name everything later joins need, so that all uses of the counts have the
     same plan and Spark runs and shuffles them once.
     """
-    for present in [*keys, "_v", *[F.shiftright("_v", s) for s in _shifts(precision) if s]]:
+    for present in ["_v", *[F.shiftright("_v", s) for s in _shifts(precision) if s]]:
         rows = rows.where((F.col(present) if isinstance(present, str) else present).isNotNull())
     return rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
 
@@ -89,75 +90,14 @@ def exact_percentiles(
 ) -> DataFrame:
     """Per key, ``p<percent>_x100``: 100 times the interpolated percentile of ``value``.
 
-    ``value`` is a whole number below 10**precision in size; rows with a null key or value do
-    not count. The factor 100 keeps the interpolation weight exact: percentile = x100 / 100.
+    ``value`` is a whole number below 10**precision in size; rows without a value do not count,
+    and rows with a null key are a group like any other. The factor 100 keeps the interpolation
+    weight exact: percentile = x100 / 100.
     """
     rows = df.select(*keys, value.cast("bigint").alias("_v"))
     return percentiles_of_counts(value_counts(rows, keys, precision), keys, percents, precision)
 
 
-def value_counts(rows: DataFrame, keys: list[str], precision: int) -> DataFrame:
-    """(keys, ``_v``, ``_n``) for rows whose keys and value are present.
-
-    The conditions name everything later joins need, so that all uses of the counts have the
-    same plan and Spark runs and shuffles them once.
-    """
-    for present in [*keys, "_v", *[F.shiftright("_v", s) for s in _shifts(precision) if s]]:
-        rows = rows.where((F.col(present) if isinstance(present, str) else present).isNotNull())
-    return rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-
-
-def _shifts(precision: int) -> list[int]:
-    return [BITS * i for i in reversed(range(levels_for(precision)))]
-
-
-def exact_percentiles(
-    df: DataFrame,
-    keys: list[str],
-    value: Column,
-    percents: list[int],
-    precision: int = 15,
-    large: DataFrame | None = None,
-) -> DataFrame:
-    """Per key, ``p<percent>_x100``: 100 times the interpolated percentile of ``value``.
-
-    ``value`` is a whole number below 10**precision in size; rows with a null key or value do
-    not count. The factor 100 keeps the interpolation weight exact: percentile = x100 / 100.
-    ``large`` holds the keys of the groups that are too large for one task. Without it, or when
-    they are too many to broadcast, every group is treated as large.
-    """
-    rows = df.select(*keys, value.cast("bigint").alias("_v"))
-    if large is None or not is_small(large):
-        return _of_large(rows, keys, percents, precision)
-    if large.isEmpty():
-        return _of_small(rows, keys, percents)
-    listed = F.broadcast(large)
-    return _of_small(rows.join(listed, keys, "left_anti"), keys, percents).unionByName(
-        _of_large(rows.join(listed, keys, "left_semi"), keys, percents, precision)
-    )
-
-
-def _of_small(rows: DataFrame, keys: list[str], percents: list[int]) -> DataFrame:
-    """Picks from the sorted values of groups whose size is bounded."""
-    groups = rows.where("_v is not null").groupBy(*keys).agg(
-        F.sort_array(F.collect_list("_v")).alias("_sorted")
-    )
-    n = F.size("_sorted").cast("bigint")
-
-    def at(percent: int) -> Column:
-        low = floor_div((n - 1) * percent, 100)
-        weight = ((n - 1) * percent) % 100
-        first = F.get("_sorted", low.cast("int"))
-        second = F.get("_sorted", F.least(low + 1, n - 1).cast("int"))
-        return first * (100 - weight) + second * weight
-
-    return groups.select(*keys, *[at(p).alias(f"p{p}_x100") for p in percents])
-
-
-def _of_large(rows: DataFrame, keys: list[str], percents: list[int], precision: int) -> DataFrame:
-    return percentiles_of_counts(value_counts(rows, keys, precision), keys, percents, precision)
-
-
 def percentiles_of_counts(
     counted: DataFrame, keys: list[str], percents: list[int], precision: int
 ) -> DataFrame:
@@ -172,9 +112,8 @@ def percentiles_of_counts(
 
     for upper, lower in zip(shifts, shifts[1:]):
         parts = _bucketed(counted, keys, [F.shiftright("_v", upper).alias("_up")], lower)
-        opened = parts.join(
-            found.select(*keys, F.col("_p").alias("_up"), "_total", "_wanted"), [*keys, "_up"]
-        )
+        wanted = found.select(*keys, F.col("_p").alias("_up"), "_total", "_wanted")
+        opened = on_same(parts, wanted, [*keys, "_up"])
         found = _keep_wanted(opened, Window.partitionBy(*keys, "_up").orderBy("_p"))
 
     hits = found.select(*keys, "_total", "_p", F.explode("_wanted").alias("_w"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.joins import checked
 from tidemark.functions.ordered import islands
-from tidemark.operators.telemetry import counter_rate, gauge_share, histogram_quantile
+from tidemark.operators.telemetry import counter_rate, histogram_quantile
 
 # Rule, threshold, hold seconds, severity, component. All fire above the threshold.
 RULES = (
@@ -59,50 +59,66 @@ def alerts(series: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rule_series(samples: DataFrame, slide: int = 5) -> DataFrame:
-    """The series of all rules from raw samples, evaluated every ``slide`` seconds."""
+    """The series of all rules from raw samples, evaluated every ``slide`` seconds.
 
-    def named(rule: str, df: DataFrame, series, value) -> DataFrame:
-        ts = "window_start" if "window_start" in df.columns else "ts"
-        return df.select(
-            F.lit(rule).alias("rule"), series.alias("series"), F.col(ts).alias("ts"), value.alias("value")
+    There is one series per label set, so hosts never add up; only the pool's connections are
+    summed, quantiles leave out ``le`` and the error ratio ``status``.
+    """
+
+    def labelled(*without: str) -> DataFrame:
+        """Samples with their label set, but for some labels, as one more label."""
+        pairs = F.filter(F.map_entries("labels"), lambda e: ~e["key"].isin(*without))
+        told = F.array_sort(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])))
+        return samples.withColumn(
+            "labels", F.map_concat("labels", F.create_map(F.lit("_set"), F.concat_ws(",", told)))
         )
 
     def cpu(mode: str) -> DataFrame:
         return counter_rate(
-            samples, "node_cpu_seconds_total", ["cpu"], 120, slide, F.col("labels")["mode"] == mode
+            labelled("mode"), "node_cpu_seconds_total", ["_set"], 120, slide,
+            F.col("labels")["mode"] == mode,
         )
 
     def gauge(metric: str) -> DataFrame:
-        return samples.where(F.col("metric") == metric).groupBy("ts").agg(F.sum("value").alias("v"))
+        return (
+            labelled()
+            .where(F.col("metric") == metric)
+            .groupBy(F.col("labels")["_set"].alias("_set"), "ts")
+            .agg(F.max("value").alias("v"))
+        )
+
+    def named(rule: str, df: DataFrame, value) -> DataFrame:
+        ts = "window_start" if "window_start" in df.columns else "ts"
+        return df.select(
+            F.lit(rule).alias("rule"), F.col("_set").alias("series"), F.col(ts).alias("ts"),
+            value.alias("value"),
+        )
 
-    one = F.lit("")
     swap = gauge("node_memory_SwapTotal_bytes").join(
-        gauge("node_memory_SwapFree_bytes").withColumnRenamed("v", "free"), "ts"
+        gauge("node_memory_SwapFree_bytes").withColumnRenamed("v", "free"), ["_set", "ts"]
     )
     buckets = counter_rate(
-        samples, "http_request_duration_seconds_bucket", ["endpoint", "le"], 120, slide
+        labelled("le"), "http_request_duration_seconds_bucket", ["_set", "le"], 120, slide
     )
-    latency = histogram_quantile(buckets, 0.95, ["window_start", "endpoint"], "rate")
-    total = counter_rate(samples, "http_requests_total", ["endpoint", "status"], 60, slide)
-    errors = total.groupBy("window_start", "endpoint").agg(
+    latency = histogram_quantile(buckets, 0.95, ["window_start", "_set"], "rate")
+    total = counter_rate(labelled("status"), "http_requests_total", ["_set", "status"], 60, slide)
+    errors = total.groupBy("window_start", "_set").agg(
         F.sum(F.when(F.col("status").startswith("5"), F.col("rate")).otherwise(0.0)).alias("bad"),
         F.sum("rate").alias("all"),
     )
+    pool = gauge("pg_stat_activity_count").groupBy("ts").agg(F.sum("v").alias("v"))
     return (
-        named("HighIOWait", cpu("iowait"), F.coalesce("cpu", one), F.col("rate"))
-        .unionByName(named("CPUHighUsage", cpu("idle"), F.coalesce("cpu", one), 1 - F.col("rate")))
-        .unionByName(named("MemoryPressure", swap, one, F.col("v") - F.col("free")))
-        .unionByName(named("HighLatency", latency, F.coalesce("endpoint", one), F.col("quantile")))
-        .unionByName(
-            named("HighErrorRate", errors, F.coalesce("endpoint", one), F.try_divide("bad", "all"))
-        )
-        .unionByName(named("PoolExhaustion", gauge("pg_stat_activity_count"), one, F.col("v")))
+        named("HighIOWait", cpu("iowait"), F.col("rate"))
+        .unionByName(named("CPUHighUsage", cpu("idle"), 1 - F.col("rate")))
+        .unionByName(named("MemoryPressure", swap, F.col("v") - F.col("free")))
+        .unionByName(named("HighLatency", latency, F.col("quantile")))
+        .unionByName(named("HighErrorRate", errors, F.try_divide("bad", "all")))
+        .unionByName(named("PoolExhaustion", pool.withColumn("_set", F.lit("")), F.col("v")))
         .unionByName(
             named(
                 "RedisMemoryPressure",
-                gauge_share(samples, "redis_memory_used_bytes", CACHE_BYTES),
-                one,
-                F.col("share"),
+                gauge("redis_memory_used_bytes"),
+                F.col("v") / F.lit(float(CACHE_BYTES)),
             )
         )
     ).where("value is not null")

@@ -52,8 +52,10 @@ def quality_summary(df: DataFrame, places: int = 6) -> DataFrame:
         F.max("value").alias("max_value"),
         F.sum(F.col("value").cast("decimal(28,6)")).alias("sum_value"),
         F.count_if(F.col("value") != F.round("value", places)).alias("changed_by_rounding"),
-    ).withColumn(
-        "avg_value", F.col("sum_value") / (F.col("total_rows") - F.col("null_values"))
+        F.try_divide(
+            F.sum(F.col("value").cast("decimal(28,6)")).cast("double"),
+            F.count("value").cast("double"),
+        ).alias("avg_value"),
     )
 
 

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import is_small
+from tidemark.functions.joins import is_small, on_same
 from tidemark.functions.numbers import (
     from_units,
     mean_units,
@@ -110,15 +110,16 @@ def daily_rollup(df: DataFrame, large: DataFrame | None = None) -> DataFrame:
     if large.isEmpty():
         return _daily_of_small(daily)
     listed = F.broadcast(large)
-    small = _daily_of_small(daily.join(listed, DAILY_KEY, "left_anti"))
-    return small.unionByName(_daily_of_large(daily.join(listed, DAILY_KEY, "left_semi")))
+    small = _daily_of_small(on_same(daily, listed, DAILY_KEY, "left_anti"))
+    return small.unionByName(_daily_of_large(on_same(daily, listed, DAILY_KEY, "left_semi")))
 
 
 def _daily_of_large(daily: DataFrame) -> DataFrame:
     precision, scale = _decimal_type(daily)
     value = units(F.col("value"), scale)
     ranks = exact_percentiles(daily, DAILY_KEY, value, list(PERCENTS), precision)
-    return _daily_columns(_grouped(daily, DAILY_KEY, STAT_NAMES, {}).join(ranks, DAILY_KEY, "left"), scale)
+    stats = _grouped(daily, DAILY_KEY, STAT_NAMES, {})
+    return _daily_columns(on_same(stats, ranks, DAILY_KEY, "left"), scale)
 
 
 def _daily_of_small(daily: DataFrame) -> DataFrame:
@@ -141,10 +142,6 @@ def _daily_columns(stats: DataFrame, scale: int) -> DataFrame:
     )
 
 
-def daily_keys(df: DataFrame) -> DataFrame:
-    return df.withColumn("day", F.date_trunc("day", "ts"))
-
-
 def large_daily_groups(df: DataFrame) -> DataFrame:
     return large_groups(daily_keys(df), DAILY_KEY)
 

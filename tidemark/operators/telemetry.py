@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import beside, checked
+from tidemark.functions.joins import beside, checked, on_same
 from tidemark.functions.numbers import power_sums, units
 from tidemark.functions.ordered import previous
 from tidemark.functions.percentiles import exact_percentiles
@@ -213,7 +213,7 @@ def run_summary(log: DataFrame, by: list[str], percents: list[int] | None = None
         ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1_000_000).alias("_span"),
     )
     ranks = exact_percentiles(log, by, whole, percents, kind.precision)
-    both = sums.join(ranks, by, "left") if by else beside(sums, ranks)
+    both = on_same(sums, ranks, by, "left") if by else beside(sums, ranks)
     return both.select(
         *by,
         "requests",

@@ -9,6 +9,7 @@ from tidemark.functions.joins import beside
 from tidemark.operators import rollups as R
 from tidemark.operators.filters import between_ts, moment
 from tidemark.sources.layout import publish_rollup
+from tidemark.sources.paths import drop_folder, folders
 
 BUCKET = {"hourly": "hour", "daily": "day"}
 KEYS = {"hourly": R.HOURLY_KEY, "daily": R.DAILY_KEY, "global": R.GLOBAL_KEY}
@@ -78,10 +79,18 @@ def refresh_recent_dates(
     """Incremental refresh of a table written by ``write_rollup_by_date``.
 
     Reads only the readings of the look-back and rewrites only their dates. The cutoff is
-    aligned to a day, so that no date is replaced by part of it.
+    aligned to a day, so that no date is replaced by part of it. Dates of the look-back that
+    have no readings any more are dropped; there is a folder a date, so the list is short.
     """
     edge = cutoff(as_of, LOOK_BACK_DAYS[kind] if days is None else days, "day")
-    write_rollup_by_date(build(kind, between_ts(df, frm=edge)), BUCKET[kind], path)
+    recent = between_ts(df, frm=edge)
+    write_rollup_by_date(build(kind, recent), BUCKET[kind], path)
+    there = {str(r["d"]) for r in recent.select(F.to_date("ts").alias("d")).distinct().collect()}
+    first = str(df.sparkSession.range(1).select(F.to_date(edge).alias("d")).first()["d"])
+    for name in folders(df.sparkSession, path):
+        date = name.removeprefix("bucket_date=")
+        if name.startswith("bucket_date=") and first <= date and date not in there:
+            drop_folder(df.sparkSession, f"{path}/{name}")
 
 
 def read_rollup_by_date(spark: SparkSession, path: str) -> DataFrame:
