@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shared as S
 from tidemark.llm.links import components
+from tidemark.llm.shared import discard
 from tidemark.session import written
 
 WORDS = 5
@@ -337,6 +338,7 @@ def _class_links(sets: DataFrame) -> DataFrame:
     many = units.groupBy("block").agg(F.countDistinct("unit").alias("n")).where("n > 1")
     spread = units.join(many.select("block"), "block")
     if not spread.take(1):
+        discard(able, units)
         return links
     rooted = written(_rooted(spread, links), "jaccard-rooted")
     firsts = rooted.groupBy("unit", "root").agg(F.min("class").alias("class"))
@@ -348,7 +350,9 @@ def _class_links(sets: DataFrame) -> DataFrame:
     queries = rooted.join(
         largest.select("block", F.col("x.root").alias("main")), "block"
     ).where(F.col("root") != F.col("main")).drop("main")
-    return written(links.unionByName(_ask(rooted, queries)), "jaccard-links")
+    links = written(links.unionByName(_ask(rooted, queries)), "jaccard-links")
+    discard(able, units, rooted)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -369,6 +373,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     )
     sets = held.join(collected, "bundle", "left").mapInArrow(_sets(words, parts), SET_DDL)
     sets = written(sets, "jaccard-sets")
+    discard(held)
     roots = components(_class_links(sets)).withColumnRenamed("node", "class")
     classes = (
         sets.where("class is not null")

@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.paths import drop_folder
+
 PACKAGE = Path(__file__).resolve().parents[1]
 
 BATCH_ROWS = 1000
@@ -46,6 +48,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later step reads: what came of them is written itself."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_folder(df.sparkSession, folder)
+
+
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 
@@ -63,7 +72,7 @@ def new_id(number: int) -> int:
 class WordHashes(dict):
     """64-bit hashes of words, remembered; cleared before it outgrows a worker."""
 
-    MOST = 500_000
+    MOST = 300_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -161,12 +170,13 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row():
         body = zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
         other = None
+        press = zstandard.ZstdCompressor(level=1).compress
         if rest and rest[0].num_columns:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest[0].schema) as out:
                 for x in rest:
                     out.write_batch(x)
-            other = sink.getvalue().to_pybytes()
+            other = press(sink.getvalue().to_pybytes())
         return record([(new_id(number), ids, sizes, body, other)], BUNDLE_DDL)
 
     for batch in batches:
@@ -191,16 +201,18 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bundles(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     """Documents as they lie in the input, some megabytes of text to a compressed row; no shuffle.
 
-    Null text becomes empty text. ``whole_rows`` packs every column beside them. The ids of
-    bundles are fixed only once the result is written.
+    Null text becomes empty text. ``whole_rows`` packs every other column beside it, and in
+    place of the text whether it was null. The ids of bundles are fixed only once the result is
+    written.
     """
     attach(docs.sparkSession)
     held = [F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("__text")]
-    return docs.select(*held, *(docs.columns if whole_rows else [])).mapInArrow(_bundles, BUNDLE_DDL)
+    rest = [F.col(c).isNull().alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    return docs.select(*held, *(rest if whole_rows else [])).mapInArrow(_bundles, BUNDLE_DDL)
 
 
 def bundle_rest(rest: bytes) -> pa.Table:
-    return pa.ipc.open_stream(rest).read_all()
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)).read_all()
 
 
 def bundle_texts(size: list[int], body: bytes) -> Iterator[bytes]:

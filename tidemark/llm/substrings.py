@@ -247,7 +247,9 @@ def _rewrite(length: int, count: int):
         for batch in batches:
             for row in batch.to_pylist():
                 table = S.bundle_rest(row["rest"])
-                old = table.column("text").to_pylist()
+                raws = S.bundle_texts(row["size"], row["body"])
+                nulls = table.column("text").to_pylist()
+                old = [None if null else raw.decode() for raw, null in zip(raws, nulls)]
                 new, stays = [], []
                 for text, (own, kept) in zip(old, _left(row, length, count)):
                     new.append(text if len(kept) == len(own) else b" ".join(kept).decode())
@@ -260,7 +262,8 @@ def _rewrite(length: int, count: int):
                             values = [
                                 n if a is not b else w for n, a, b, w in zip(values, new, old, was)
                             ]
-                        table = table.set_column(at, name, pa.array(values, table.schema.types[at]))
+                        kind = pa.string() if name == "text" else table.schema.types[at]
+                        table = table.set_column(at, name, pa.array(values, kind))
                 yield from table.filter(pa.array(stays)).to_batches(max_chunksize=500)
 
     return run

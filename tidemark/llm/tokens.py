@@ -44,7 +44,7 @@ def _plain(text: bytes) -> bytes:
 class WordEncoder:
     """Ids of texts by a tokenizer whose pre-tokenizer splits at white space."""
 
-    MOST = 1_200_000
+    MOST = 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
