@@ -1,10 +1,12 @@
-"""Token sequences in training order: a keyed permutation gives every sequence its global slot.
-
-Sequences are numbered as they lie in the input, partition after partition. A Feistel network
-over the next even number of bits, walked until it lands inside, permutes exactly these numbers,
-so a slot is computed where the sequence is and no shuffle table exists. Slots are written in
-shards of a fixed number of records of a fixed length: record k of the corpus is at byte
-(k mod shard) * stride of shard k div shard, and reading can go on from any slot.
+"""Token sequences in training order: a keyed permutation gives every sequence its place.
+
+Before a text is tokenised its bytes already bound how many sequences it can become, so every
+possible sequence has a number. A Feistel network over the next even number of bits, walked until
+it lands inside, permutes exactly these numbers: each sequence gets its place in the training order
+where it is, the only pass over the texts tokenises and writes, and no shuffle table exists. Ranges
+of places are shards. Within a shard records lie in order and have one length; a table of the
+shards' sizes turns places into gapless slots, and record k of a shard whose first slot is f is
+slot f + k, at byte k * stride. Reading is front to back and can go on from any slot.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import checked
 from tidemark.llm import shared as S
 from tidemark.llm.tokens import encoder, vocabulary
 from tidemark.session import shared_folder
@@ -29,6 +33,10 @@ PAD = 65535
 NO_DOC = -(1 << 63)
 HEADER = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("length", "<i4")])
 ROUNDS = 6
+#: Composition makes a text at most three times as long, lower case half as much again; a token has a byte.
+MOST_PER_BYTE = 5
+#: Shards summed up together when slots are counted.
+BLOCK = 4096
 
 
 class Permutation:
@@ -68,58 +76,99 @@ class Permutation:
         return self._walk(slots, True)
 
 
-def _sequences(batches, path: str | None, length: int):
-    """``(doc_id, piece, ids)`` of each document and its end id, cut at ``length``."""
-    own = encoder(path or vocabulary("word_bpe_49k.json"))
-    for batch in batches:
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(texts)):
-            ids = np.append(ids, np.uint32(END))
-            for piece, start in enumerate(range(0, len(ids), length)):
-                yield doc_id, piece, ids[start : start + length]
+def _format(length: int) -> np.dtype:
+    return np.dtype([("head", HEADER), ("ids", "<u2", length), ("end", "S1")])
 
 
-def _size(path: str | None, length: int):
+def stride_of(length: int) -> int:
+    """Bytes of a record: its header, its ids, and one line feed."""
+    return _format(length).itemsize
+
+
+def _records(doc_ids: list, texts: list[bytes], own, length: int) -> np.ndarray:
+    """The records of whole documents: ids and the end id, cut at ``length`` and filled up."""
+    ids = own.encode(texts)
+    sizes = np.array([len(x) + 1 for x in ids], np.int64)
+    pieces = -(-sizes // length)
+    ends = np.cumsum(pieces)
+    flat = np.full(int(ends[-1]) * length, PAD, "<u2")
+    for found, start in zip(ids, ((ends - pieces) * length).tolist()):
+        flat[start : start + len(found)] = found
+        flat[start + len(found)] = END
+    out = np.zeros(int(ends[-1]), _format(length))
+    named = np.array([NO_DOC if d is None else d for d in doc_ids], np.int64)
+    piece = np.arange(len(out)) - np.repeat(ends - pieces, pieces)
+    out["head"]["doc_id"] = np.repeat(named, pieces)
+    out["head"]["piece"] = piece
+    out["head"]["length"] = np.minimum(np.repeat(sizes, pieces) - piece * length, length)
+    out["ids"] = flat.reshape(-1, length)
+    return out
+
+
+RECORD_DDL = "place long, shard long, record binary"
+
+
+def _as_arrow(places: np.ndarray, width: int, records: np.ndarray) -> pa.RecordBatch:
+    """Records without their line feed, which the writer of lines adds."""
+    size = records.itemsize - 1
+    raw = np.ascontiguousarray(records.view(np.uint8).reshape(len(records), -1)[:, :size])
+    offsets = np.arange(len(records) + 1, dtype=np.int32) * np.int32(size)
+    rows = pa.Array.from_buffers(
+        pa.binary(), len(records), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+    )
+    return pa.RecordBatch.from_arrays(
+        [pa.array(places), pa.array(places // width), rows], names=["place", "shard", "record"]
+    )
+
+
+def _place(path: str | None, length: int, firsts, total: int, width: int, key: int):
     def run(batches):
-        n = sum(1 for _ in _sequences(batches, path, length))
-        yield S.record([(TaskContext.get().partitionId(), n)], "part int, n long")
+        own = encoder(path or vocabulary("word_bpe_49k.json"))
+        order, number = Permutation(total, key), firsts.value.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            records = _records(batch.column(0).to_pylist(), texts, own, length)
+            numbers = np.arange(number, number + len(records))
+            number += len(records)
+            if number > total:
+                raise ValueError("texts have more sequences than their bytes allow")
+            places = order.slots(numbers)
+            for k in range(0, len(records), 2000):
+                yield _as_arrow(places[k : k + 2000], width, records[k : k + 2000])
 
     return run
 
 
-RECORD_DDL = "slot long, shard long, record binary"
+def _allowed(length: int, per_byte: int):
+    """Sequences a text has at so many tokens a byte, and the end id."""
+    return F.expr(f"(coalesce(octet_length(text), 0L) * {per_byte} + {length}) div {length}")
 
 
-def _place(path: str | None, length: int, per_shard: int, firsts, total: int, key: int):
-    def run(batches):
-        order = Permutation(total, key)
-        number = firsts.value[TaskContext.get().partitionId()]
-        rows: list[bytes] = []
-
-        def record():
-            slots = order.slots(np.arange(number - len(rows), number)).tolist()
-            return S.record(
-                [(s, s // per_shard, row) for s, row in zip(slots, rows)], RECORD_DDL
-            )
-
-        for doc_id, piece, ids in _sequences(batches, path, length):
-            whole = np.full(length, PAD, "<u2")
-            whole[: len(ids)] = ids
-            head = np.array((NO_DOC if doc_id is None else doc_id, piece, len(ids)), HEADER)
-            rows.append(head.tobytes() + whole.tobytes())
-            number += 1
-            if len(rows) == 2000:
-                yield record()
-                rows.clear()
-        if rows:
-            yield record()
+SHARDS_DDL = "shard long, records long, first long"
 
-    return run
 
+def _count_slots(spark: SparkSession, folder: str, length: int) -> None:
+    """Writes how many records each shard has and which slot is its first.
 
-def stride_of(length: int) -> int:
-    """Bytes of a record: its header, its ids, and one line feed."""
-    return HEADER.itemsize + 2 * length + 1
+    Sizes come from the files' lengths. Shards are summed in blocks, and only the blocks, one
+    for some hundred million sequences, are ordered in one place.
+    """
+    files = spark.read.format("binaryFile").load(f"{folder}/shards")
+    sizes = files.groupBy(F.col("shard").cast("long").alias("shard")).agg(
+        (F.sum("length") / stride_of(length)).cast("long").alias("records")
+    ).withColumn("block", F.floor(F.col("shard") / BLOCK))
+
+    def earlier(ordered):
+        return F.sum("records").over(ordered) - F.col("records")
+
+    blocks = sizes.groupBy("block").agg(F.sum("records").alias("records"))
+    blocks = blocks.select("block", earlier(Window.orderBy("block")).alias("before"))
+    within = earlier(Window.partitionBy("block").orderBy("shard"))
+    sizes.withColumn("within", within).join(blocks, "block").select(
+        "shard", "records", (F.col("before") + F.col("within")).alias("first")
+    ).write.parquet(f"{folder}/slots")
 
 
 def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH,
@@ -128,49 +177,57 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
 
     Each document's ids and the end id are cut into sequences of at most ``length``; shorter
     ones are filled with 65535. Null text gives the end id alone, rows that repeat are
-    sequences of their own, and an empty table writes no record. A first pass counts sequences
-    per input partition, as numbering rows always needs; the counts are two numbers a partition
-    and go to all tasks.
+    sequences of their own, and an empty table writes no record. Shards have about as many
+    records as each other, and not above ``per_shard`` where a token has a byte or more on
+    average. Before, the bytes of the texts are summed per input partition, as numbering always
+    needs; the sums are two numbers a partition and go to all tasks.
     """
     spark = docs.sparkSession
     S.attach(spark)
     rows = S.texts(docs)
-    sizes = rows.mapInArrow(_size(path, length), "part int, n long").collect()
+    sums = rows.groupBy(F.spark_partition_id().alias("part")).agg(
+        F.sum(_allowed(length, MOST_PER_BYTE)).cast("long").alias("most"),
+        F.sum(_allowed(length, 1)).cast("long").alias("likely"),
+    ).collect()
     firsts, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["part"]):
+    for r in sorted(sums, key=lambda r: r["part"]):
         firsts[r["part"]] = total
-        total += r["n"]
+        total += r["most"]
     folder = folder or shared_folder(spark, "training-order")
+    shards = max(1, S.ceil_div(sum(r["likely"] for r in sums), per_shard))
+    width = max(1, S.ceil_div(total, shards))
     shipped = spark.sparkContext.broadcast(firsts)
-    placed = rows.mapInArrow(_place(path, length, per_shard, shipped, total, key), RECORD_DDL)
-    shards = S.ceil_div(total, per_shard)
-    dealt = placed.repartition(max(shards, 12), "shard").sortWithinPartitions("shard", "slot")
+    placed = rows.mapInArrow(_place(path, length, shipped, total, width, key), RECORD_DDL)
+    dealt = placed.repartition(max(shards, 12), "shard").sortWithinPartitions("shard", "place")
     # raw bytes pass through a text file unchanged, and each record ends in one line feed
     lines = dealt.select(F.col("record").cast("string").alias("value"), "shard")
     lines.write.partitionBy("shard").text(f"{folder}/shards")
-    return folder, total
+    if not total:
+        return folder, 0
+    _count_slots(spark, folder, length)
+    slots = spark.read.schema(SHARDS_DDL).parquet(f"{folder}/slots")
+    return folder, slots.agg(F.sum("records")).first()[0]
 
 
 READ_DDL = "slot long, doc_id long, piece int, length int, ids_crc32 long"
 
 
-def _records(length: int, per_shard: int, with_ids: bool):
-    stride = stride_of(length)
+def _read(length: int, with_ids: bool):
+    form = _format(length)
 
     def run(batches):
         for batch in batches:
-            for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
-                for k in range(len(raw) // stride):
-                    at = k * stride
-                    doc_id, piece, n = np.frombuffer(raw, HEADER, 1, at)[0].tolist()
-                    start = at + HEADER.itemsize
-                    ids = raw[start : start + 2 * n]
-                    slot = shard * per_shard + k
-                    row = (slot, None if doc_id == NO_DOC else doc_id, piece, n, zlib.crc32(ids))
-                    rows.append((*row, ids) if with_ids else row)
-                for k in range(0, len(rows), 2000):
-                    yield S.record(rows[k : k + 2000], READ_DDL + ", ids binary" * with_ids)
+            for first, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                records = np.frombuffer(raw, form)
+                for k in range(0, len(records), 2000):
+                    rows = []
+                    for i, (doc_id, piece, n) in enumerate(records["head"][k : k + 2000].tolist(), k):
+                        start = i * form.itemsize + HEADER.itemsize
+                        ids = raw[start : start + 2 * n]
+                        doc_id = None if doc_id == NO_DOC else doc_id
+                        row = (first + i, doc_id, piece, n, zlib.crc32(ids))
+                        rows.append((*row, ids) if with_ids else row)
+                    yield S.record(rows, READ_DDL + ", ids binary" * with_ids)
 
     return run
 
@@ -179,16 +236,19 @@ def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shar
                 with_ids: bool = True, first: int = 0) -> DataFrame:
     """``slot, doc_id, piece, length, ids_crc32`` and the 16-bit ``ids`` from slot ``first`` on.
 
-    Shards are read front to back; those wholly before ``first`` are not opened.
+    Shards are read front to back; those wholly before ``first`` are not opened. How many records
+    a shard has is read from the folder, whatever ``per_shard`` it was written with.
     """
     S.attach(spark)
+    ddl = READ_DDL + ", ids binary" * with_ids
     files = spark.read.format("binaryFile").load(f"{folder}/shards")
     if "shard" not in files.columns:  # nothing was written
-        return spark.createDataFrame([], READ_DDL + ", ids binary" * with_ids)
-    files = files.where(F.col("shard") >= first // per_shard).select(
-        F.col("shard").cast("long"), "content"
-    )
-    found = files.mapInArrow(
-        _records(length, per_shard, with_ids), READ_DDL + ", ids binary" * with_ids
-    )
-    return found.where(F.col("slot") >= first)
+        return spark.createDataFrame([], ddl)
+    slots = spark.read.schema(SHARDS_DDL).parquet(f"{folder}/slots")
+    wanted = slots.where(F.col("first") + F.col("records") > first)
+    start = wanted.agg(F.min("shard")).first()[0]
+    if start is None:
+        return spark.createDataFrame([], ddl)
+    files = files.select(F.col("shard").cast("long"), "content").where(F.col("shard") >= start)
+    opened = files.join(checked(wanted.select("shard", "first")), "shard").select("first", "content")
+    return opened.mapInArrow(_read(length, with_ids), ddl).where(F.col("slot") >= first)
