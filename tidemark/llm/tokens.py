@@ -22,7 +22,7 @@ def vocabulary(name: str) -> str:
 
 
 #: A full stop or comma after a letter and before white space is a token of its own.
-_STOPS = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n]|$)")
+_STOPS = re.compile(r"[.,](?<=[a-z\u00df-\u00f6\u00f8-\u00ff].)(?=[ \n]|$)")
 
 
 def _plain(text: bytes) -> bytes:
@@ -38,7 +38,7 @@ def _plain(text: bytes) -> bytes:
         plain.encode("latin-1")
     except UnicodeEncodeError:
         return text
-    return _STOPS.sub(r" \1", plain.lower()).encode()
+    return _STOPS.sub(r" \g<0>", plain.lower()).encode()
 
 
 class WordEncoder:
