@@ -2,9 +2,45 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact, jaccard, language, packing, substrings
+from tidemark.session import shared_folder, written
+from tidemark.sources.paths import drop_folder
+
+#: Folders that the result of the latest stage was read from.
+_SPENT: set[str] = set()
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def _free(spark: SparkSession, own: set[str]) -> None:
+    """Deletes the tables of the stage before, whose result has been written and read again.
+
+    Tables that the documents are still read from, as in a chain without writing, stay.
+    """
+    for folder in sorted(_SPENT - own):
+        drop_folder(spark, folder)
+    _SPENT.clear()
+
+
+def frees(work):
+    """A stage that deletes the tables of the one before and leaves its own to the next."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = _folders(docs)
+        _free(spark, own)
+        out = work(spark, docs, sf_dir)
+        base = shared_folder(spark, "x").rsplit("/", 1)[0].split(":")[-1] + "/"
+        _SPENT.update(f for f in _folders(out) - own if base in f)
+        return out
+
+    return run_stage
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,16 +48,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.drop_unknown(docs)
 
 
+@frees
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of equal texts, the one with the largest doc_id."""
     return exact.drop_exact_duplicates(docs)
 
 
+@frees
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of documents linked by shingle similarity, the one with the least doc_id."""
     return jaccard.drop_near_duplicates(docs)
 
 
+@frees
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that an earlier document has; documents left without words go."""
     return substrings.drop_repeats(docs)
@@ -29,6 +68,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the remaining documents, packed into sequences."""
+    _free(spark, _folders(docs))
     return packing.packed_documents(docs)
 
 
@@ -46,6 +86,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, work in STAGES[:-1]:
+        docs = written(work(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
