@@ -190,8 +190,22 @@ add("reconcile", lambda s, d: Q.reconcile(events(s, d), P.by_type(events(s, d),
 add("row_count", lambda s, d: A.row_count(events(s, d)), "SELECT count(*) AS row_count FROM readings")
 add("device_count", lambda s, d: A.device_count(events(s, d)),
     "SELECT count(DISTINCT device_id) AS device_count FROM readings")
+def _estimates(readings):
+    """The exact device count, and whether the approximate and the sampled one keep their promise."""
+    close = F.col("device_count") * 0.06 + 1  # three standard errors of the default
+    sampled = A.device_count_sampled(readings, 0.5).withColumnRenamed("device_count", "sampled")
+    approx = A.device_count_approx(readings).withColumnRenamed("device_count", "approx")
+    return beside(beside(A.device_count(readings), approx), sampled).select(
+        "device_count",
+        (F.abs(F.col("approx") - F.col("device_count")) <= close).alias("approx_close"),
+        (F.col("sampled") <= F.col("device_count")).alias("sample_below"),
+    )
+
+
 add("device_count_sampled", lambda s, d: A.device_count_sampled(events(s, d), 0.5), None)
 add("device_count_approx", lambda s, d: A.device_count_approx(events(s, d)), None)
+add("device_count_estimates", lambda s, d: _estimates(events(s, d)),
+    """SELECT count(DISTINCT device_id) AS device_count, TRUE AS approx_close, TRUE AS sample_below FROM readings""")
 add("max_id", lambda s, d: A.max_id(events(s, d)), "SELECT max(id) AS max_id FROM readings")
 add("time_span", lambda s, d: plain(A.time_span(events(s, d)).withColumn(
         "span_us", F.unix_micros("latest") - F.unix_micros("earliest")).drop("time_span")),

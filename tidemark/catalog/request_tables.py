@@ -25,6 +25,8 @@ def _documents(s, d):
     def field(path):
         return F.get_json_object("document", path)
 
+    parsed = F.from_json("document", "data array<struct<id string, timestamp string, value double, metadata struct<k bigint>>>")
+    records = parsed["data"]
     return doc.select(
         "request_id",
         field("$.meta.count").cast("bigint").alias("count"),
@@ -36,6 +38,14 @@ def _documents(s, d):
         field("$.data[0].value").cast("double").alias("first_value"),
         field("$.data[0].metadata.k").alias("first_k"),
         field("$.data[1].id").alias("second_id"),
+        F.array_join(F.transform(records, lambda r: r["id"]), ",").alias("ids"),
+        F.array_join(F.transform(records, lambda r: r["timestamp"]), ",").alias("stamps"),
+        F.aggregate(
+            records, F.lit(0).cast("bigint"), lambda n, r: n + F.round(r["value"] * 100).cast("bigint")
+        ).alias("cents"),
+        F.aggregate(
+            records, F.lit(0).cast("bigint"), lambda n, r: n + F.coalesce(r["metadata"]["k"], F.lit(0))
+        ).alias("sum_k"),
     )
 
 
@@ -80,8 +90,11 @@ add("request_outcomes", lambda s, d: B.request_outcome(requests_at(s, d), _hits(
 add("response_documents", _documents,
     f"""SELECT q.request_id, coalesce(c.n, 0) AS count, q.n AS "limit", q.device_id, q.reading_type,
     CAST(a.id AS VARCHAR) AS first_id, {STAMP} AS first_timestamp, a.value AS first_value,
-    json_extract_string(a.metadata, '$.k') AS first_k, CAST(b.id AS VARCHAR) AS second_id
-    FROM checked q LEFT JOIN (SELECT request_id, count(*) AS n FROM answers GROUP BY 1) c USING (request_id)
+    json_extract_string(a.metadata, '$.k') AS first_k, CAST(b.id AS VARCHAR) AS second_id,
+    coalesce(c.ids, '') AS ids, coalesce(c.stamps, '') AS stamps, coalesce(c.cents, 0) AS cents, coalesce(c.sum_k, 0) AS sum_k
+    FROM checked q LEFT JOIN (SELECT request_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS ids,
+      string_agg({STAMP}, ',' ORDER BY rn) AS stamps, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents,
+      CAST(sum(coalesce(CAST(json_extract_string(metadata, '$.k') AS BIGINT), 0)) AS BIGINT) AS sum_k FROM answers a GROUP BY 1) c USING (request_id)
     LEFT JOIN answers a ON a.request_id = q.request_id AND a.rn = 1
     LEFT JOIN answers b ON b.request_id = q.request_id AND b.rn = 2
     WHERE mode = 'device' AND {OUTCOME} = 'OK'""")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import checked, keep_matching
+from tidemark.functions.joins import BROADCAST_ROWS, keep_matching
 from tidemark.functions.text import (
     DEVICE_PATTERN,
     TYPE_PATTERN,
@@ -68,11 +68,14 @@ def lookup_ids(parsed: DataFrame, readings: DataFrame) -> DataFrame:
     """Every request by id alone with its reading, ``OK``, ``READING_NOT_FOUND`` or its error.
 
     Readings meet each wanted id once, however often it is requested, and are not shuffled
-    while the ids are few enough to broadcast.
+    while the ids are few enough to broadcast. The least and greatest wanted id bound the scan.
     """
     asked = parsed.where("mode = 'id'")
     wanted = asked.where("error_code is null").select("id").distinct()
-    found = readings.select(*READING_COLUMNS).join(checked(wanted), "id")
+    ids = wanted.agg(F.count("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    inside = F.col("id").between(ids["low"], ids["high"]) if ids["n"] else F.lit(False)
+    listed = F.broadcast(wanted) if ids["n"] <= BROADCAST_ROWS else wanted
+    found = readings.select(*READING_COLUMNS).where(inside).join(listed, "id")
     hits = found.select(F.col("id").alias("_id"), *READING_COLUMNS[1:], F.lit(True).alias("_hit"))
     valid = F.when(F.col("error_code").isNull(), F.col("id"))
     return (
@@ -100,8 +103,8 @@ def batch_latest(parsed: DataFrame, readings: DataFrame, bucket_seconds: int = 3
 
     Requests without ``to`` share one ranking of at most 500 readings per series. Requests with
     ``to`` are answered by position, so that many requests on one busy device never meet all
-    of its readings; see ``_bounded``. The parsed requests are written once, because several
-    steps read them.
+    of its readings; see ``_bounded``. They read no reading later than the latest ``to``. The
+    parsed requests are written once, because several steps read them.
     """
     valid = parsed.where((F.col("mode") == "device") & F.col("error_code").isNull())
     asked = written(
@@ -115,9 +118,16 @@ def batch_latest(parsed: DataFrame, readings: DataFrame, bucket_seconds: int = 3
         ),
         "requests",
     )
-    asked_series = keep_matching(_series(readings), asked, ["device_id", "series"])
-    newest = _newest(asked.where("to_ts is null"), asked_series)
-    bounded = _bounded(asked.where("to_ts is not null"), asked_series, bucket_seconds)
+    keys = ["device_id", "series"]
+    edge = asked.agg(F.unix_micros(F.max("to_ts")).alias("edge")).first()["edge"]
+    newest = _newest(
+        asked.where("to_ts is null"), keep_matching(_series(readings), asked.where("to_ts is null"), keys)
+    )
+    if edge is None:
+        return newest
+    ended = asked.where("to_ts is not null")
+    before = readings.where(F.col("ts") <= F.timestamp_micros(F.lit(edge)))
+    bounded = _bounded(ended, keep_matching(_series(before), ended, keys), bucket_seconds)
     return newest.unionByName(bounded)
 
 
@@ -250,17 +260,18 @@ def to_documents(parsed: DataFrame, hits: DataFrame) -> DataFrame:
     """
     items = hits.select("request_id", F.struct("rn", F.to_json(_record()).alias("text")).alias("item"))
     grouped = items.groupBy("request_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    ok = request_outcome(parsed, hits).where("outcome = 'OK'").select("request_id", "row_count")
+    known = F.col("items").isNotNull() | F.col("from_ts").isNotNull() | F.col("to_ts").isNotNull()
     meta = F.struct(
-        F.col("row_count").alias("count"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("count"),
         F.col("limit"),
         "device_id",
         F.coalesce("reading_type", F.lit("")).alias("reading_type"),
     )
     data = F.coalesce(F.array_join(F.col("items.text"), ","), F.lit(""))
     return (
-        parsed.join(ok, "request_id")
+        parsed.where((F.col("mode") == "device") & F.col("error_code").isNull())
         .join(grouped, "request_id", "left")
+        .where(known)
         .select(
             "request_id",
             F.concat(

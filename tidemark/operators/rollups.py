@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import is_small, on_same
+from tidemark.functions.joins import BROADCAST_ROWS, on_same
 from tidemark.functions.numbers import (
     from_units,
     mean_units,
@@ -105,9 +105,10 @@ def daily_rollup(df: DataFrame, large: DataFrame | None = None) -> DataFrame:
     every group is treated as one that may hold a third of all rows.
     """
     daily = daily_keys(df)
-    if large is None or not is_small(large):
+    found = None if large is None else large.limit(BROADCAST_ROWS + 1).count()
+    if found is None or found > BROADCAST_ROWS:
         return _daily_of_large(daily)
-    if large.isEmpty():
+    if not found:
         return _daily_of_small(daily)
     listed = F.broadcast(large)
     small = _daily_of_small(on_same(daily, listed, DAILY_KEY, "left_anti"))

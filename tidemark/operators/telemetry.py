@@ -255,8 +255,9 @@ def range_class(seconds: Column) -> Column:
 def mix_share(log: DataFrame, kind: str = "endpoint") -> DataFrame:
     """Share of each request kind."""
     counts = log.groupBy(kind).agg(F.count(F.lit(1)).alias("requests"))
-    total = F.sum("requests").over(Window.partitionBy(F.lit(0)))
-    return counts.select(kind, "requests", (F.col("requests") / total).alias("share"))
+    total = log.agg(F.count(F.lit(1)).alias("_total"))
+    share = F.col("requests") / F.col("_total")
+    return beside(counts, total).select(kind, "requests", share.alias("share"))
 
 
 def load_steps(log: DataFrame, seconds: int = 30, p95_ms: float = 2000, errors: float = 0.10) -> DataFrame:

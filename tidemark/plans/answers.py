@@ -12,13 +12,15 @@ from tidemark.operators.requests import (
     to_record_documents,
     validate_requests,
 )
+from tidemark.session import written
 
 
 def answer_requests(req: DataFrame, readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcome per request, document per successful request)."""
     parsed = validate_requests(req)
     found = lookup_ids(parsed, readings)
-    hits = batch_latest(parsed, readings)
+    # Read for the outcomes and for the documents.
+    hits = written(batch_latest(parsed, readings), "hits")
     by_device = request_outcome(parsed, hits).select("request_id", "outcome")
     outcomes = by_device.unionByName(found.select("request_id", "outcome"))
     documents = to_documents(parsed, hits).unionByName(to_record_documents(found))

@@ -50,8 +50,8 @@ def load_csv(
         .agg(F.max("_row").alias("_rows"))
         .select("_part", F.coalesce(F.sum(F.col("_rows") + 1).over(ordered), F.lit(0)).alias("_first"))
     )
-    # One row per input split: at most a few million short rows, whatever their content.
-    numbered = good.join(F.broadcast(firsts), "_part").withColumn(
+    # One row per input split: Spark picks the join by its size.
+    numbered = good.join(firsts, "_part").withColumn(
         "id", F.col("_first") + F.col("_row") + F.lit(start_id)
     )
     return numbered.withColumn("metadata", F.lit("{}")).select(*READING_COLUMNS), bad

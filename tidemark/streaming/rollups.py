@@ -76,8 +76,7 @@ def continuous_daily(
             F.date_sub(F.max("day"), late_days).alias("edge")
         )
         open_days = beside(touched, edge).where("edge is null or day >= edge")
-        # One row per day of the batch.
-        rows = stored.join(F.broadcast(open_days.select("day")), "day", "left_semi")
+        rows = stored.join(open_days.select("day"), "day", "left_semi")
         write_rollup_by_date(build("daily", rows.select(*READING_COLUMNS)), "day", path)
 
     return _start(readings.writeStream.foreachBatch(absorb), checkpoint, every)
