@@ -42,6 +42,8 @@ def test_daily_is_one_semantics(rows):
     assert large.count() > 0
     assert table(R.daily_rollup(rows, large)) == unmeasured
     assert table(R.daily_rollup(rows, R.large_daily_groups(rows))) == unmeasured
+    assert table(R.large_daily_groups(rows, 3)) == table(large)
+    assert R.large_daily_groups(rows, 40).count() == 0
     assert all(r[-3] is not None for r in unmeasured)
 
 

@@ -18,6 +18,7 @@ from tidemark.functions.numbers import (
     units,
 )
 from tidemark.functions.percentiles import (
+    SMALL_GROUP,
     exact_percentiles,
     interpolated,
     large_groups,
@@ -143,8 +144,18 @@ def _daily_columns(stats: DataFrame, scale: int) -> DataFrame:
     )
 
 
-def large_daily_groups(df: DataFrame) -> DataFrame:
-    return large_groups(daily_keys(df), DAILY_KEY)
+def large_daily_groups(df: DataFrame, rows: int = SMALL_GROUP) -> DataFrame:
+    """Daily groups above the bound; only (day, type) pairs above it can hold one.
+
+    Pairs are few, so their count shuffles next to nothing; devices are counted within the
+    large pairs alone, or not at all.
+    """
+    daily = daily_keys(df)
+    pair = ["day", "reading_type"]
+    pairs = large_groups(daily, pair, rows)
+    if pairs.isEmpty():
+        return daily.select(*DAILY_KEY).limit(0)
+    return large_groups(on_same(daily, pairs, pair, "left_semi"), DAILY_KEY, rows)
 
 
 def daily_keys(df: DataFrame) -> DataFrame:
