@@ -194,3 +194,23 @@ def test_alignment_is_the_largest():
     assert score == 4 and len(pairs) == 1  # div, ul, li, h1
     both = extraction.fold(a, b)
     assert both["n"] == 2 and np.all([k["n"] == 2 for k in both["k"]])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="single with-sidebar"><p>MAIN</p></body>',
+        '<body class="sidebar comments"><p>MAIN</p></body>',
+        '<div class="content no-sidebar"><p>MAIN</p></div><div class="sidebar"><p>Side</p></div>',
+        '<article class="post comments-open"><p>MAIN</p></article><p>Side</p>',
+        '<main id="search-results-page" class="search"><p>MAIN</p></main>',
+        '<div class="widget"><article><p>MAIN</p></article></div><div class="ad-slot">Side</div>',
+        '<form id="aspnetForm"><div><p>MAIN</p></div></form><div class="cookie-notice">Side</div>',
+        '<article><p>MAIN</p></article><div id="comments"><article>Side</article></div>',
+        '<p>MAIN before</p><p><a href="x">MAIN</a></p>',
+    ],
+)
+def test_names_are_weak_evidence(page):
+    main = "The main text of the page in some words"
+    got = extraction.main_text(extraction.read_page(page.replace("MAIN", main)), None)
+    assert got.count(main) == page.count("MAIN") and "Side" not in got
