@@ -214,3 +214,61 @@ def test_names_are_weak_evidence(page):
     main = "The main text of the page in some words"
     got = extraction.main_text(extraction.read_page(page.replace("MAIN", main)), None)
     assert got.count(main) == page.count("MAIN") and "Side" not in got
+
+
+def unmarked_pages(n):
+    """Pages whose boilerplate is like the article's own blocks, one with another footer."""
+    rng = random.Random(2)
+
+    def words(k):
+        return f"Article {k} " + " ".join(rng.choices("abcdefgh", k=30))
+
+    return [
+        (
+            k,
+            f"http://hot.example/{k}",
+            f"<body><div>Top bar of the page</div><div><p>{words(k)}</p><p>Read our terms</p>"
+            f"<p>{words(k)}</p></div><div>{'Another' if k == 7 else 'The'} foot</div></body>",
+        )
+        for k in range(n)
+    ]
+
+
+def test_boilerplate_among_like_siblings(spark):
+    rows = unmarked_pages(40)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(df.repartition(4)).collect()}
+    for k, _, html_text in rows:
+        own = re.findall(r"<p>(Article.*?)</p>", html_text)
+        assert got[k] == "\n".join(own + ["Another foot"] * (k == 7))
+
+
+def test_section_boilerplate_and_copied_articles(spark):
+    """What only some pages have is constant over those; an often copied article is not."""
+    rng = random.Random(3)
+
+    def page(k):
+        own = " ".join(rng.choices("abcdefgh", k=30))
+        part = "<table><tr><td>Sports desk</td></tr></table>" if k % 4 == 0 else ""
+        return f"<body>{part}<div><p>Own {k} {own}</p></div></body>"
+
+    rows = [(k, f"http://a/{k}", page(k)) for k in range(40)]
+    copy = "<body><div><p>The copied article</p></div></body>"
+    rows += [(100 + k, f"http://b/{k}", copy if k > 9 else page(k)) for k in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(df).collect()}
+    for k in range(40):
+        assert got[k].startswith(f"Own {k} ") and "\n" not in got[k]
+    assert {got[100 + k] for k in range(10, 90)} == {"The copied article"}
+
+
+def test_counts_of_a_node_stay_bounded(monkeypatch):
+    monkeypatch.setattr(extraction, "COUNTED", 50)
+    both = None
+    for k in range(200):
+        page = "<p>notice</p>" + "".join(f"<p>{k} {i}</p>" for i in range(12))
+        own = extraction.page_template(extraction.read_page(page))
+        both = extraction.fold(both, own) if both else own
+    assert len(both["k"][0]["h"]) <= 50
+    (text,) = extraction.closed(both)["k"][0]["h"].values()
+    assert text[0] == 200
