@@ -272,3 +272,26 @@ def test_counts_of_a_node_stay_bounded(monkeypatch):
     assert len(both["k"][0]["h"]) <= 50
     (text,) = extraction.closed(both)["k"][0]["h"].values()
     assert text[0] == 200
+
+
+def test_varying_slots_come_before_article_tags(spark):
+    """Teasers marked up as articles, and an article that goes on behind its element."""
+    rng = random.Random(5)
+
+    def words(k, n=40):
+        return f"Text {k} " + " ".join(rng.choices("abcdefgh", k=n))
+
+    rows, want = [], {}
+    for k in range(20):
+        main, rest = words(k), words(k, 10)
+        teasers = "".join(f"<article><p>{words(k, 3)}</p></article>" for _ in range(3))
+        one = f"<body><p>Site name</p><div><p>{main}</p></div><div>{teasers}</div></body>"
+        two = f"<body><p>Site name</p><article><p>{main}</p></article><p>{rest}</p></body>"
+        rows += [(k, f"http://one/{k}", one), (100 + k, f"http://two/{k}", two)]
+        want |= {k: [main], 100 + k: [main, rest]}
+    rows += [(200, "http://alone/", rows[0][2])]
+    want[200] = want[0]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in extraction.extract(df).collect()}
+    for k, texts in want.items():
+        assert set(texts) <= set(got[k]) and ("Site name" in got[k]) == (k == 200)
