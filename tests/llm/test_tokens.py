@@ -81,6 +81,21 @@ def test_groups_exchange_what_does_not_fit(spark):
     ) + 1
 
 
+def test_groups_stay_bounded(spark):
+    """Lengths that leave room everywhere, half of them under one doc_id."""
+    rng = random.Random(6)
+    lengths = [rng.randint(1000, 2000) for _ in range(600)]
+    rows = [(None if i % 2 else i, i // 2, i, n, 0) for i, n in enumerate(lengths)]
+    rows = [(d, 0 if d is None else p, *r) for d, p, *r in rows]
+    held = written(spark.createDataFrame(rows, packing.PIECE_DDL).coalesce(1), "test-bounded")
+    got = packing.pack(held, 4096, group=60, most=60).collect()
+    assert sorted(r["start"] for r in got) == list(range(600))
+    sequences = check_packed(got, 4096)
+    assert sequences <= 1.05 * len(packing.best_fit(lengths, 4096)[2])
+    sizes = collections.Counter(r["sequence_id"] >> 20 for r in got)
+    assert max(sizes.values()) <= 120
+
+
 def test_bounds_hold():
     rng = random.Random(1)
     for _ in range(200):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import zlib
 
 import numpy as np
@@ -99,6 +100,8 @@ def _pack(capacity: int, turn: int):
     def run(key, table):
         lengths = table.column("length").to_pylist()
         bins, offsets, room = best_fit(lengths, capacity)
+        if len(room) > 1 << 20:
+            raise ValueError(f"{len(room)} sequences in a group, ids hold {1 << 20}")
         first = (turn << 56) | (key[0].as_py() << 20)
         return pa.table(
             [table.column(f.split()[0]) for f in PIECE_DDL.split(", ")]
@@ -119,39 +122,55 @@ def _bound(key, table):
     return pa.Table.from_batches([S.record(rows, "function int, total long, capacity long")])
 
 
-def pack(held: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack(held: DataFrame, capacity: int = CAPACITY, group: int = GROUP,
+         most: int = GROUP) -> DataFrame:
     """Written pieces with ``sequence_id`` and ``offset``: no sequence over ``capacity``.
 
-    Pieces are dealt by hash into groups of about ``group``, and each group is packed best fit
-    decreasing. Dual-feasible sums over all groups certify how few sequences are possible. As
+    Pieces are dealt by row number into groups of about ``group``, and each group is packed best
+    fit decreasing. Dual-feasible sums over all groups certify how few sequences are possible. As
     long as there are more, groups give the pieces of their sequences with free room to fewer
-    groups, dealt anew, which pack them again; each turn has a fraction of the turn before.
+    groups, dealt anew, which pack them again. A group never gets more than about ``most``
+    pieces; once such groups save no sequence in a turn, the packing before stays, and what it
+    has above the certified number is logged.
     """
+    number = "monotonically_increasing_id()"  # not by doc_id, which rows may repeat
     count = held.count()
-    groups = S.parts_for(count, group, 1)
-    dealt = F.expr(f"cast(pmod(xxhash64(doc_id, piece), {groups}) as long)").alias("part")
+    groups = S.parts_for(count, min(group, most), 1)
+    dealt = F.expr(f"cast(pmod(xxhash64({number}), {groups}) as long)").alias("part")
     sums = held.select("length", dealt, F.lit(capacity).alias("capacity")).groupBy(
         "part", "capacity"
     ).applyInArrow(_bound, "function int, total long, capacity long")
     sums = sums.groupBy("function", "capacity").agg(F.sum("total").alias("total")).collect()
     certified = lower_bound([(r["function"], r["total"], r["capacity"]) for r in sums])
-    done, left, turn, settled = None, held, 0, 0
+    done, rest, left, turn, settled, best = [], None, held, 0, 0, None
     while True:
-        dealt = F.expr(f"cast(pmod(xxhash64(doc_id, piece, {turn}), {groups}) as long)")
+        dealt = F.expr(f"cast(pmod(xxhash64({number}, {turn}), {groups}) as long)")
         packed = left.withColumn("part", dealt).groupBy("part")
         packed = written(packed.applyInArrow(_pack(capacity, turn), PACKED_DDL), "packed")
         made = packed.where("offset = 0").agg(
             F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("free") == 0, 1)).alias("full")
         ).first()
-        final = settled + made["n"] <= certified or groups == 1
-        full = packed if final else packed.where("free = 0")
-        done = full if done is None else done.unionByName(full)
-        if final:
-            return done.drop("free")
-        settled += made["full"]
-        left = packed.where("free > 0").select(*held.columns)
-        groups = min(groups // 2, S.parts_for(left.count(), group, 1)) or 1
+        saved = best is None or settled + made["n"] < best
+        if saved:
+            best = settled + made["n"]
+            settled += made["full"]
+            done.append(packed.where("free = 0"))
+            rest = packed.where("free > 0")
+            left = rest.select(*held.columns)
+            count = left.count()
+        least = S.parts_for(count, most, 1)
+        if best <= certified or groups == 1 or turn == 120 or not saved and groups <= least:
+            break
+        groups = max(min(groups // 2, S.parts_for(count, group, 1)), least)
         turn += 1
+    if best > certified:
+        logging.getLogger(__name__).warning(
+            "packed into %d sequences, at least %d are needed", best, certified
+        )
+    out = rest
+    for full in done:
+        out = out.unionByName(full)
+    return out.drop("free")
 
 
 def packed_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
