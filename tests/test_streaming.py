@@ -8,6 +8,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tidemark.catalog import streams as C
 from tidemark.operators import alerts as K
 from tidemark.operators import reuse as U
 from tidemark.operators import rollups as R
@@ -103,3 +104,18 @@ def test_alert_hold_over_batches(spark, folder):
     got = spark.read.parquet(out).select(columns)
     want = K.alerts(spark.createDataFrame(rows, schema), rules).select(columns)
     assert sorted(got.collect()) == sorted(want.collect()) and not want.isEmpty()
+
+
+def test_open_buckets_join_what_the_stream_closed(spark, folder):
+    rows = readings(spark, [10, 3700, 8 * 86400, 9 * 86400]).withColumn(
+        "device_id", F.when(F.col("id") > 0, F.col("device_id"))
+    )
+    rows.write.parquet(folder + "/src")
+    out = folder + "/out"
+    S.continuous_hourly(
+        S.stream_readings(spark, folder + "/src", SPEC), out, folder + "/checkpoint", 7
+    ).awaitTermination()
+    closed, whole = spark.read.parquet(out), R.hourly_rollup(rows)
+    assert closed.count() == 2 and whole.count() == 4
+    got = C._with_open(closed, whole, "device_id", "reading_type", "hour")
+    assert whole.exceptAll(got.select(*whole.columns)).isEmpty() and got.count() == 4

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog import telemetry as C
@@ -9,8 +12,10 @@ from tidemark.catalog.readings import DAILY_SQL, HOURLY_SQL
 from tidemark.catalog.tables import READINGS_SQL, plain
 from tidemark.operators import alerts as K
 from tidemark.operators import telemetry as T
+from tidemark.operators.rollups import hourly_rollup
 from tidemark.plans.maintenance import read_rollup_by_date
 from tidemark.session import shared_folder, written
+from tidemark.sources.readings import read_readings
 from tidemark.spec import EVENT_READINGS
 from tidemark.streaming import rollups as S
 from tidemark.streaming import state as Z
@@ -33,6 +38,27 @@ def _hourly(s, d):
     return plain(_finish(s, S.continuous_hourly(_event_stream(s, d), path, path + "-checkpoint"), path))
 
 
+def _with_open(closed, whole, *keys):
+    """What the stream wrote, and the buckets still open at its end by the batch operator.
+
+    Lateness is judged over the whole source, so buckets closed in the stream are kept as it
+    wrote them, and only those it never wrote are added.
+    """
+    seen = closed.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return closed.unionByName(whole.select(*closed.columns).join(seen, same, "left_anti"))
+
+
+def _hourly_whole(s, d):
+    readings = read_readings(s, f"{d}/events.parquet", EVENT_READINGS)
+    return _with_open(_hourly(s, d), plain(hourly_rollup(readings)), "device_id", "reading_type", "hour")
+
+
+def _metrics_whole(s, d):
+    log = C.log(s, d).withColumn("cache_status", F.when(F.col("rows") >= 50, "HIT").otherwise("MISS"))
+    return _with_open(_metrics(s, d), plain(window_metrics(log, 3600, 900)), "window_start", "endpoint")
+
+
 def _daily(s, d):
     """Four arrivals, in whatever order their files are taken."""
     parts = shared_folder(s, "arrivals")
@@ -98,6 +124,9 @@ CATALOG["continuous_hourly_rollup"] = (
     _hourly,
     f"WITH {READINGS_SQL.strip()}, {HOURLY_SQL} SELECT * FROM hourly WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM readings) - INTERVAL 7 DAY",
 )
+CATALOG["continuous_hourly_rollup_whole"] = (
+    _hourly_whole, f"WITH {READINGS_SQL.strip()}, {HOURLY_SQL} SELECT * FROM hourly"
+)
 CATALOG["continuous_daily_rollup"] = (
     _daily, f"WITH {READINGS_SQL.strip()}, {DAILY_SQL} SELECT * FROM daily"
 )
@@ -110,6 +139,7 @@ CATALOG["continuous_metrics"] = (
     _metrics,
     METRICS_SQL + " HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 1 DAY",
 )
+CATALOG["continuous_metrics_whole"] = (_metrics_whole, METRICS_SQL)
 CATALOG["continuous_cache_reuse"] = (_reuse, "WITH " + C.reuse_sql("endpoint", 900) + " SELECT * FROM judged")
 _alert_sql = C.CATALOG["alerts"][1]
 CATALOG["continuous_alerts"] = (
