@@ -119,3 +119,8 @@ def test_open_buckets_join_what_the_stream_closed(spark, folder):
     assert closed.count() == 2 and whole.count() == 4
     got = C._with_open(closed, whole, "device_id", "reading_type", "hour")
     assert whole.exceptAll(got.select(*whole.columns)).isEmpty() and got.count() == 4
+
+
+def test_alert_series_are_dealt_by_rule_and_series(spark, sf):
+    plan = C._dealt_series(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("RepartitionByExpression [rule")

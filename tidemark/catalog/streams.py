@@ -103,10 +103,15 @@ def _reuse(s, d):
     return _finish(s, Z.write_stream(status, path, path + "-checkpoint"), path)
 
 
+def _dealt_series(s, d):
+    """Whole series in each file; all files are one batch, sorted by time in the state."""
+    return C.alert_series(s, d).repartition("rule", "series")
+
+
 def _alerts(s, d):
     Z.use_keyed_state(s)
     path = shared_folder(s, "alert-stream")
-    series = _streamed_table(s, C.alert_series(s, d).coalesce(1), "alert-series")
+    series = _streamed_table(s, _dealt_series(s, d), "alert-series")
     fired = Z.alert_stream(series, K.rules_table(s, C.ALERT_RULES))
     return plain(_finish(s, Z.write_stream(fired, path, path + "-checkpoint"), path))
 
