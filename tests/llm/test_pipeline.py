@@ -42,4 +42,4 @@ def test_stages_on_odd_rows(spark, sf, odd, repeated, empty):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in CATALOG if n != "pipeline")
-    assert numbers == list(range(1, 11)) and "pipeline" in CATALOG
+    assert numbers == list(range(1, 14)) and "pipeline" in CATALOG

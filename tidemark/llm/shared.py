@@ -48,6 +48,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def ascii_lower(text):
+    """A-Z lower-cased and nothing else; Spark's own function also changes other letters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, letters, letters.lower()))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that no later step reads: what came of them is written itself."""
     for df in tables:
