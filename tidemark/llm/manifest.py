@@ -63,6 +63,7 @@ def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
         (F.sum("held").over(tree.orderBy("part")) - F.col("held")).alias("earlier"),
         F.sum("held").over(tree).alias("n"),
     )
+    spans = written(spans, f"{name}-spans")
     return dealt.join(checked(spans), ["tree", "part"]).select(
         *rows.columns, (F.col("at") - F.col("first") + F.col("earlier")).alias("lo"), "n"
     )
@@ -171,6 +172,7 @@ def manifest(docs: DataFrame, altered=None) -> DataFrame:
     tops = descend(sources, over, top).select(
         F.col("name").alias("tree"), F.col("leaf").alias("subroot"), "root", "path"
     )
+    tops = written(tops, "tops")
     return descend(nodes, above, tops).select("doc_id", "leaf", "other", "subroot", "root", "path")
 
 
