@@ -6,6 +6,7 @@ its words in a row. Most words of a batch were seen before and cost one lookup.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -41,60 +42,86 @@ def _plain(text: bytes) -> bytes:
     return _STOPS.sub(r" \g<0>", plain.lower()).encode()
 
 
+class Numbers(dict):
+    """Numbers words as they are asked for; ``new`` lists those not seen before."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer whose pre-tokenizer splits at white space."""
+    """Ids of texts by a tokenizer whose pre-tokenizer splits at white space.
+
+    New words are tokenised many at a time with a special token between them, which no rule
+    joins to its neighbours, so that it also marks where the ids of the next word begin.
+    """
 
-    MOST = 700_000
+    MOST = 600_000
+    TOGETHER = 1000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.separator, self.mark = None, -1
+        for number, token in self.tokenizer.get_added_tokens_decoder().items():
+            if token.special and not (token.normalized or token.lstrip or token.rstrip):
+                self.separator, self.mark = token.content, number
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at = Numbers()
         self.ids = np.empty(1 << 20, np.uint32)
         self.start = np.empty(1 << 16, np.int64)
         self.length = np.empty(1 << 16, np.int64)
-        self.used = 0
+        self.known = self.used = 0
 
-    def _remember(self, keys: list[bytes], ids: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        n = len(self.at)
-        while n + len(ids) > len(self.start):
+    def _remember(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        n, most = self.known, self.known + len(lengths)
+        while most > len(self.start):
             self.start = np.concatenate([self.start, np.empty_like(self.start)])
             self.length = np.concatenate([self.length, np.empty_like(self.length)])
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.start[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + len(ids)] = lengths
-        self.used += len(flat)
-        for k, key in enumerate(keys):
-            self.at[key] = n + k
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        self._remember(words, [x.ids for x in found])
-
-    def _places(self, words: list[bytes]) -> np.ndarray:
-        at = self.at
-        new = [w for w in dict.fromkeys(words) if w not in at]
-        if new:
-            if len(at) + len(new) > self.MOST and at:
-                self.clear()
-                at = self.at
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        self.start[n:most] = self.used + np.cumsum(lengths) - lengths
+        self.length[n:most] = lengths
+        self.known, self.used = most, self.used + len(flat)
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and how many each has."""
+        if self.separator and not any(self.separator[0] in w for w in words):
+            flat = np.array(self._ids([self.separator.join(words)])[0], np.uint32)
+            ends = np.append(np.flatnonzero(flat == self.mark), len(flat))
+            if len(ends) == len(words):
+                return flat[flat != self.mark], np.diff(ends, prepend=-1) - 1
+        each = self._ids(words)
+        lengths = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(itertools.chain.from_iterable(each), np.uint32, lengths.sum()), lengths
+
+    def _places(self, words: list[list[bytes]]) -> np.ndarray:
+        if self.known > self.MOST:
+            self.clear()
+        every = itertools.chain.from_iterable(words)
+        places = np.fromiter(map(self.at.__getitem__, every), np.int64, sum(map(len, words)))
+        new, self.at.new = self.at.new, []
+        for k in range(0, len(new), self.TOGETHER):
+            self._remember(*self._joined([w.decode() for w in new[k : k + self.TOGETHER]]))
+        return places
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, all of it, without special tokens around it."""
         split = [_plain(t).split() for t in texts]
-        place = self._places([w for words in split for w in words])
+        place = self._places(split)
         out, at = [], 0
         for words in split:
             own = place[at : at + len(words)]
