@@ -29,13 +29,14 @@ def edges():
 def odd(spark):
     """Nulls, empty, blank and long texts, ties, and columns whose names clash with ours."""
     rows = [
-        (d, t, "en" if d != 4 else None, "s", len(t or ""), True, 5, b"x", "y", 1)
+        (d, t, "en" if d != 4 else None, "s", len(t or ""), True, 5, b"x", "y", 1, *"abcdefgh")
         for d, t in EDGES
     ]
     return spark.createDataFrame(
         rows,
         "doc_id long, text string, lang string, source string, n_chars long, kept boolean, "
-        "row int, print binary, root string, length int",
+        "row int, print binary, root string, length int, __text string, __gone string, "
+        "__id string, __sha string, _id string, _gone string, tree string, lines string",
     )
 
 

@@ -162,9 +162,10 @@ def test_jaccard(request, name):
     assert got == brute_components(plain(df))
 
 
-def test_jaccard_over_many_units(spark, monkeypatch):
-    """Chains and groups that are spread over units connect as in one."""
-    monkeypatch.setattr(jaccard, "UNIT", 3)
+@pytest.mark.parametrize("bound", [("UNIT", 3), ("UNIT_SHINGLES", 150)])
+def test_jaccard_over_many_units(spark, monkeypatch, bound):
+    """Chains and groups that are spread over units, by rows or by shingles, connect as in one."""
+    monkeypatch.setattr(jaccard, *bound)
     base = [f"w{i}" for i in range(60)]
     rows = []
     for k in range(25):  # a chain: neighbours are near, the ends are not
@@ -196,6 +197,41 @@ def test_units_find_all_links():
         assert unit.links(q).tolist() == want and i in want
 
 
+def test_ranges_cost_what_is_present():
+    """A million ranges, few keys: every key in its range, and little memory."""
+    import tracemalloc
+
+    keys = np.sort(np.random.default_rng(2).integers(0, 1 << 62, 50_000).astype(np.uint64) * 4)
+    tracemalloc.start()
+    found = list(shared.ranges(keys, 10**6))
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    assert [s.start for _, s in found[1:]] == [s.stop for _, s in found[:-1]]
+    assert found[0][1].start == 0 and found[-1][1].stop == len(keys)
+    for part, cut in found:
+        assert {int(k) * 10**6 >> 64 for k in keys[cut]} == {part}
+    assert list(shared.ranges(keys[:0], 7)) == []
+    edge = np.array([0, (1 << 64) - 1], np.uint64)
+    assert [p for p, _ in shared.ranges(edge, 6_250_000)] == [0, 6_249_999]
+
+
+def test_levels_end_when_nothing_is_repeated(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(substrings, "_send", lambda *a, real=substrings._send: sent.append(a) or real(*a))
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(40))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substrings.remove_repeats(df).collect()), key=repr)
+    assert got == brute_repeats(rows, 13) and len(sent) == 1
+
+
+def test_null_ids_are_no_id_of_their_own(spark):
+    """Rows without doc_id and rows with -1, with equal texts and with others."""
+    rows = [(-1, "a"), (None, "b"), (-1, "b"), (None, "c"), (None, "c"), (-1, "d"), (None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(plain(exact.drop_exact_duplicates(df)), key=repr)
+    assert got == sorted([(-1, "a"), (-1, "b"), (None, "c"), (-1, "d")], key=repr)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in components(

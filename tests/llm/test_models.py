@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 
@@ -62,6 +63,63 @@ def test_language_on_odd_rows(odd, repeated, empty, learned):
     assert {r["doc_id"] for r in kept.collect()} == set(got) - {1, 2, 3, 13}
 
 
+def brute_mixture(scorer, words):
+    """Shares by EM and the set by penalised likelihood, one word at a time."""
+    like = [scorer.likelihood[scorer.at[w]].astype(float) for w in words]
+    names = scorer.model.languages
+    share = [1 / len(names)] * len(names)
+    for _ in range(language.ROUNDS):
+        new = [0.0] * len(names)
+        for row in like:
+            part = [x * s for x, s in zip(row, share)]
+            for k, x in enumerate(part):
+                new[k] += x / sum(part) / len(words)
+        share = new
+    order = sorted(range(len(names)), key=lambda k: -share[k])
+    best = None
+    for n in range(1, len(names) + 1):
+        own = {k: share[k] / sum(share[j] for j in order[:n]) for k in order[:n]}
+        fit = sum(math.log(sum(own[k] * row[k] for k in own)) for row in like)
+        value = fit - n * (language.SHARE_COST + 0.5 * math.log(len(words)))
+        if best is None or value > best[0]:
+            best = (value, [names[k] for k in order[:n]], own[order[0]])
+    return best[1], best[2]
+
+
+def test_language_against_brute_force(documents, learned):
+    scorer = language.Scorer(learned)
+    texts = [r["text"] for r in documents.collect() if 30 < r["n_chars"] < 3000][:60]
+    texts += [a[: len(a) // 2] + " " + b[: len(b) // 2] for a, b in zip(texts[:20], texts[20:40])]
+    texts = [t for t in texts if language.words_of(t)]
+    for text, (name, score, names) in zip(texts, language.predict_texts(scorer, texts)):
+        want, share = brute_mixture(scorer, language.words_of(text))
+        assert (name, names.split(",")) == (want[0], want) and abs(score - share) < 1e-3
+
+
+def test_ten_languages_in_one_text():
+    """No bound on the languages that a text may mix."""
+    rng = np.random.default_rng(4)
+    alphabets = ["".join(chr(97 + (7 * k + j) % 26) for j in range(4)) for k in range(6)]
+    alphabets += ["àáâã", "èéêë", "ìíîï", "òóôõ"]
+    own = [["".join(rng.choice(list(a), 6)) for _ in range(300)] for a in alphabets]
+    table = np.full((language.BUCKETS, 10), language.SMOOTH)
+    for k, words in enumerate(own):
+        cells, _ = language.grams([w.encode() for w in words])
+        table[:, k] += np.bincount(cells, minlength=language.BUCKETS)
+    model = language.Model([f"l{k}" for k in range(10)], np.log(table / table.sum(axis=0)))
+    text = " ".join(w for k in range(10) for w in own[k][:60])
+    ((_, _, names),) = language.predict_texts(language.Scorer(model), [text])
+    assert set(names.split(",")) == set(model.languages)
+
+
+def test_nothing_learned_keeps_texts_with_letters(odd):
+    from pyspark.sql import functions as F
+
+    unknown = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = language.drop_unknown(unknown)
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in odd.collect()} - {1, 2, 3, 13}
+
+
 def brute_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = (text or "").split("\n")

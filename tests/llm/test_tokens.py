@@ -33,6 +33,21 @@ def test_word_encoder():
     ]
 
 
+def test_words_learned_together():
+    """Thousands of new words at once, words that hold special tokens among them, and a small memory."""
+    rng = random.Random(3)
+    letters = "abcxyzABCÄéßİσΣ日本🙂'.,-<|>0123 \t\n\u0301"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    special = ["a<|endoftext|>b <|endoftext|", "<|startoftext|>", "x<|endoftext|><|endoftext|>y"]
+    texts[7::500] = [special[i % 3] for i in range(len(texts[7::500]))]
+    library, own = Tokenizer.from_file(WORD), tokens.WordEncoder(WORD)
+    own.MOST = 3000
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for k in range(0, len(texts), 900):
+        found = own.encode([t.encode() for t in texts[k : k + 900]])
+        assert [f.tolist() for f in found] == want[k : k + 900]
+
+
 def brute_pieces(rows):
     library, out = Tokenizer.from_file(WORD), []
     for d, t in rows:
@@ -116,6 +131,32 @@ def test_permutation():
     assert (one != two).any()
 
 
+def test_slots_follow_the_permutation(spark, documents):
+    """Numbers count sequences in the order of the rows; slots are the order of their places."""
+    docs = documents.select("doc_id", "text").orderBy("doc_id").coalesce(1)
+    docs = written(docs, "one-part")
+    folder, total = materialise.materialise(docs, length=64, per_shard=50)
+    library = Tokenizer.from_file(WORD)
+    pieces, most = [], 0
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [materialise.END]
+        pieces += [(r["doc_id"], k) for k in range(-(-len(ids) // 64))]
+        most += (len((r["text"] or "").encode()) * materialise.MOST_PER_BYTE + 64) // 64
+    places = materialise.Permutation(most, materialise.KEY).slots(np.arange(len(pieces)))
+    want = [pieces[i] for i in np.argsort(places)]
+    rows = sorted(materialise.read_shards(spark, folder, 64).collect(), key=lambda r: r["slot"])
+    assert total == len(pieces) and [(r["doc_id"], r["piece"]) for r in rows] == want
+
+
+def test_numbers_of_shuffled_input(spark, documents):
+    """An input that is planned anew for every pass is written first."""
+    docs = documents.select("doc_id", "text").repartition(5, "doc_id")
+    folder, total = materialise.materialise(docs, length=64, per_shard=50)
+    rows = materialise.read_shards(spark, folder, 64).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(total))
+    assert len({(r["doc_id"], r["piece"]) for r in rows}) == total
+
+
 def test_shards_round_trip(spark, odd, repeated, empty):
     library = Tokenizer.from_file(WORD)
     for df in (odd, repeated):

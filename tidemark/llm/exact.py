@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import attach, new_id, texts
+from tidemark.llm.shared import attach, fresh, new_id, settled, texts
 from tidemark.session import written
 
 # Four primes below 2^31 and a base for each.
@@ -129,7 +129,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     attach(spark)
-    marks = written(texts(docs).mapInArrow(_marks, MARK), "exact-marks")
+    marks = written(texts(docs).mapInArrow(settled(_marks), MARK), "exact-marks")
     repeated = marks.groupBy("print").count().where("count > 1").select("print")
     unequal = _unequal(docs, marks, repeated).withColumn("apart", F.lit(True))
     split = marks.join(unequal, "print", "left").withColumn(
@@ -151,9 +151,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows one stays."""
     kept = exact_duplicates(docs).where("kept")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = fresh(docs, "id", "sha")
+
+    def marks(doc_id, digest):
+        """A doc_id of none and one of -1 are told apart by the text's digest."""
+        named = F.when(doc_id.isNull(), F.concat(F.lit("-"), digest)).otherwise(digest)
+        return [F.coalesce(doc_id, F.lit(-1)).alias(own[0]), named.alias(own[1])]
+
+    kept = kept.select(*marks(F.col("doc_id"), F.col("text_sha256")))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    marked = docs.withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(-1))).withColumn("__sha", digest)
-    kept = kept.withColumn("__id", F.coalesce("__id", F.lit(-1)))
-    held = marked.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"])
-    return held.drop("__id", "__sha")
+    marked = docs.select("*", *marks(F.col("doc_id").cast("long"), digest))
+    return marked.join(kept, own, "left_semi").dropDuplicates(own).drop(*own)

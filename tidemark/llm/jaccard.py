@@ -33,7 +33,9 @@ WORDS = 5
 NEED, OF = 80, 100
 RANGE_BYTES = 8 << 20
 LEAST_RANGES = 64
+#: Classes in a unit, and shingles of all its classes: whichever makes the smaller unit.
 UNIT = 2000
+UNIT_SHINGLES = 1_000_000
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -59,11 +61,7 @@ class Bundle:
         self.count = np.minimum(count, 65535).astype(np.uint16)
 
     def ranges(self, parts: int) -> Iterator[tuple[int, slice]]:
-        edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-        cuts = [0, *np.searchsorted(self.keys, edges), len(self.keys)]
-        for i in range(parts):
-            if cuts[i] < cuts[i + 1]:
-                yield i, slice(cuts[i], cuts[i + 1])
+        return S.ranges(self.keys, parts)
 
 
 SENT_DDL = "part int, bundle long, keys binary, count binary"
@@ -252,6 +250,12 @@ def connect_across(names, sets, roots, asked) -> list[tuple]:
 LINK_DDL = "a binary, b binary"
 
 
+def _cuts():
+    """Units that a group of classes is dealt over."""
+    wide = F.ceil(F.sum("n_shingles") / UNIT_SHINGLES)
+    return F.greatest(F.ceil(F.count(F.lit(1)) / UNIT), wide).cast("int")
+
+
 def _inside(table: pa.Table) -> pa.Table:
     links = connect_unit(
         table.column("class").to_pylist(),
@@ -282,7 +286,7 @@ def _ask(units: DataFrame, queries: DataFrame) -> DataFrame:
 
     Queries go in groups of bounded size; each group meets a unit in a task of its own.
     """
-    groups = queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("k"))
+    groups = queries.groupBy("block").agg(_cuts().alias("k"))
     there = units.groupBy("block", "unit").agg(F.first("bin").alias("to_bin"))
     routes = queries.join(groups, "block").join(
         there.withColumnRenamed("unit", "to"), "block"
@@ -297,7 +301,7 @@ def _ask(units: DataFrame, queries: DataFrame) -> DataFrame:
     targets = asked.select(F.col("q_unit").alias("unit"), F.col("q_part").alias("part")).distinct()
     held = units.join(targets, "unit").select("unit", "part", "class", "tokens", "root")
     return held.groupBy("unit", "part").cogroup(asked.groupBy("q_unit", "q_part")).applyInArrow(
-        _across, LINK_DDL
+        S.settled(_across), LINK_DDL
     )
 
 
@@ -323,18 +327,17 @@ def _class_links(sets: DataFrame) -> DataFrame:
     blocks = components(meets).select(F.col("node").alias("class"), F.col("root").alias("block"))
     step = math.log(OF / NEED)
     lengths = F.floor(F.log("n_shingles") / F.lit(step)).alias("bin")
-    placed = able.join(blocks, "class").select("class", "tokens", "block", lengths)
-    counted = placed.groupBy("block", "bin").agg(
-        F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("cuts")
-    )
+    placed = able.join(blocks, "class").select("class", "n_shingles", "tokens", "block", lengths)
+    counted = placed.groupBy("block", "bin").agg(_cuts().alias("cuts"))
     unit = F.concat_ws(":", F.hex("block"), "bin", F.expr("pmod(xxhash64(class), cuts)"))
     units = written(
         placed.join(counted, ["block", "bin"]).select(
-            "class", "tokens", "block", "bin", unit.alias("unit"), F.col("class").alias("root")
+            "class", "n_shingles", "tokens", "block", "bin", unit.alias("unit"),
+            F.col("class").alias("root"),
         ),
         "jaccard-units",
     )
-    links = written(units.groupBy("unit").applyInArrow(_inside, LINK_DDL), "jaccard-links")
+    links = written(units.groupBy("unit").applyInArrow(S.settled(_inside), LINK_DDL), "jaccard-links")
     many = units.groupBy("block").agg(F.countDistinct("unit").alias("n")).where("n > 1")
     spread = units.join(many.select("block"), "block")
     if not spread.take(1):
@@ -366,12 +369,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     held = written(S.bundles(docs), "jaccard-bundles")
     parts = S.parts_for(S.bytes_of(held), RANGE_BYTES, LEAST_RANGES)
-    counts = held.mapInArrow(_send(words, parts), SENT_DDL).groupBy("part")
-    answers = counts.applyInArrow(_counts, ANSWER_DDL)
+    counts = held.mapInArrow(S.settled(_send(words, parts)), SENT_DDL).groupBy("part")
+    answers = counts.applyInArrow(S.settled(_counts), ANSWER_DDL)
     collected = answers.groupBy("bundle").agg(
         F.collect_list(F.struct("part", "answer")).alias("answers")
     )
-    sets = held.join(collected, "bundle", "left").mapInArrow(_sets(words, parts), SET_DDL)
+    sets = held.join(collected, "bundle", "left").mapInArrow(S.settled(_sets(words, parts)), SET_DDL)
     sets = written(sets, "jaccard-sets")
     discard(held)
     roots = components(_class_links(sets)).withColumnRenamed("node", "class")
@@ -397,5 +400,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Rows without a doc_id stay; rows that repeat a doc_id stay or go together.
     """
     gone = near_duplicates(docs.where("doc_id is not null"), words)
-    gone = gone.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    (name,) = S.fresh(docs, "gone")
+    gone = gone.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

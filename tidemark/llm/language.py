@@ -148,7 +148,7 @@ class Scorer:
     def mixtures(self, documents: list[list[bytes]]) -> list[tuple[str, float, list[str]]]:
         """For documents that have words: most likely language, its share, the chosen set.
 
-        EM fits each document's shares of all languages. Taken in order of their shares, more
+        EM fits each document's shares of all languages, however many there are. Taken in order of their shares, more
         languages explain the words better; the set with the best likelihood after a penalty
         for each language is chosen, and shares are those within the set.
         """
@@ -167,7 +167,7 @@ class Scorer:
         chosen = np.ones(len(documents), np.int64)
         cost = SHARE_COST + 0.5 * np.log(counts)
         keep = np.zeros_like(share)
-        for k in range(min(like.shape[1], 8)):
+        for k in range(like.shape[1]):
             np.put_along_axis(
                 keep, order[:, k : k + 1], np.take_along_axis(share, order[:, k : k + 1], 1), 1
             )
@@ -188,22 +188,27 @@ RESULT_DDL = "lang_pred string, score double, languages string"
 
 
 def _predict(shipped, keep_rows: bool):
+    """Over batches whose last column is the text."""
+
     def run(batches):
         scorer = Scorer(shipped.value)
         for batch in batches:
-            found = predict_texts(scorer, batch.column("__text").to_pylist())
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             if keep_rows:
-                wanted = [name for name in batch.schema.names if name != "__text"]
-                mask = [f[0] != "und" for f in found]
-                yield batch.select(wanted).filter(S.pa.array(mask, S.pa.bool_()))
+                if scorer.model.languages:
+                    mask = [f[0] != "und" for f in predict_texts(scorer, texts)]
+                else:
+                    mask = [bool(words_of(t)) for t in texts]
+                rows = batch.select(range(batch.num_columns - 1))
+                yield rows.filter(S.pa.array(mask, S.pa.bool_()))
             else:
-                got = S.record(found, RESULT_DDL)
+                got = S.record(predict_texts(scorer, texts), RESULT_DDL)
                 yield S.pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("held_out"), *got.columns],
                     names=["doc_id", "held_out", *got.schema.names],
                 )
 
-    return run
+    return S.settled(run)
 
 
 def predict_texts(scorer: Scorer, texts: list[str | None]) -> list[tuple[str, float, str]]:
@@ -238,7 +243,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long"),
         held_out_column().alias("held_out"),
-        F.col("text").cast("string").alias("__text"),
+        F.col("text").cast("string").alias("_text"),
     )
     return rows.mapInArrow(
         _predict(shipped, False), "doc_id long, held_out boolean, " + RESULT_DDL
@@ -246,9 +251,13 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs``, all columns, without rows whose language cannot be told (``und``)."""
+    """``docs``, all columns, without rows whose language cannot be told (``und``).
+
+    That is a verdict on the text: one without a letter has no likelihood under any language.
+    Where nothing could be learned, texts with letters stay all the same.
+    """
     spark = docs.sparkSession
     S.attach(spark)
     shipped = spark.sparkContext.broadcast(model or learn(docs))
-    rows = docs.withColumn("__text", F.col("text").cast("string"))
+    rows = docs.select("*", F.col("text").cast("string").alias(S.fresh(docs, "text")[0]))
     return rows.mapInArrow(_predict(shipped, True), docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.joins import checked
 from tidemark.llm import shared as S
 from tidemark.llm.tokens import encoder, vocabulary
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, written
 
 LENGTH = 256
 SHARD = 1 << 15
@@ -124,7 +124,8 @@ def _as_arrow(places: np.ndarray, width: int, records: np.ndarray) -> pa.RecordB
 def _place(path: str | None, length: int, firsts, total: int, width: int, key: int):
     def run(batches):
         own = encoder(path or vocabulary("word_bpe_49k.json"))
-        order, number = Permutation(total, key), firsts.value.get(TaskContext.get().partitionId(), 0)
+        order, part = Permutation(total, key), TaskContext.get().partitionId()
+        number, most = firsts.value.get(part, (0, 0))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -132,8 +133,8 @@ def _place(path: str | None, length: int, firsts, total: int, width: int, key: i
             records = _records(batch.column(0).to_pylist(), texts, own, length)
             numbers = np.arange(number, number + len(records))
             number += len(records)
-            if number > total:
-                raise ValueError("texts have more sequences than their bytes allow")
+            if number > most:
+                raise ValueError(f"partition {part} has more sequences than it was counted to allow")
             places = order.slots(numbers)
             for k in range(0, len(records), 2000):
                 yield _as_arrow(places[k : k + 2000], width, records[k : k + 2000])
@@ -180,24 +181,29 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
     sequences of their own, and an empty table writes no record. Shards have about as many
     records as each other, and not above ``per_shard`` where a token has a byte or more on
     average. Before, the bytes of the texts are summed per input partition, as numbering always
-    needs; the sums are two numbers a partition and go to all tasks.
+    needs; the sums are two numbers a partition and go to all tasks. Both passes must see the
+    same partitions: a table's files are split the same way twice, and anything that is shuffled
+    is written first. A partition never numbers beyond its own range, so places cannot clash.
     """
     spark = docs.sparkSession
     S.attach(spark)
     rows = S.texts(docs)
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = written(rows, "numbered-texts")
     sums = rows.groupBy(F.spark_partition_id().alias("part")).agg(
         F.sum(_allowed(length, MOST_PER_BYTE)).cast("long").alias("most"),
         F.sum(_allowed(length, 1)).cast("long").alias("likely"),
     ).collect()
     firsts, total = {}, 0
     for r in sorted(sums, key=lambda r: r["part"]):
-        firsts[r["part"]] = total
+        firsts[r["part"]] = (total, total + r["most"])
         total += r["most"]
     folder = folder or shared_folder(spark, "training-order")
     shards = max(1, S.ceil_div(sum(r["likely"] for r in sums), per_shard))
     width = max(1, S.ceil_div(total, shards))
     shipped = spark.sparkContext.broadcast(firsts)
-    placed = rows.mapInArrow(_place(path, length, shipped, total, width, key), RECORD_DDL)
+    place = S.settled(_place(path, length, shipped, total, width, key))
+    placed = rows.mapInArrow(place, RECORD_DDL)
     dealt = placed.repartition(max(shards, 12), "shard").sortWithinPartitions("shard", "place")
     # raw bytes pass through a text file unchanged, and each record ends in one line feed
     lines = dealt.select(F.col("record").cast("string").alias("value"), "shard")
@@ -220,14 +226,21 @@ def _read(length: int, with_ids: bool):
             for first, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 records = np.frombuffer(raw, form)
                 for k in range(0, len(records), 2000):
-                    rows = []
-                    for i, (doc_id, piece, n) in enumerate(records["head"][k : k + 2000].tolist(), k):
-                        start = i * form.itemsize + HEADER.itemsize
-                        ids = raw[start : start + 2 * n]
-                        doc_id = None if doc_id == NO_DOC else doc_id
-                        row = (first + i, doc_id, piece, n, zlib.crc32(ids))
-                        rows.append((*row, ids) if with_ids else row)
-                    yield S.record(rows, READ_DDL + ", ids binary" * with_ids)
+                    head = np.ascontiguousarray(records["head"][k : k + 2000])
+                    begin = (np.arange(k, k + len(head)) * form.itemsize + HEADER.itemsize).tolist()
+                    ids = [raw[b : b + 2 * n] for b, n in zip(begin, head["length"].tolist())]
+                    columns = [
+                        pa.array(np.arange(first + k, first + k + len(head))),
+                        pa.array(head["doc_id"], mask=head["doc_id"] == NO_DOC),
+                        pa.array(head["piece"]),
+                        pa.array(head["length"]),
+                        pa.array(list(map(zlib.crc32, ids)), pa.int64()),
+                    ]
+                    names = [f.split()[0] for f in READ_DDL.split(", ")]
+                    if with_ids:
+                        columns.append(pa.array(ids, pa.binary()))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -251,4 +264,4 @@ def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, per_shar
         return spark.createDataFrame([], ddl)
     files = files.select(F.col("shard").cast("long"), "content").where(F.col("shard") >= start)
     opened = files.join(checked(wanted.select("shard", "first")), "shard").select("first", "content")
-    return opened.mapInArrow(_read(length, with_ids), ddl).where(F.col("slot") >= first)
+    return opened.mapInArrow(S.settled(_read(length, with_ids)), ddl).where(F.col("slot") >= first)

@@ -43,7 +43,7 @@ def _pieces(path: str | None, capacity: int, end: int):
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END):
     """Token pieces of every document; only documents over ``capacity`` are cut."""
     S.attach(docs.sparkSession)
-    return S.texts(docs).mapInArrow(_pieces(path, capacity, end), PIECE_DDL)
+    return S.texts(docs).mapInArrow(S.settled(_pieces(path, capacity, end)), PIECE_DDL)
 
 
 def feasible_sums(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int]]:
@@ -146,7 +146,7 @@ def pack(held: DataFrame, capacity: int = CAPACITY, group: int = GROUP,
     while True:
         dealt = F.expr(f"cast(pmod(xxhash64({number}, {turn}), {groups}) as long)")
         packed = left.withColumn("part", dealt).groupBy("part")
-        packed = written(packed.applyInArrow(_pack(capacity, turn), PACKED_DDL), "packed")
+        packed = written(packed.applyInArrow(S.settled(_pack(capacity, turn)), PACKED_DDL), "packed")
         made = packed.where("offset = 0").agg(
             F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("free") == 0, 1)).alias("full")
         ).first()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import os
 import tempfile
 import zipfile
@@ -21,7 +24,9 @@ from tidemark.sources.paths import drop_folder
 PACKAGE = Path(__file__).resolve().parents[1]
 
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: A worker that holds more than this after a batch or a group gives back what it only remembers.
+SETTLE_BYTES = 160 << 20
 BUNDLE_BYTES = 4 << 20
 
 
@@ -97,6 +102,68 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def _resident() -> int:
+    try:
+        with open("/proc/self/statm") as own:
+            return int(own.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    except OSError:
+        return 0
+
+
+def settle() -> None:
+    """Gives memory of finished work back to the machine, once a worker holds much of it.
+
+    Workers live on from stage to stage, and freed arrays stay with a process unless asked for.
+    """
+    if _resident() > SETTLE_BYTES:
+        HASHES.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library keeps its own habits
+
+
+def settled(work):
+    """A function over batches, or over one group, that settles after each of them."""
+
+    if inspect.isgeneratorfunction(work):
+
+        @functools.wraps(work)
+        def over(batches):
+            def passed():
+                for batch in batches:
+                    yield batch
+                    settle()
+
+            yield from work(passed())
+            settle()
+
+        return over
+
+    def one(table):
+        try:
+            return work(table)
+        finally:
+            settle()
+
+    def two(left, right):  # Spark counts the arguments
+        try:
+            return work(left, right)
+        finally:
+            settle()
+
+    return one if len(inspect.signature(work).parameters) == 1 else two
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many ``_`` before them as no column of ``df`` has, in any case."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all others."""
     x = x ^ (x >> np.uint64(33))
@@ -129,6 +196,22 @@ def window_hashes(words: np.ndarray, length: int, factor: int = 0x9E3779B97F4A7C
     return mix(total)
 
 
+def ranges(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The hash ranges, of ``parts`` equal ones, that sorted 64-bit keys fall into.
+
+    A key's range is its product with ``parts`` without the lower 64 bits, taken in two halves,
+    so the work follows the keys and not the number of ranges. ``parts`` is below 2^31.
+    """
+    if not len(keys):
+        return
+    half, many = np.uint64(32), np.uint64(parts)
+    low = ((keys & np.uint64(0xFFFFFFFF)) * many) >> half
+    part = (((keys >> half) * many + low) >> half).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+        yield int(part[start]), slice(start, end)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Numbers of one width, byte plane after byte plane, compressed."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
@@ -213,9 +296,10 @@ def bundles(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     written.
     """
     attach(docs.sparkSession)
-    held = [F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("__text")]
+    names = fresh(docs, "doc", "text")
+    held = [F.col(c).cast(k).alias(n) for c, k, n in zip(("doc_id", "text"), ("long", "string"), names)]
     rest = [F.col(c).isNull().alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return docs.select(*held, *(rest if whole_rows else [])).mapInArrow(_bundles, BUNDLE_DDL)
+    return docs.select(*held, *(rest if whole_rows else [])).mapInArrow(settled(_bundles), BUNDLE_DDL)
 
 
 def bundle_rest(rest: bytes) -> pa.Table:

@@ -90,11 +90,7 @@ class Level:
         self.several = self.least != most
 
     def ranges(self, count: int) -> Iterator[tuple[int, slice]]:
-        edges = [((i << 64) // count) for i in range(1, count)]
-        cuts = [0, *np.searchsorted(self.keys, np.array(edges, np.uint64)), len(self.keys)]
-        for i in range(count):
-            if cuts[i] < cuts[i + 1]:
-                yield i, slice(cuts[i], cuts[i + 1])
+        return S.ranges(self.keys, count)
 
 
 def _flags(level: Level, count: int, answers: list) -> np.ndarray:
@@ -162,7 +158,7 @@ def _send(length: int, count: int, upto: int):
     return run
 
 
-ANSWER_DDL = "bundle long, part int, answer binary"
+ANSWER_DDL = "bundle long, part int, answer binary, hits long"
 
 
 def _repeated(table: pa.Table) -> pa.Table:
@@ -205,7 +201,7 @@ def _answers(rows, keys, found) -> pa.Table:
     for row, k in zip(rows, keys):
         answer = found[at : at + len(k)]
         at += len(k)
-        out.append((row["bundle"], row["part"], S.pack(answer)))
+        out.append((row["bundle"], row["part"], S.pack(answer), int(np.count_nonzero(answer))))
     return pa.Table.from_batches([S.record(out, ANSWER_DDL)])
 
 
@@ -270,14 +266,17 @@ def _rewrite(length: int, count: int):
 
 
 def _in_ranges(sent: DataFrame, answer) -> DataFrame:
-    return sent.groupBy("part").applyInArrow(answer, ANSWER_DDL)
+    return sent.groupBy("part").applyInArrow(S.settled(answer), ANSWER_DDL)
 
 
 def _answered(held: DataFrame, length: int, count: int) -> DataFrame:
-    """Written bundles beside the answers to all their levels."""
+    """Written bundles beside the answers to their levels.
+
+    When no window of a level is repeated, longer ones cannot be, and no further level is sent.
+    """
     steps, rows, answered = levels(length), held, None
     for k in range(len(steps)):
-        sent = rows.mapInArrow(_send(length, count, k), KEYS_DDL)
+        sent = rows.mapInArrow(S.settled(_send(length, count, k)), KEYS_DDL)
         found = _in_ranges(sent, _least_ids if k == len(steps) - 1 else _repeated)
         found = written(found.withColumn("level", F.lit(k)), "substring-answers")
         answered = found if answered is None else answered.unionByName(found)
@@ -285,6 +284,8 @@ def _answered(held: DataFrame, length: int, count: int) -> DataFrame:
             F.collect_list(F.struct("level", "part", "answer")).alias("answers")
         )
         rows = held.join(collected, "bundle", "left")
+        if not found.where("hits > 0").take(1):
+            break
     return rows
 
 
@@ -298,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """
     held = written(S.bundles(docs), "substring-bundles")
     count = S.parts_for(S.bytes_of(held), RANGE_BYTES, LEAST_RANGES)
-    return _answered(held, length, count).mapInArrow(_finish(length, count), DONE_DDL)
+    return _answered(held, length, count).mapInArrow(S.settled(_finish(length, count)), DONE_DDL)
 
 
 def drop_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
@@ -310,4 +311,6 @@ def drop_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """
     held = written(S.bundles(docs, whole_rows=True), "substring-bundles")
     count = S.parts_for(S.bytes_of(held), RANGE_BYTES, LEAST_RANGES)
-    return _answered(held, length, count).mapInArrow(_rewrite(length, count), docs.schema)
+    return _answered(held, length, count).mapInArrow(
+        S.settled(_rewrite(length, count)), docs.schema
+    )
