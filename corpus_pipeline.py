@@ -3,46 +3,55 @@
 from __future__ import annotations
 
 import functools
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact, jaccard, language, packing, substrings
 from tidemark.session import shared_folder, written
 from tidemark.sources.paths import drop_folder
 
-#: Folders that the result of the latest stage was read from.
-_SPENT: set[str] = set()
+#: A stage's result names, in the metadata of its doc_id, the written tables that it reads.
+TABLES = "tidemark.tables"
 
 
 def _folders(df: DataFrame) -> set[str]:
     return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
 
 
-def _free(spark: SparkSession, own: set[str]) -> None:
-    """Deletes the tables of the stage before, whose result has been written and read again.
+def _free(docs: DataFrame) -> None:
+    """Deletes the tables of the stage that ``docs`` came from, once they came from its copy.
 
-    Tables that the documents are still read from, as in a chain without writing, stay.
+    The metadata is written with the rows, so the tables named are those of this chain's last
+    stage and of no other. Documents that still read them, never having been written, keep them.
     """
-    for folder in sorted(_SPENT - own):
-        drop_folder(spark, folder)
-    _SPENT.clear()
+    named = set(docs.schema["doc_id"].metadata.get(TABLES, []))
+    if named and not named & (own := _folders(docs)):
+        for folder in sorted(named - own):
+            drop_folder(docs.sparkSession, folder)
+
+
+def _naming(df: DataFrame, folders: list[str]) -> DataFrame:
+    doc_id = F.col("doc_id").alias("doc_id", metadata={TABLES: folders} if folders else {})
+    return df.select(*[doc_id if c == "doc_id" else F.col(c) for c in df.columns])
 
 
 def frees(work):
-    """A stage that deletes the tables of the one before and leaves its own to the next."""
+    """A stage that deletes the tables of the one before and names its own for the next."""
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        own = _folders(docs)
-        _free(spark, own)
+        _free(docs)
         out = work(spark, docs, sf_dir)
-        base = shared_folder(spark, "x").rsplit("/", 1)[0].split(":")[-1] + "/"
-        _SPENT.update(f for f in _folders(out) - own if base in f)
-        return out
+        base = urlparse(shared_folder(spark, "x").rsplit("/", 1)[0]).path + "/"
+        made = {f for f in _folders(out) - _folders(docs) if urlparse(f).path.startswith(base)}
+        return _naming(out, sorted(made))
 
     return run_stage
 
 
+@frees
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, of which no language can be told."""
     return language.drop_unknown(docs)
@@ -68,7 +77,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the remaining documents, packed into sequences."""
-    _free(spark, _folders(docs))
+    _free(docs)
     return packing.packed_documents(docs)
 
 
