@@ -25,7 +25,7 @@ PACKAGE = Path(__file__).resolve().parents[1]
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
-#: A worker that holds more than this after a batch or a group gives back what it only remembers.
+#: A worker that holds more than this after a batch or a group gives back what is free.
 SETTLE_BYTES = 160 << 20
 BUNDLE_BYTES = 4 << 20
 
@@ -81,25 +81,8 @@ def new_id(number: int) -> int:
     return (TaskContext.get().partitionId() << 32) | number
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered; cleared before it outgrows a worker."""
-
-    MOST = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.MOST:
-            self[word] = value
-        return value
-
-
-HASHES = WordHashes()
-
-
 def hash_words(words: list[bytes]) -> np.ndarray:
-    if len(HASHES) >= HASHES.MOST:
-        HASHES.clear()
-    return np.fromiter(map(HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def _resident() -> int:
@@ -116,7 +99,6 @@ def settle() -> None:
     Workers live on from stage to stage, and freed arrays stay with a process unless asked for.
     """
     if _resident() > SETTLE_BYTES:
-        HASHES.clear()
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
