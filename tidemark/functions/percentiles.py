@@ -80,6 +80,31 @@ def rank_picks(percents: list[int]) -> dict[str, Column]:
     return picks
 
 
+def ranks_of_counts(
+    counted: DataFrame, keys: list[str], value: Column, count: Column, percents: list[int]
+) -> DataFrame:
+    """Rows of value counts with the columns of ``rank_columns``, filled where a value has a
+    wanted rank; null values have none. Orders each group in one task: not for large groups.
+    """
+    n = F.when(value.isNotNull(), count).otherwise(0)
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(value.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumns(
+        {"_upto": F.sum(n).over(upto), "_total": F.sum(n).over(group)}
+    ).withColumn("_from", F.col("_upto") - n)
+    out = {}
+    for i, p in enumerate(percents):
+        low = floor_div((F.col("_total") - 1) * p, 100)
+        for side, rank in (("lo", low), ("hi", F.least(low + 1, F.col("_total") - 1))):
+            inside = (F.col("_from") <= rank) & (rank < F.col("_upto"))
+            out[f"_{side}{i}"] = F.when(inside, value)
+    return placed.withColumns(out).drop("_upto", "_from")
+
+
+def rank_columns(percents: int) -> list[str]:
+    return ["_total", *[f"_{side}{i}" for i in range(percents) for side in ("lo", "hi")]]
+
+
 def interpolated(percents: list[int]) -> list[Column]:
     """``p<percent>_x100`` from the two values around each rank."""
     return [_interpolate(i, p).alias(f"p{p}_x100") for i, p in enumerate(percents)]

@@ -32,7 +32,7 @@ GLOBAL_KEY = ["reading_type"]
 PERCENTS = {50: "median_value", 95: "p95_value", 99: "p99_value"}
 
 
-def _decimal_type(df: DataFrame) -> tuple[int, int]:
+def decimal_type(df: DataFrame) -> tuple[int, int]:
     t = df.schema["value"].dataType
     return t.precision, t.scale
 
@@ -43,7 +43,7 @@ def _drop(scale: int) -> int:
     return 10 ** (scale - 2)
 
 
-def _finish(
+def finish(
     sums: DataFrame, keys: list[str], names: tuple[str, ...], kept: list[str], scale: int
 ) -> DataFrame:
     """Rounded statistics from n, s, ss and the extremes of each key."""
@@ -63,7 +63,7 @@ def _finish(
 
 
 def _grouped(df: DataFrame, keys: list[str], names: tuple[str, ...], extra: dict[str, Column]) -> DataFrame:
-    _, scale = _decimal_type(df)
+    _, scale = decimal_type(df)
     sums = df.groupBy(*keys).agg(
         *power_sums(units(F.col("value"), scale)),
         F.count(F.lit(1)).alias("_rows"),
@@ -73,7 +73,7 @@ def _grouped(df: DataFrame, keys: list[str], names: tuple[str, ...], extra: dict
         F.max("ts").alias("last_reading"),
         *[c.alias(name) for name, c in extra.items()],
     )
-    return _finish(sums, keys, names, list(extra), scale)
+    return finish(sums, keys, names, list(extra), scale)
 
 
 STAT_NAMES = ("reading_count", "avg_value", "min_value", "max_value", "stddev_value")
@@ -117,21 +117,21 @@ def daily_rollup(df: DataFrame, large: DataFrame | None = None) -> DataFrame:
 
 
 def _daily_of_large(daily: DataFrame) -> DataFrame:
-    precision, scale = _decimal_type(daily)
+    precision, scale = decimal_type(daily)
     value = units(F.col("value"), scale)
     ranks = exact_percentiles(daily, DAILY_KEY, value, list(PERCENTS), precision)
     stats = _grouped(daily, DAILY_KEY, STAT_NAMES, {})
-    return _daily_columns(on_same(stats, ranks, DAILY_KEY, "left"), scale)
+    return daily_columns(on_same(stats, ranks, DAILY_KEY, "left"), scale)
 
 
 def _daily_of_small(daily: DataFrame) -> DataFrame:
-    _, scale = _decimal_type(daily)
+    _, scale = decimal_type(daily)
     rows = ranked(daily, DAILY_KEY, units(F.col("value"), scale))
     picked = _grouped(rows, DAILY_KEY, STAT_NAMES, rank_picks(list(PERCENTS)))
-    return _daily_columns(picked.select("*", *interpolated(list(PERCENTS))), scale)
+    return daily_columns(picked.select("*", *interpolated(list(PERCENTS))), scale)
 
 
-def _daily_columns(stats: DataFrame, scale: int) -> DataFrame:
+def daily_columns(stats: DataFrame, scale: int) -> DataFrame:
     return stats.select(
         *DAILY_KEY,
         *STAT_NAMES,
@@ -169,7 +169,7 @@ def global_rollup(df: DataFrame) -> DataFrame:
 
 def _plain_stats(df: DataFrame, keys: list[str]) -> DataFrame:
     """Unrounded statistics; the average keeps ten places, the deviation is a double."""
-    _, scale = _decimal_type(df)
+    _, scale = decimal_type(df)
     one = Decimal(1).scaleb(-scale)
     sums = df.groupBy(*keys).agg(
         *power_sums(units(F.col("value"), scale)),

@@ -10,6 +10,7 @@ from tidemark.operators import rollups as R
 from tidemark.operators.filters import between_ts, moment
 from tidemark.sources.layout import publish_rollup
 from tidemark.sources.paths import drop_folder, folders
+from tidemark.sources.snapshots import Snapshots
 
 BUCKET = {"hourly": "hour", "daily": "day"}
 KEYS = {"hourly": R.HOURLY_KEY, "daily": R.DAILY_KEY, "global": R.GLOBAL_KEY}
@@ -93,6 +94,26 @@ def refresh_recent_dates(
             drop_folder(df.sparkSession, f"{path}/{name}")
 
 
+def refresh_snapshot(table: Snapshots, rollup: DataFrame, bucket: str) -> int:
+    """A whole rollup, by bucket date, as the next version; readers keep the one they pinned."""
+    return table.replace(rollup.withColumn("bucket_date", F.to_date(bucket)), F.lit(True))
+
+
+def refresh_recent_snapshot(
+    table: Snapshots, df: DataFrame, kind: str, as_of: str, days: int | None = None
+) -> int:
+    """Incremental refresh of a rollup kept in versions.
+
+    Reads the readings of the look-back, from the start of its first day, and replaces all
+    files of its dates in one commit, so dates without readings any more are gone as well and
+    nobody sees some dates refreshed and others not.
+    """
+    edge = cutoff(as_of, LOOK_BACK_DAYS[kind] if days is None else days, "day")
+    recent = build(kind, between_ts(df, frm=edge))
+    recent = recent.withColumn("bucket_date", F.to_date(BUCKET[kind]))
+    return table.replace(recent, F.col("part") >= F.to_date(edge))
+
+
 def read_rollup_by_date(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket_date")
 
