@@ -110,7 +110,7 @@ def test_a_merge_reads_no_old_reading(spark, folder, held):
 
 
 def test_one_exchange_on_the_daily_key(store):
-    plan = P._daily_of_small(store.values.read(), 2)._jdf.queryExecution().executedPlan().toString()
+    plan = P._daily_of_small(store.values.read(), 17, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 

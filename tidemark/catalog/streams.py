@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import functions as F
 
 from tidemark.catalog import telemetry as C
@@ -12,13 +9,14 @@ from tidemark.catalog.readings import DAILY_SQL, HOURLY_SQL
 from tidemark.catalog.tables import READINGS_SQL, plain
 from tidemark.operators import alerts as K
 from tidemark.operators import telemetry as T
-from tidemark.operators.rollups import hourly_rollup
 from tidemark.plans.maintenance import read_rollup_by_date
+from tidemark.plans.partials import PartialStore
 from tidemark.session import shared_folder, written
-from tidemark.sources.readings import read_readings
+from tidemark.sources.paths import folders
 from tidemark.spec import EVENT_READINGS
 from tidemark.streaming import rollups as S
 from tidemark.streaming import state as Z
+from tidemark.streaming.late import continuous_partials, correct, late_table
 from tidemark.streaming.telemetry import continuous_metrics, window_metrics
 
 CATALOG: dict = {}
@@ -38,25 +36,63 @@ def _hourly(s, d):
     return plain(_finish(s, S.continuous_hourly(_event_stream(s, d), path, path + "-checkpoint"), path))
 
 
-def _with_open(closed, whole, *keys):
-    """What the stream wrote, and the buckets still open at its end by the batch operator.
+def _with_closing_row(s, d):
+    """The events as a stream whose last row, a month later, closes the windows of all others.
 
-    Lateness is judged over the whole source, so buckets closed in the stream are kept as it
-    wrote them, and only those it never wrote are added.
+    The closing row's own windows stay open, so a stream writes all windows of the events.
     """
-    seen = closed.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return closed.unionByName(whole.select(*closed.columns).join(seen, same, "left_anti"))
+    path = shared_folder(s, "closed-events")
+    events = s.read.parquet(f"{d}/events.parquet")
+    last = events.orderBy(F.desc("ts"), "event_id").limit(1)
+    late = last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 31 DAYS"))
+    events.unionByName(late).write.parquet(path)
+    return S.stream_readings(s, path, EVENT_READINGS)
 
 
 def _hourly_whole(s, d):
-    readings = read_readings(s, f"{d}/events.parquet", EVENT_READINGS)
-    return _with_open(_hourly(s, d), plain(hourly_rollup(readings)), "device_id", "reading_type", "hour")
+    path = shared_folder(s, "hourly-stream")
+    query = S.continuous_hourly(_with_closing_row(s, d), path, path + "-checkpoint")
+    return plain(_finish(s, query, path))
 
 
 def _metrics_whole(s, d):
-    log = C.log(s, d).withColumn("cache_status", F.when(F.col("rows") >= 50, "HIT").otherwise("MISS"))
-    return _with_open(_metrics(s, d), plain(window_metrics(log, 3600, 900)), "window_start", "endpoint")
+    path = shared_folder(s, "metrics-stream")
+    log = _log_of(_with_closing_row(s, d))
+    query = continuous_metrics(log, path, path + "-checkpoint", "1 day", 3600, 900)
+    return plain(_finish(s, query, path))
+
+
+def _disordered(s, d):
+    """Arrivals of a few days each; some days arrive after days that follow them by weeks."""
+    path = shared_folder(s, "disordered")
+    events = s.read.parquet(f"{d}/events.parquet")
+    late = F.col("event_id") % 5 == 0
+    order = F.dayofyear("ts") + F.when(late, (F.col("event_id") % 7) * 4).otherwise(0)
+    lot = F.least(F.floor(order / 8), F.lit(5)).cast("int")
+    events.withColumn("lot", lot).repartition("lot").sortWithinPartitions("lot").write.partitionBy("lot").parquet(path)
+    return path
+
+
+def _corrected(s, d):
+    """The store after all arrivals, with late rows merged by two corrections."""
+    source, base = _disordered(s, d), shared_folder(s, "late-store")
+    store, late = PartialStore(s, f"{base}/store", 15, 2), late_table(s, f"{base}/late")
+    for k, name in enumerate(folders(s, source)):
+        if k == 3:
+            correct(store, late)
+        readings = S.stream_readings(s, f"{source}/{name}", EVENT_READINGS)
+        query = continuous_partials(readings, store, late, f"{base}/checkpoint-{name}", 3, source=name)
+        query.awaitTermination()
+    correct(store, late)
+    return store, late
+
+
+def _set_aside(s, d):
+    """How many rows were late, and whether the corrected store has every row."""
+    store, late = _corrected(s, d)
+    rows = store.hours.read().agg(F.sum("rows").alias("stored_rows"))
+    held = late.read().agg((F.count(F.lit(1)) > 0).alias("some_late"))
+    return rows.join(F.broadcast(held), F.lit(True))
 
 
 def _daily(s, d):
@@ -76,9 +112,13 @@ def _streamed_table(s, df, name):
 
 
 def _stream_log(s, d):
+    return _log_of(_event_stream(s, d))
+
+
+def _log_of(readings):
     """The request log over the streamed events."""
     k = F.get_json_object("metadata", "$.k").cast("int")
-    return _event_stream(s, d).select(
+    return readings.select(
         "ts",
         (F.col("id") - 1).alias("request_id"),
         F.col("reading_type").alias("endpoint"),
@@ -135,6 +175,15 @@ CATALOG["continuous_hourly_rollup_whole"] = (
 CATALOG["continuous_daily_rollup"] = (
     _daily, f"WITH {READINGS_SQL.strip()}, {DAILY_SQL} SELECT * FROM daily"
 )
+CATALOG["corrected_hourly"] = (
+    lambda s, d: plain(_corrected(s, d)[0].hourly()), f"WITH {READINGS_SQL.strip()}, {HOURLY_SQL} SELECT * FROM hourly"
+)
+CATALOG["corrected_daily"] = (
+    lambda s, d: plain(_corrected(s, d)[0].daily()), f"WITH {READINGS_SQL.strip()}, {DAILY_SQL} SELECT * FROM daily"
+)
+CATALOG["late_rows"] = (
+    _set_aside, f"WITH {READINGS_SQL.strip()} SELECT count(*) AS stored_rows, true AS some_late FROM readings"
+)
 CATALOG["sliding_metrics"] = (
     lambda s, d: plain(window_metrics(C.log(s, d).withColumn(
         "cache_status", F.when(F.col("rows") >= 50, "HIT").otherwise("MISS")), 3600, 900)),

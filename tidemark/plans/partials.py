@@ -116,17 +116,18 @@ def _sums_of_values() -> list:
     ]
 
 
-def _rounded(sums: DataFrame, keys: list[str], names, kept: list[str], scale: int) -> DataFrame:
+def _rounded(sums, keys: list[str], names, kept: list[str], precision: int, scale: int) -> DataFrame:
     rows = "_rows" if "_rows" in sums.columns else "rows"
+    value = lambda c: from_units(F.col(c), scale).cast(f"decimal({precision},{scale})")
     sums = sums.withColumnsRenamed({rows: "_rows"}).withColumns(
-        {"_min": from_units(F.col("low"), scale), "_max": from_units(F.col("high"), scale)}
+        {"_min": value("low"), "_max": value("high")}
     )
     return finish(sums, keys, names, kept, scale)
 
 
-def hourly_of(partials: DataFrame, scale: int) -> DataFrame:
+def hourly_of(partials: DataFrame, precision: int, scale: int) -> DataFrame:
     """The hourly rollup of merged hour partials."""
-    return _rounded(partials, HOURLY_KEY, STAT_NAMES, [], scale)
+    return _rounded(partials, HOURLY_KEY, STAT_NAMES, [], precision, scale)
 
 
 def daily_of(counted: DataFrame, precision: int, scale: int, large_rows: int = SMALL_GROUP) -> DataFrame:
@@ -138,21 +139,21 @@ def daily_of(counted: DataFrame, precision: int, scale: int, large_rows: int = S
     pair = ["day", "reading_type"]  # few, so that looking for a large group shuffles little
     large = large_groups(counted, pair, large_rows)
     if large.isEmpty():
-        return _daily_of_small(counted, scale)
+        return _daily_of_small(counted, precision, scale)
     large = large_groups(on_same(counted, checked(large), pair, "left_semi"), DAILY_KEY, large_rows)
     if large.isEmpty():
-        return _daily_of_small(counted, scale)
-    small = _daily_of_small(on_same(counted, checked(large), DAILY_KEY, "left_anti"), scale)
+        return _daily_of_small(counted, precision, scale)
+    small = _daily_of_small(on_same(counted, checked(large), DAILY_KEY, "left_anti"), precision, scale)
     held = on_same(counted, checked(large), DAILY_KEY, "left_semi")
     held = merge(held, [*DAILY_KEY, "v"])
     ranks = held.where("v is not null").select(*DAILY_KEY, F.col("v").alias("_v"), F.col("rows").alias("_n"))
     ranks = percentiles_of_counts(ranks, DAILY_KEY, list(PERCENTS), precision)
     stats = held.groupBy(*DAILY_KEY).agg(*_sums_of_values())
-    stats = _rounded(stats, DAILY_KEY, STAT_NAMES, [], scale)
+    stats = _rounded(stats, DAILY_KEY, STAT_NAMES, [], precision, scale)
     return small.unionByName(daily_columns(on_same(stats, ranks, DAILY_KEY, "left"), scale))
 
 
-def _daily_of_small(counted: DataFrame, scale: int) -> DataFrame:
+def _daily_of_small(counted: DataFrame, precision: int, scale: int) -> DataFrame:
     merged = merge(counted, [*DAILY_KEY, "v"], by=DAILY_KEY)
     placed = ranks_of_counts(merged, DAILY_KEY, F.col("v"), F.col("rows"), list(PERCENTS))
     sums = placed.groupBy(*DAILY_KEY).agg(
@@ -160,19 +161,19 @@ def _daily_of_small(counted: DataFrame, scale: int) -> DataFrame:
     )
     sums = sums.select("*", *interpolated(list(PERCENTS)))
     kept = [f"p{p}_x100" for p in PERCENTS]
-    return daily_columns(_rounded(sums, DAILY_KEY, STAT_NAMES, kept, scale), scale)
+    return daily_columns(_rounded(sums, DAILY_KEY, STAT_NAMES, kept, precision, scale), scale)
 
 
 GLOBAL_NAMES = ("total_readings", "global_avg", "global_min", "global_max", "global_stddev")
 
 
-def global_of(partials: DataFrame, devices: DataFrame, scale: int) -> DataFrame:
+def global_of(partials: DataFrame, devices: DataFrame, precision: int, scale: int) -> DataFrame:
     """The global rollup of hour partials and of the types' distinct devices."""
     merged = merge(partials, GLOBAL_KEY)
     held = on_same(merged, devices, GLOBAL_KEY, "left").withColumn(
         "active_devices", F.coalesce("active_devices", F.lit(0))
     )
-    return _rounded(held, GLOBAL_KEY, GLOBAL_NAMES, ["active_devices"], scale)
+    return _rounded(held, GLOBAL_KEY, GLOBAL_NAMES, ["active_devices"], precision, scale)
 
 
 def number_devices(devices: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -249,31 +250,41 @@ class PartialStore:
             self.spark, f"{self.base}/{name}", part, list(ranges)
         )
         self.values = table("values", "month", "day", "device_id")
-        self.hours = table("hours", "month", "hour", "device_id")
+        self.hours = table("hours", "month", "hour", "device_id", "last_reading")
         self.days = table("device-days", "month", "day")
         self.devices = table("devices", "lot", "device_id")
 
-    def merge(self, new: DataFrame, tables: tuple[str, ...] = ("values", "hours", "devices")) -> None:
+    def merge(self, new: DataFrame, tables: tuple[str, ...] = ("values", "hours", "devices"),
+              mark: tuple[str, int] | None = None) -> None:
         """Takes in readings that the tables have not seen: only these are read.
 
         Each table gets the partials of the new readings appended; of what is stored only the
         device numbers are read, to number devices that are new. ``tables`` names what a store
-        keeps, if not everything.
+        keeps, if not everything. Under a ``mark`` (see ``Snapshots.commit``) a merge that was
+        cut off can be repeated: tables that have it already take it no second time.
         """
         month = lambda df, c: df.withColumn("month", F.trunc(c, "month"))
         if "values" in tables:
-            self.values.append(month(value_partials(new), "day"))
+            self.values.append(month(value_partials(new), "day"), mark)
         if "hours" in tables:
-            self.hours.append(month(hour_partials(new), "hour"))
+            self.hours.append(month(hour_partials(new), "hour"), mark)
         if "devices" in tables:
-            self._merge_devices(new, month)
+            self._merge_devices(new, month, mark)
 
-    def _merge_devices(self, new: DataFrame, month) -> None:
+    def _merge_devices(self, new: DataFrame, month, mark) -> None:
+        if mark and self.days.done(mark):
+            return
         known = self.devices.read() if self.devices.newest() else None
         fresh = written(number_devices(new, known), "numbered-devices")
         numbers = fresh if known is None else known.drop("lot").unionByName(fresh)
-        self.days.append(month(device_days(new, numbers), "day"))
+        # numbers first: days without them would name devices that nobody knows
         self.devices.append(fresh.withColumn("lot", F.lit(self.devices.newest() + 1)))
+        self.days.append(month(device_days(new, numbers), "day"), mark)
+
+    def marks(self, writer: str) -> int:
+        """The last mark that every table kept here has of a writer; -1 for none."""
+        kept = [t for t in (self.values, self.hours, self.days) if t.newest()]
+        return min((t.mark_of(writer) for t in kept), default=-1)
 
     def compact(self) -> None:
         """Folds the partials that merges have appended into one row a key, month by month."""
@@ -297,7 +308,7 @@ class PartialStore:
     def hourly(self, first=None, last=None) -> DataFrame:
         """The hourly rollup of all hours, or of those from ``first`` to ``last``."""
         held = self.hours.read(hour=(first, last)) if first or last else self.hours.read()
-        return hourly_of(merge(held, HOURLY_KEY), self.scale)
+        return hourly_of(merge(held, HOURLY_KEY), self.precision, self.scale)
 
     def daily(self, first=None, last=None) -> DataFrame:
         """The daily rollup of all days, or of those from ``first`` to ``last``."""
@@ -305,7 +316,8 @@ class PartialStore:
         return daily_of(held, self.precision, self.scale)
 
     def overall(self) -> DataFrame:
-        return global_of(self.hours.read(), distinct_devices(self.days.read(), GLOBAL_KEY), self.scale)
+        devices = distinct_devices(self.days.read(), GLOBAL_KEY)
+        return global_of(self.hours.read(), devices, self.precision, self.scale)
 
     def distinct_devices(self, first=None, last=None) -> DataFrame:
         """One row: the exact number of devices that read from day ``first`` to ``last``."""

@@ -191,34 +191,49 @@ class Snapshots:
             "file", "part", "rows", "bytes", "low", "high"
         )
 
+    def mark_of(self, writer: str) -> int:
+        """The last mark that a writer's commits have; -1 for none."""
+        newest = self.newest()
+        return self._entry(newest).get("marks", {}).get(writer, -1) if newest else -1
+
+    def done(self, mark: tuple[str, int]) -> bool:
+        """Whether the newest version holds what a writer committed under this mark or a later one."""
+        return self.mark_of(mark[0]) >= mark[1]
+
     def commit(self, add: DataFrame | None = None, gone: Column | None = None,
-               base: int | None = None) -> int:
+               base: int | None = None, mark: tuple[str, int] | None = None) -> int:
         """A new version: ``base`` without the files for which ``gone`` holds, and with ``add``.
 
         ``gone`` is a condition on the manifest. The version follows ``base`` (the newest);
         if another writer has committed that one, ``Conflict`` is raised and nothing changes
         for readers. Files of a failed commit are in no manifest and go with ``collect``.
+        ``mark`` is a writer's name and a number that grows with its commits, as a stream's
+        batches have: a commit whose mark is there already is done and is not repeated.
         """
+        if mark and self.done(mark):
+            return self.newest()
         base = self.newest() if base is None else base
         schema = add.schema if add is not None else self.schema(base)
         held = self.manifest(base) if base else None
         if held is not None and gone is not None:
             held = held.where(~F.coalesce(gone, F.lit(False)))
-        return self._commit(base, held, add, schema)
+        return self._commit(base, held, add, schema, mark)
 
-    def _commit(self, base: int, stays: DataFrame | None, add: DataFrame | None, schema) -> int:
+    def _commit(self, base: int, stays: DataFrame | None, add: DataFrame | None, schema,
+                mark: tuple[str, int] | None = None) -> int:
         held = self.spark.createDataFrame([], self._manifest_schema(schema))
         for more in (stays, self._written(add) if add is not None else None):
             held = held if more is None else held.unionByName(more)
         name = uuid.uuid4().hex
         held.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
-        entry = {"manifest": name, "schema": schema.jsonValue(), "base": base}
+        marks = {**(self._entry(base).get("marks", {}) if base else {}), **dict([mark] if mark else [])}
+        entry = {"manifest": name, "schema": schema.jsonValue(), "base": base, "marks": marks}
         if not paths.create_text(self.spark, self._log(base + 1), json.dumps(entry)):
             raise Conflict(f"version {base + 1} of {self.path} is there already")
         return base + 1
 
-    def append(self, df: DataFrame) -> int:
-        return self.commit(add=df)
+    def append(self, df: DataFrame, mark: tuple[str, int] | None = None) -> int:
+        return self.commit(add=df, mark=mark)
 
     def replace(self, df: DataFrame, gone: Column) -> int:
         """Files for which ``gone`` holds make way for ``df`` in one step."""
