@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.readings import COLS, DAILY_SQL, GLOBAL_SQL, HOURLY_SQL
-from tidemark.catalog.tables import AS_OF, LINEITEM_SQL, READINGS_SQL, events, lineitems, plain
+from tidemark.catalog.request_tables import CATALOG as LOOKUPS
+from tidemark.catalog.tables import (
+    AS_OF,
+    LINEITEM_SQL,
+    READINGS_SQL,
+    events,
+    lineitems,
+    plain,
+    requests_at,
+)
 from tidemark.operators import rollups as R
+from tidemark.operators.requests import lookup_ids
 from tidemark.plans import maintenance as M
 from tidemark.plans.partials import SKETCH, PartialStore, estimated_devices
 from tidemark.session import shared_folder
+from tidemark.sources import footers as Q
 from tidemark.sources import layout as Y
+from tidemark.sources.buckets import write_buckets
 from tidemark.sources.csv import load_csv
 from tidemark.sources.snapshots import Snapshots
 from tidemark.spec import READING_COLUMNS
@@ -125,6 +137,31 @@ def _pinned(s, d):
     return plain(both)
 
 
+def _bucketed_lookup(s, d):
+    buckets = max(8, int(s.conf.get("spark.sql.shuffle.partitions")))
+    held = write_buckets(events(s, d), shared_folder(s, "by-id"), buckets)
+    return plain(lookup_ids(requests_at(s, d), held))
+
+
+def _sizes(s, d):
+    names = ("events", "lineitem", "orders")
+    sizes = Q.source_sizes(s, {n: f"{d}/{n}.parquet" for n in names})
+    return sizes.select("table_name", "estimated_rows", (F.col("bytes") > 0).alias("has_bytes"))
+
+
+def _extremes(s, d):
+    summary = Q.manifest_summary(_clustered(s, d), ["ts", "id"])
+    span = F.unix_micros("greatest_ts") - F.unix_micros("least_ts")
+    return plain(summary.withColumn("span_us", span))
+
+
+def _lag(s, d):
+    df = events(s, d)
+    table = Snapshots(s, shared_folder(s, "rollup"), "bucket_date", ["device_id", "hour"])
+    M.refresh_snapshot(table, R.hourly_rollup(df.where(F.col("ts") < F.lit(ARRIVALS[1]).cast("timestamp"))), "hour")
+    return plain(Q.manifest_lag(_clustered(s, d), table))
+
+
 OLD_HOURLY = HOURLY_SQL.replace("hourly AS", "old_hourly AS", 1).replace(
     "FROM readings", f"FROM readings WHERE ts < TIMESTAMP '{ARRIVALS[1]}'"
 )
@@ -134,6 +171,19 @@ WITHIN = " UNION ALL ".join(
     for a, b in PERIODS
 )
 
+add("footer_summary", lambda s, d: Q.footer_summary(s, f"{d}/events.parquet", "event_id"),
+    "SELECT count(*) AS row_count, min(event_id) AS least, max(event_id) AS greatest FROM events")
+add("source_sizes", _sizes,
+    """SELECT 'events' AS table_name, count(*) AS estimated_rows, true AS has_bytes FROM events UNION ALL
+    SELECT 'lineitem', count(*), true FROM lineitem UNION ALL SELECT 'orders', count(*), true FROM orders""")
+add("manifest_extremes", _extremes,
+    """SELECT count(*) AS row_count, min(ts) AS least_ts, max(ts) AS greatest_ts, min(id) AS least_id,
+    max(id) AS greatest_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us FROM readings""")
+add("manifest_lag", _lag,
+    f"""SELECT max(ts) AS latest_data, date_trunc('hour', max(ts) FILTER (WHERE ts < TIMESTAMP '{ARRIVALS[1]}'))::TIMESTAMP AS latest_bucket,
+    CAST(epoch_us(max(ts)) - epoch_us(date_trunc('hour', max(ts) FILTER (WHERE ts < TIMESTAMP '{ARRIVALS[1]}'))) AS DOUBLE) / 1000000 AS lag_seconds
+    FROM readings""")
+CATALOG["bucketed_lookup"] = (_bucketed_lookup, LOOKUPS["lookup_by_id"][1])
 add("merged_hourly", lambda s, d: plain(store_of(s, d, "hours").hourly()), f", {HOURLY_SQL} SELECT * FROM hourly")
 add("merged_daily", lambda s, d: plain(store_of(s, d, "values").daily()), f", {DAILY_SQL} SELECT * FROM daily")
 add("merged_global", lambda s, d: plain(store_of(s, d, "hours", "devices").overall()), f", {GLOBAL_SQL} SELECT * FROM global")
