@@ -332,6 +332,80 @@ def test_counts_of_a_node_stay_bounded(monkeypatch):
     assert text[0] == 200
 
 
+@pytest.mark.parametrize("items", [300, 600, 900])
+def test_a_constant_list_of_any_length_is_template(spark, items):
+    fixed = "".join(f"<li>Item {i} of the list</li>" for i in range(items))
+    rows = [
+        (k, f"http://list.example/{k}", f"<body><ul>{fixed}</ul><div><p>The article {k} has words "
+         f"{k * 7919}</p><p>and more of {k}</p></div></body>")
+        for k in range(12)
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in extraction.extract(df.repartition(3)).collect():
+        k = r["page_id"]
+        assert r["text"] == f"The article {k} has words {k * 7919}\nand more of {k}"
+
+
+def test_forgotten_texts_are_rare(monkeypatch):
+    """Whatever the order, a text that is on 0.8 of the pages stays, and bounds hold for the rest."""
+    monkeypatch.setattr(extraction, "COUNTED", 30)
+    rng, pages = random.Random(8), []
+    for k in range(400):
+        often = [f"<p>often {i}</p>" for i in range(60) if rng.random() < 0.9]
+        pages.append("".join(often) + "".join(f"<p>{k} {i}</p>" for i in range(20)))
+    for order in (pages, pages[::-1], rng.sample(pages, 400)):
+        todo = [extraction.page_template(extraction.read_page(p)) for p in order]
+        while len(todo) > 1:
+            todo = [extraction.fold(*todo[k : k + 2]) if k + 1 < len(todo) else todo[k]
+                    for k in range(0, len(todo), 2)]
+        node = max(todo[0]["k"], key=lambda n: len(n["h"]))
+        assert node.get("e", 0) <= extraction.LOST * node["n"] and len(node["h"]) < 1500
+        assert len(extraction.closed(todo[0])["k"][todo[0]["k"].index(node)]["h"]) == 60
+
+
+def test_templates_stay_bounded_where_names_differ():
+    """Every page has class names of its own: the fold keeps those of few pages, not of all."""
+    both, sizes = None, []
+    for k in range(1200):
+        body = "".join(f'<div class="x{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{i}">{k}</div>' for i in "abc")
+        own = extraction.page_template(extraction.read_page(f"<body><p>same</p>{body}</body>"))
+        both = extraction.fold(both, own) if both else own
+        sizes.append(max(len(n["k"]) for n in [both, *both["k"]]))
+    assert max(sizes) <= 2 * extraction.CHILDREN and sizes[-1] <= 1.2 * max(sizes[:600])
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<header><p>Welcome back, visitor SIDE</p></header>MAIN",
+        "<header><a href=x>Home</a> SIDE</header>MAIN",
+        'MAIN<div class="site-footer">Page served in SIDE ms</div>',
+        'MAIN<div class="post-comments"><p>SIDE says one</p><p>SIDE says two</p></div>',
+        'MAIN<section id="reader-comments"><p>SIDE says</p></section>',
+        'MAIN<ul class="user-comments"><li>SIDE</li></ul>',
+    ],
+)
+def test_what_stands_around_the_main_text(spark, around):
+    """Also where it varies from page to page, so that no template explains it."""
+    rows = []
+    for k in range(12):
+        main = f"<div><h1>Title {k}</h1><p>{'The words of article ' * 9}{k}</p></div>"
+        rows.append((k, f"http://a.example/{k}", f"<body>{around}</body>".replace("MAIN", main).replace("SIDE", f"s{k}")))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in extraction.extract(df).collect():
+        k = r["page_id"]
+        assert r["text"] == f"Title {k}\n{('The words of article ' * 9)}{k}"
+
+
+def test_a_header_with_a_title_of_its_own_stays(spark):
+    rows = [
+        (k, f"http://a.example/{k}", f"<body><div><header><h1>Title {k}</h1></header><p>Words {k} of it</p></div></body>")
+        for k in range(12)
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in extraction.extract(df).collect()} == {f"Title {k}\nWords {k} of it" for k in range(12)}
+
+
 def test_varying_slots_come_before_article_tags(spark):
     """Teasers marked up as articles, and an article that goes on behind its element."""
     rng = random.Random(5)
