@@ -156,11 +156,11 @@ def _alerts(s, d):
     return plain(_finish(s, Z.write_stream(fired, path, path + "-checkpoint"), path))
 
 
-def _ordered_alerts(s, d):
+def _out_of_order(s, evaluations, rules):
     """Evaluations in five batches without any order, and a last row that closes their time."""
     Z.use_keyed_state(s)
     path, source = shared_folder(s, "ordered-alerts"), shared_folder(s, "evaluations")
-    series = written(C.alert_series(s, d), "alert-series")
+    series = written(evaluations, "alert-series")
     lot = F.pmod(F.xxhash64("ts"), F.lit(5))
     for k in range(5):  # one file a batch
         series.where(lot == k).coalesce(1).write.mode("append").parquet(source)
@@ -169,7 +169,7 @@ def _ordered_alerts(s, d):
         F.lit("").alias("rule"), F.lit("").alias("series"), "ts", F.lit(0.0).alias("value")
     ).write.mode("append").parquet(source)
     stream = s.readStream.schema(series.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    fired = Z.ordered_alert_stream(stream, K.rules_table(s, C.ALERT_RULES), "45 days")
+    fired = Z.ordered_alert_stream(stream, rules, "45 days")
     return plain(_finish(s, Z.write_stream(fired, path, path + "-checkpoint"), path))
 
 
@@ -216,4 +216,11 @@ _alert_sql = C.CATALOG["alerts"][1]
 CATALOG["continuous_alerts"] = (
     _alerts, f"SELECT rule, series, pending_since, firing_since FROM ({_alert_sql})"
 )
-CATALOG["ordered_alerts"] = (_ordered_alerts, CATALOG["continuous_alerts"][1])
+CATALOG["ordered_alerts"] = (
+    lambda s, d: _out_of_order(s, C.alert_series(s, d), K.rules_table(s, C.ALERT_RULES)),
+    CATALOG["continuous_alerts"][1],
+)
+CATALOG["continuous_rule_alerts"] = (
+    lambda s, d: _out_of_order(s, C.rule_evaluations(s, d), K.rules_table(s)),
+    f"WITH {C.LOG_SQL}{C.RULE_ALERTS_SQL} SELECT rule, series, pending_since, firing_since FROM fired",
+)

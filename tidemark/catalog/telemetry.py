@@ -13,6 +13,7 @@ from tidemark.operators import verdicts as V
 from tidemark.operators.aggregates import top_devices
 from tidemark.operators.filters import slow_requests
 from tidemark.functions.ordered import gap_islands
+from tidemark.session import written
 
 CATALOG: dict = {}
 
@@ -53,12 +54,16 @@ def samples(s, d) -> DataFrame:
     ).withColumn("day", F.to_date("ts"))
     cents = (F.col("duration_ms") * 100).cast("bigint")
     bounds = [*T.LATENCY_BOUNDS, float("inf")]
+    operations = {"read": F.col("rows") >= 40, "write": F.col("rows") < 40}
     counts = base.groupBy("endpoint", "status", "day", "at").agg(
         F.count(F.lit(1)).alias("http_requests_total"),
         F.sum(cents).alias("http_request_duration_seconds_sum"),
         F.count(F.lit(1)).alias("http_request_duration_seconds_count"),
         F.sum("rows").alias("pg_stat_database_blks_hit"),
         F.sum(F.lit(100) - F.col("rows")).alias("pg_stat_database_blks_read"),
+        *[F.count_if(is_op).alias(f"node_disk_{op}s_completed_total") for op, is_op in operations.items()],
+        *[F.sum(F.when(is_op, cents).otherwise(0)).alias(f"node_disk_{op}_time_seconds_total")
+          for op, is_op in operations.items()],
         *[F.count_if(cents <= b * 100000).alias(f"le{i}") for i, b in enumerate(bounds)],
     )
     running = Window.partitionBy("endpoint", "day").orderBy("at")
@@ -70,11 +75,14 @@ def samples(s, d) -> DataFrame:
     labels = F.create_map(F.lit("endpoint"), F.col("endpoint"), F.lit("status"), F.col("status").cast("string"))
     counters = counts.select("at", labels.alias("labels"), F.array(*cells).alias("cells")).select(
         F.col("at").alias("ts"), "labels", F.inline("cells"))
-    gauge = log(s, d).select(
+    gauges = log(s, d).select(
         "ts", F.create_map(F.lit("endpoint"), F.col("endpoint"), F.lit("device"), F.col("device_id")).alias("labels"),
-        F.lit("http_requests_in_flight").alias("metric"), F.lit(None).cast("double").alias("le"),
-        F.col("rows").cast("double").alias("value"))
-    return counters.unionByName(gauge)
+        F.lit(None).cast("double").alias("le"),
+        F.inline(F.array(
+            F.struct(F.lit("http_requests_in_flight").alias("metric"), F.col("rows").cast("double").alias("value")),
+            F.struct(F.lit("pg_settings_max_connections").alias("metric"), (F.col("rows") + 100).cast("double").alias("value")),
+        )))
+    return counters.unionByName(gauges)
 
 
 def counters_sql(cells: dict[str, str]) -> str:
@@ -216,6 +224,20 @@ add("gauge_last", lambda s, d: T.gauge_last(samples(s, d), "http_requests_in_fli
     "SELECT device_id AS device, CAST(arg_max(rows, ts) AS DOUBLE) AS latest, CAST(max(rows) AS DOUBLE) AS peak FROM log GROUP BY 1")
 add("gauge_share", lambda s, d: plain(T.gauge_share(samples(s, d), "http_requests_in_flight", 200.0)),
     "SELECT ts, CAST(sum(rows) AS DOUBLE) AS used, CAST(200 AS DOUBLE) AS bound, CAST(sum(rows) AS DOUBLE) / 200 AS share FROM log GROUP BY ts")
+add("gauge_of_gauge", lambda s, d: plain(T.gauge_share(samples(s, d), "http_requests_in_flight", "pg_settings_max_connections")),
+    """SELECT ts, CAST(sum(rows) AS DOUBLE) AS used, CAST(max(rows) + 100 AS DOUBLE) AS bound,
+    CAST(sum(rows) AS DOUBLE) / CAST(max(rows) + 100 AS DOUBLE) AS share FROM log GROUP BY ts""")
+OPERATIONS = {f"{k}{op[0]}": f"{a} FILTER (WHERE rows {test} 40)" for op, test in (("read", ">="), ("write", "<"))
+              for k, a in (("n", "count(*)"), ("t", "sum(cents)"))}
+add("wait_per_operation", lambda s, d: plain(T.wait_per_operation(samples(s, d), ["endpoint"], 3600)),
+    ", " + counters_sql({k: f"coalesce({e}, 0)" for k, e in OPERATIONS.items()}) + " UNION ALL ".join(
+        f""" SELECT {bucket_sql(3600, 'scraped_at')} AS window_start, endpoint, '{op}' AS operation, sum(n{op[0]}) / 3600 AS per_second,
+        (sum(t{op[0]}) / 3600) / nullif(sum(n{op[0]}) / 3600, 0) * 1000 AS wait_ms FROM grown WHERE nr IS NOT NULL GROUP BY 1, 2"""
+        for op in ("read", "write")))
+for seconds, slide in ((3600, 900), (120, 5)):
+    add(f"request_rate_{seconds}s_every_{slide}s", lambda s, d, n=seconds, k=slide: plain(T.counter_rate(samples(s, d), "http_requests_total", ["endpoint"], n, k)),
+        f""", {counters_sql({'n': 'count(*)'})} SELECT {bucket_sql(slide, 'scraped_at')} - INTERVAL (g * {slide}) SECOND AS window_start, endpoint,
+        sum(n) / {seconds} AS rate FROM grown, (SELECT unnest(range({seconds // slide})) AS g) WHERE n IS NOT NULL GROUP BY ALL""")
 for seconds, slide in ((300, None), (3600, 900)):
     start = bucket_sql(seconds) if not slide else f"{bucket_sql(slide)} - INTERVAL (g * {slide}) SECOND"
     more = "" if not slide else f", (SELECT unnest(range({seconds // slide})) AS g)"
@@ -239,6 +261,55 @@ add("latency_by_third", lambda s, d: T.segment_latency(T.by_third(log(s, d)), F.
 add("latency_by_range", lambda s, d: T.segment_latency(log(s, d), T.range_class(F.col("size_bytes") * 2)),
     f""", marked AS (SELECT *, CASE WHEN size_bytes * 2 <= 3600 THEN '1h' WHEN size_bytes * 2 <= 86400 THEN '24h' ELSE '7d' END AS segment FROM log),
     {summary_sql('segment', 'marked')} SELECT * FROM summary""")
+
+
+def by_tier(s, d) -> DataFrame:
+    """Latency of the requests by tier; a request for neither an id nor a device reads the statistics."""
+    asked = requests_at(s, d).where("error_code IS NULL OR error_param = 'id or device_id'")
+    tiers = asked.select("request_id", T.query_tier().alias("tier"))
+    return T.segment_latency(log(s, d).join(tiers, "request_id"), F.col("tier"))
+
+
+TIER_SQL = f""", {REQUESTS_SQL.strip()}, marked AS (SELECT log.*, CASE WHEN mode = 'id' THEN 'pk_lookup' WHEN NOT by_device THEN 'stats_agg'
+      WHEN from_ts IS NOT NULL OR to_ts IS NOT NULL THEN 'time_range' ELSE 'device_filter' END AS segment
+      FROM log JOIN checked USING (request_id) WHERE error_param IS NULL OR error_param = 'id or device_id'),
+    {summary_sql('segment', 'marked')}"""
+add("latency_by_tier", by_tier, f"{TIER_SQL} SELECT * FROM summary")
+add("tier_verdicts", lambda s, d: V.slo_verdict(by_tier(s, d), ["segment"], V.tier_targets(s)),
+    f"""{TIER_SQL}, long AS (SELECT segment, unnest(['p95_ms', 'p99_ms']) AS stat, unnest([p95_ms, p99_ms]) AS value FROM summary),
+    targets(segment, stat, bound) AS (VALUES {', '.join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in V.TIER_TARGETS)})
+    SELECT segment, stat, value, bound, CASE WHEN value < bound THEN 'pass' ELSE 'fail' END AS verdict FROM long JOIN targets USING (segment, stat)""")
+USERS_SQL = """, users AS (SELECT endpoint, day, count(DISTINCT device_id) AS n FROM (SELECT *, CAST(ts AS DATE) AS day FROM log) GROUP BY ALL)"""
+add("user_bands", lambda s, d: V.banded(T.concurrent_users(log(s, d), ["endpoint"], 86400), ["endpoint"]),
+    f"""{USERS_SQL} SELECT endpoint, 'concurrent_users' AS stat, CAST(max(n) AS DOUBLE) AS value,
+    CASE WHEN max(n) >= 50 THEN 'pass' WHEN max(n) >= 30 THEN 'warn' ELSE 'fail' END AS grade FROM users GROUP BY endpoint""")
+
+# Quantiles of any period from daily sketches
+SPANS = (("first_week", "2024-01-01", "2024-01-08"), ("one_day", "2024-01-10", "2024-01-11"), ("all", "2000-01-01", "2100-01-01"))
+
+
+def sketched(s, d) -> DataFrame:
+    """Whether the share of requests below each estimate is near the asked one, per period."""
+    rows, out = log(s, d), None
+    days = written(T.latency_sketches(rows, ["endpoint"]), "latency-sketches")
+    for name, start, end in SPANS:
+        estimates = T.sketched_quantiles(
+            days.where((F.col("window_start") >= start) & (F.col("window_start") < end)), ["endpoint"], [50, 95, 99])
+        within = rows.where((F.col("ts") >= start) & (F.col("ts") < end))
+        judged = within.withColumn("_x", (F.col("duration_ms") * 100).cast("bigint")).join(F.broadcast(estimates), "endpoint")
+        near = F.lit(True)
+        for p in (50, 95, 99):
+            below, upto = (F.count_if(c) / F.count(F.lit(1)) for c in (F.col("_x") < F.col(f"p{p}"), F.col("_x") <= F.col(f"p{p}")))
+            near = near & (below - T.SKETCH_ERROR <= p / 100) & (upto + T.SKETCH_ERROR >= p / 100)
+        part = judged.groupBy("endpoint", "requests").agg(near.alias("near")).select(
+            F.lit(name).alias("period"), "endpoint", "requests", "near")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+add("period_quantiles_estimated", sketched, ", spans(period, a, b) AS (VALUES " + ", ".join(
+    f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, a, b in SPANS) + """)
+    SELECT period, endpoint, count(*) AS requests, true AS near FROM log, spans WHERE ts >= a AND ts < b GROUP BY ALL""")
 add("traffic_mix", lambda s, d: T.mix_share(log(s, d)),
     "SELECT endpoint, count(*) AS requests, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM log) AS share FROM log GROUP BY 1")
 TARGETS = (("p50_ms", 35.0), ("p95_ms", 150.0), ("p99_ms", 230.0), ("error_share", 0.01))
@@ -323,6 +394,89 @@ add("alerts", lambda s, d: plain(K.alerts(alert_series(s, d), K.rules_table(s, A
     runs AS (SELECT *, row_number() OVER (PARTITION BY rule, series ORDER BY ts) - row_number() OVER (PARTITION BY rule, series, is_on ORDER BY ts) AS g FROM judged)
     SELECT rule, series, severity, component, min(ts) AS pending_since, min(ts) + INTERVAL 2 HOUR AS firing_since, max(ts) AS last_true, max(value) AS peak
     FROM runs WHERE is_on GROUP BY rule, series, severity, component, hold, g HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= CAST(hold AS BIGINT) * 1000000""")
+
+# All seven rules: two hosts scraped every 15 seconds on a clock that passes 60 times as fast
+RULE_BOUNDS = (0.1, 0.5, 1.0, 2.5)
+
+
+def rule_samples(s, d) -> DataFrame:
+    """Counters, restarted with every day of the events, and gauges of two hosts."""
+    fast = F.floor(F.unix_seconds("ts") / 900) * 15 + 15
+    base = log(s, d).withColumn("at", F.timestamp_seconds(fast)).withColumn("day", F.to_date("ts")).withColumn(
+        "host", F.concat(F.lit("h"), F.col("request_id") % 2))
+    cents = (F.col("duration_ms") * 100).cast("bigint")
+    bad = (F.col("status") == 500) & (F.col("rows") < 5)
+    scraped = base.groupBy("host", "day", "at").agg(
+        F.max("rows").alias("top"), F.min("rows").alias("low"),
+        F.count_if(bad).alias("n503"), F.count_if(~bad).alias("n200"),
+        *[F.count_if(cents <= b * 10000).alias(f"le{i}") for i, b in enumerate(RULE_BOUNDS)],
+        F.count(F.lit(1)).alias(f"le{len(RULE_BOUNDS)}"))
+    running = Window.partitionBy("host", "day").orderBy("at")
+
+    def cell(metric: str, value, le=None, **labels: str):
+        pairs = [x for k, v in {"instance": F.col("host"), **{k: F.lit(v) for k, v in labels.items()}}.items() for x in (F.lit(k), v)]
+        return F.struct(F.lit(metric).alias("metric"), F.create_map(*pairs).alias("labels"),
+                        F.lit(le).cast("double").alias("le"), value.cast("double").alias("value"))
+
+    waited = F.floor(F.col("top") / 20)
+    cells = [
+        cell("node_cpu_seconds_total", F.sum(waited).over(running), mode="iowait"),
+        cell("node_cpu_seconds_total", F.sum(15 - F.floor(F.col("top") * 15 / 100)).over(running), mode="idle"),
+        cell("node_memory_SwapTotal_bytes", F.lit(100)),
+        cell("node_memory_SwapFree_bytes", F.lit(100) - (F.col("top") > 50).cast("int")),
+        cell("http_requests_total", F.sum("n200").over(running), status="200"),
+        cell("http_requests_total", F.sum("n503").over(running), status="503"),
+        cell("pg_stat_activity_count", F.col("top"), state="active"),
+        cell("pg_stat_activity_count", F.col("low"), state="idle"),
+        cell("redis_memory_used_bytes", F.col("top") * 5400000),
+        *[cell("http_request_duration_seconds_bucket", F.sum(f"le{i}").over(running), b)
+          for i, b in enumerate([*RULE_BOUNDS, float("inf")])],
+    ]
+    return scraped.select(F.col("at").alias("ts"), F.array(*cells).alias("cells")).select("ts", F.inline("cells"))
+
+
+def rule_evaluations(s, d) -> DataFrame:
+    return K.rule_series(written(rule_samples(s, d), "rule-samples"))
+
+
+RULE_COUNTERS = {"iowait": "top // 20", "idle": "15 - top * 15 // 100", "n503": "n503", "n200": "n200"} | {
+    f"le{i}": f"le{i}" for i in range(len(RULE_BOUNDS) + 1)}
+
+
+def _over(cell: str, seconds: int, more: str = "") -> str:
+    """Growth of a counter in every window, from its scrapes."""
+    return (f"SELECT {bucket_sql(5, 'scraped_at')} - INTERVAL (g * 5) SECOND AS ts, host, {more}sum({cell}) / {seconds} AS rate "
+            f"FROM rule_grown, (SELECT unnest(range({seconds // 5})) AS g) WHERE {cell} IS NOT NULL GROUP BY ALL")
+
+
+RULE_SERIES_SQL = f""",
+scrapes AS (SELECT 'h' || CAST(request_id % 2 AS VARCHAR) AS host, CAST(ts AS DATE) AS day,
+    to_timestamp(CAST(epoch_us(ts) // 1000000 // 900 * 15 + 15 AS DOUBLE))::TIMESTAMP AS scraped_at,
+    max(rows) AS top, min(rows) AS low, count(*) FILTER (WHERE status = 500 AND rows < 5) AS n503,
+    count(*) FILTER (WHERE NOT (status = 500 AND rows < 5)) AS n200, count(*) AS le{len(RULE_BOUNDS)},
+    {', '.join(f"count(*) FILTER (WHERE cents <= {b} * 10000) AS le{i}" for i, b in enumerate(RULE_BOUNDS))} FROM log GROUP BY ALL),
+rule_counts AS (SELECT host, day, scraped_at, {', '.join(f"CAST(sum({e}) OVER (PARTITION BY host, day ORDER BY scraped_at) AS DOUBLE) AS {n}" for n, e in RULE_COUNTERS.items())} FROM scrapes),
+rule_grown AS (SELECT host, scraped_at, {', '.join(f"CASE WHEN lag({n}) OVER w IS NULL THEN NULL WHEN {n} < lag({n}) OVER w THEN {n} ELSE {n} - lag({n}) OVER w END AS {n}" for n in RULE_COUNTERS)}
+  FROM rule_counts WINDOW w AS (PARTITION BY host ORDER BY scraped_at)),
+hist AS ({' UNION ALL '.join(_over(f"le{i}", 120, f"{b}::DOUBLE AS le, ") for i, b in enumerate([*RULE_BOUNDS, "'Infinity'"]))}),
+{quantile_sql(0.95, 'ts, host', 'rate')},
+served AS (SELECT b.ts, b.host, b.rate AS bad, g.rate AS good FROM ({_over('n503', 60)}) b JOIN ({_over('n200', 60)}) g USING (ts, host)),
+series AS (SELECT 'HighIOWait' AS rule, 'instance=' || host AS series, ts, rate AS value FROM ({_over('iowait', 120)})
+  UNION ALL SELECT 'CPUHighUsage', 'instance=' || host, ts, 1 - rate FROM ({_over('idle', 120)})
+  UNION ALL SELECT 'MemoryPressure', 'instance=' || host, scraped_at, CASE WHEN top > 50 THEN 1 ELSE 0 END FROM scrapes
+  UNION ALL SELECT 'HighLatency', 'instance=' || host, ts, quantile FROM quantiles WHERE quantile IS NOT NULL
+  UNION ALL SELECT 'HighErrorRate', 'instance=' || host, ts, bad / nullif(bad + good, 0) FROM served WHERE bad + good > 0
+  UNION ALL SELECT 'PoolExhaustion', '', scraped_at, CAST(sum(top + low) AS DOUBLE) FROM scrapes GROUP BY scraped_at
+  UNION ALL SELECT 'RedisMemoryPressure', 'instance=' || host, scraped_at, CAST(top * 5400000 AS DOUBLE) / {K.CACHE_BYTES} FROM scrapes)"""
+RULE_ALERTS_SQL = RULE_SERIES_SQL + f""",
+rules(rule, threshold, hold, severity, component) AS (VALUES {', '.join(f"('{n}', {t}::DOUBLE, {h}, '{v}', '{c}')" for n, t, h, v, c in K.RULES)}),
+judged AS (SELECT *, value > threshold AS is_on FROM series JOIN rules USING (rule)),
+runs AS (SELECT *, row_number() OVER (PARTITION BY rule, series ORDER BY ts) - row_number() OVER (PARTITION BY rule, series, is_on ORDER BY ts) AS g FROM judged),
+fired AS (SELECT rule, series, severity, component, min(ts) AS pending_since, min(ts) + to_seconds(hold) AS firing_since, max(ts) AS last_true, max(value) AS peak
+  FROM runs WHERE is_on GROUP BY rule, series, severity, component, hold, g HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= CAST(hold AS BIGINT) * 1000000)"""
+add("rule_evaluations", lambda s, d: plain(rule_evaluations(s, d)), f"{RULE_SERIES_SQL} SELECT rule, series, ts, CAST(value AS DOUBLE) AS value FROM series")
+add("rule_alerts", lambda s, d: plain(K.alerts(written(rule_evaluations(s, d), "evaluations"), K.rules_table(s))),
+    f"{RULE_ALERTS_SQL} SELECT * FROM fired")
 add("activity_islands", lambda s, d: plain(gap_islands(events(s, d), ["device_id"], ["ts", "id"], 43200)
         .groupBy("device_id", "island").agg(F.max("ts").alias("island_end"), F.count(F.lit(1)).alias("reading_count"))),
     """, marked AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 43200000000 THEN 0 ELSE 1 END AS opens FROM readings WINDOW w AS (PARTITION BY device_id ORDER BY ts, id)),

@@ -3,24 +3,45 @@
 ``lag`` and running values over one series put the whole series into one task. Here each
 series is windowed per time chunk, and only one summary row per chunk is ordered across
 chunks, so a series holding a third of all rows is spread over as many tasks as it has chunks.
+Chunks are cut by the clock and, within, at quantiles of the table's times, measured first: no
+chunk of any series holds much more than 1/``RANGES`` of all rows, also when they all fell into
+one day. Only rows of one instant stay together.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.joins import on_same
 
 DAY = 86400
+RANGES = 1024
 
 
 def chunk_of(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts) / seconds)
 
 
+def time_cuts(df: DataFrame, ts: str, ranges: int = RANGES) -> list[float]:
+    """At most ``ranges - 1`` instants, in microseconds, that part the rows about evenly."""
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = df.select(F.percentile_approx(F.unix_micros(ts), shares, 20 * ranges)).first()[0]
+    return sorted({float(c) for c in cuts or []})
+
+
 def _chunked(df: DataFrame, ts: str, chunk: int) -> DataFrame:
-    return df.withColumn("_chunk", chunk_of(F.col(ts), chunk))
+    """Add ``_chunk``, a number that grows with time; null where there is none."""
+    at = F.unix_micros(ts).cast("double")
+    splits = [float("-inf"), *time_cuts(df, ts), float("inf")]
+    by_clock = chunk_of(F.col(ts), chunk)
+    if len(splits) == 2:
+        return df.withColumn("_chunk", by_clock)
+    measured = Bucketizer(splits=splits, inputCol="_at", outputCol="_range", handleInvalid="keep")
+    parted = measured.transform(df.withColumn("_at", F.coalesce(at, F.lit(0.0))))
+    number = by_clock * RANGES + F.col("_range").cast("bigint")
+    return parted.withColumn("_chunk", number).drop("_at", "_range")
 
 
 def previous(

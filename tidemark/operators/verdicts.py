@@ -18,6 +18,18 @@ BANDS = (
     ("p95_ms", 800.0, 1200.0, False),
     ("error_share", 0.01, 0.05, False),
     ("hit_ratio", 0.8, 0.6, True),
+    ("concurrent_users", 50.0, 30.0, True),
+)
+# Fixed values: (segment, stat, bound) per query tier.
+TIER_TARGETS = (
+    ("pk_lookup", "p95_ms", 100.0),
+    ("pk_lookup", "p99_ms", 200.0),
+    ("device_filter", "p95_ms", 200.0),
+    ("device_filter", "p99_ms", 400.0),
+    ("time_range", "p95_ms", 400.0),
+    ("time_range", "p99_ms", 600.0),
+    ("stats_agg", "p95_ms", 500.0),
+    ("stats_agg", "p99_ms", 800.0),
 )
 # Fixed values: (stat, warning bound, critical bound, whether high values are good).
 LEVELS = (
@@ -34,6 +46,10 @@ def targets_table(spark: SparkSession, targets=PROJECT_TARGETS) -> DataFrame:
     return spark.createDataFrame(list(targets), "stat string, bound double")
 
 
+def tier_targets(spark: SparkSession, targets=TIER_TARGETS) -> DataFrame:
+    return spark.createDataFrame(list(targets), "segment string, stat string, bound double")
+
+
 def long_summary(summary: DataFrame, by: list[str], stats: list[str]) -> DataFrame:
     """One row per group and statistic."""
     cells = [F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in stats]
@@ -41,9 +57,13 @@ def long_summary(summary: DataFrame, by: list[str], stats: list[str]) -> DataFra
 
 
 def slo_verdict(summary: DataFrame, by: list[str], targets: DataFrame) -> DataFrame:
-    """Every statistic that has a target, with a strict verdict."""
+    """Every statistic that has a target, with a strict verdict.
+
+    Targets that name a column of ``by`` hold for its groups only.
+    """
     rows = long_summary(summary, by, [c for c in summary.columns if c not in by])
-    return rows.join(checked(targets), "stat").withColumn(
+    on = ["stat", *[k for k in by if k in targets.columns]]
+    return rows.join(checked(targets), on).withColumn(
         "verdict", F.when(F.col("value") < F.col("bound"), "pass").otherwise("fail")
     )
 

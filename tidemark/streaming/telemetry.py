@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.telemetry import LATENCY_BOUNDS, is_error
+from tidemark.operators.telemetry import LATENCY_BOUNDS, is_error, paned
 from tidemark.streaming.rollups import _start
 
 
@@ -15,21 +15,18 @@ def window_metrics(log: DataFrame, seconds: int = 300, slide: int = 60) -> DataF
 
     The same function serves a batch and a stream; a stream needs a watermark on ``ts``.
     """
-    bounds = [
-        F.count_if(F.col("duration_ms") <= F.lit(str(b * 1000)).cast("decimal(20,3)")).alias(f"le_{i}")
-        for i, b in enumerate(LATENCY_BOUNDS)
-    ]
-    window = F.window("ts", f"{seconds} seconds", f"{slide} seconds")
-    counted = log.groupBy(window.alias("w"), "endpoint").agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(is_error()).alias("errors"),
-        F.count_if(F.col("cache_status") == "HIT").alias("hits"),
-        F.count_if(F.col("cache_status") == "MISS").alias("misses"),
-        *bounds,
-    )
+    totals = {
+        "requests": F.count(F.lit(1)),
+        "errors": F.count_if(is_error()),
+        "hits": F.count_if(F.col("cache_status") == "HIT"),
+        "misses": F.count_if(F.col("cache_status") == "MISS"),
+    }
+    for i, b in enumerate(LATENCY_BOUNDS):
+        within = F.col("duration_ms") <= F.lit(str(b * 1000)).cast("decimal(20,3)")
+        totals[f"le_{i}"] = F.count_if(within)
+    counted = paned(log, ["endpoint"], seconds, slide, totals)
     return counted.select(
-        F.col("w.start").alias("window_start"),
-        *[c for c in counted.columns if c != "w"],
+        "*",
         (F.col("errors") / F.col("requests")).alias("error_ratio"),
         F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")).alias("hit_ratio"),
     )
