@@ -213,3 +213,25 @@ def test_lookup_of_a_repeated_id(spark):
     out = Q.lookup_ids(parsed, df)
     assert out.where("outcome = 'OK' and device_id is not null").count() == 40
     assert out.where(F.col("outcome") == "READING_NOT_FOUND").count() == 1
+
+
+def test_only_reached_hours_are_opened(spark):
+    """Of a device with 40 hours of readings, a question opens the hours that its limit can reach."""
+    readings = spark.range(4000).select(
+        F.lit("d").alias("device_id"),
+        F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("reading_type"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 36).alias("ts"),  # 100 an hour
+    )
+    at = lambda h: T0 + datetime.timedelta(hours=h)
+    questions = spark.createDataFrame(
+        [("d", "", None, at(20.5), 120), ("d", "x", at(3), at(8), 500), ("d", "x", None, at(1000), 1)],
+        "device_id string, series string, from_ts timestamp, to_ts timestamp, _most int",
+    )
+    hours = Q.reached_hours(questions, readings).collect()
+    base = 1704067200 // 3600
+    opened = {(r["series"], r["bucket"] - base) for r in hours if r["_open"]}
+    assert opened == {("", h) for h in (20, 19, 18)} | {("x", 39)} | {("x", h) for h in range(9)}
+    empty = {(r["series"], r["bucket"] - base): r["_in"] for r in hours if not r["_open"]}
+    assert empty[("x", 1000)] == 0 and ("y", 5) not in empty
+    offsets = {(r["series"], r["bucket"] - base): (r["_offset"], r["_total"]) for r in hours}
+    assert offsets[("", 20)] == (1900, 4000) and offsets[("x", 8)] == (1550, 2000)

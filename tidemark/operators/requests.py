@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import BROADCAST_ROWS, keep_matching
+from tidemark.functions.joins import BROADCAST_ROWS, checked, keep_matching
 from tidemark.functions.text import (
     DEVICE_PATTERN,
     TYPE_PATTERN,
@@ -94,8 +94,15 @@ def lookup_ids(parsed: DataFrame, readings: DataFrame) -> DataFrame:
 
 def _series(readings: DataFrame) -> DataFrame:
     """Each reading under its own type and, as ``series`` '', under its device alone."""
-    both = F.array(F.lit(""), F.col("reading_type"))
-    return readings.select(*READING_COLUMNS, F.explode(both).alias("series"))
+    return readings.select(*READING_COLUMNS, F.explode(_both()).alias("series"))
+
+
+def _both() -> Column:
+    return F.array_distinct(F.array(F.lit(""), F.col("reading_type")))
+
+
+def _bucket(ts: str, seconds: int) -> Column:
+    return F.floor(F.unix_seconds(ts) / seconds)
 
 
 def batch_latest(parsed: DataFrame, readings: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
@@ -103,8 +110,9 @@ def batch_latest(parsed: DataFrame, readings: DataFrame, bucket_seconds: int = 3
 
     Requests without ``to`` share one ranking of at most 500 readings per series. Requests with
     ``to`` are answered by position, so that many requests on one busy device never meet all
-    of its readings; see ``_bounded``. They read no reading later than the latest ``to``. The
-    parsed requests are written once, because several steps read them.
+    of its readings; see ``_bounded``. They count the readings of every hour, but take no more
+    of them than the hours that some request can reach. The parsed requests are written once,
+    because several steps read them.
     """
     valid = parsed.where((F.col("mode") == "device") & F.col("error_code").isNull())
     asked = written(
@@ -127,7 +135,7 @@ def batch_latest(parsed: DataFrame, readings: DataFrame, bucket_seconds: int = 3
         return newest
     ended = asked.where("to_ts is not null")
     before = readings.where(F.col("ts") <= F.timestamp_micros(F.lit(edge)))
-    bounded = _bounded(ended, keep_matching(_series(before), ended, keys), bucket_seconds)
+    bounded = _bounded(ended, before, bucket_seconds)
     return newest.unionByName(bounded)
 
 
@@ -142,54 +150,83 @@ def _newest(asked: DataFrame, series: DataFrame) -> DataFrame:
     )
 
 
-def _bounded(asked: DataFrame, series: DataFrame, bucket_seconds: int) -> DataFrame:
+def reached_hours(questions: DataFrame, readings: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """Time buckets of the asked series that hold a reading or a bound of a question.
+
+    ``questions(device_id, series, from_ts, to_ts, _most)``. ``_in`` readings lie in the bucket,
+    ``_offset`` in later ones and ``_total`` in all. ``_open`` says that a question may need the
+    bucket: going back from the bucket of its ``to``, fewer than ``_most`` readings were passed.
+    Readings are only counted, per device, type and bucket before any shuffle.
+    """
+    keys = ["device_id", "series"]
+    counts = (
+        keep_matching(readings, questions, ["device_id"])
+        .groupBy("device_id", "reading_type", _bucket("ts", bucket_seconds).alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("_in"))
+        .select("device_id", F.explode(_both()).alias("series"), "bucket", "_in")
+        .join(questions.select(*keys).distinct(), keys, "left_semi")
+    )
+    bounds = F.array(
+        F.struct(_bucket("to_ts", bucket_seconds).alias("bucket"), F.col("_most").alias("_most")),
+        F.struct(_bucket("from_ts", bucket_seconds).alias("bucket"), F.lit(None).cast("int").alias("_most")),
+    )
+    bounds = questions.select(*keys, F.inline(bounds)).where("bucket is not null")
+    hours = (
+        counts.unionByName(bounds, allowMissingColumns=True)
+        .groupBy(*keys, "bucket")
+        .agg(F.coalesce(F.sum("_in"), F.lit(0)).alias("_in"), F.max("_most").alias("_most"))
+    )
+    whole = Window.partitionBy(*keys)
+    back = whole.orderBy(F.desc("bucket"))
+    placed = hours.withColumns({
+        "_offset": F.coalesce(F.sum("_in").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_total": F.sum("_in").over(whole),
+    })
+    reach = F.max(F.col("_offset") + F.col("_in") + F.col("_most"))
+    reach = reach.over(back.rowsBetween(Window.unboundedPreceding, 0))
+    is_open = (F.col("_in") > 0) & F.coalesce(F.col("_offset") < reach, F.lit(False))
+    return placed.select(*keys, "bucket", "_in", "_offset", "_total", is_open.alias("_open"))
+
+
+def _bounded(asked: DataFrame, readings: DataFrame, bucket_seconds: int) -> DataFrame:
     """Positions of the wanted readings in their series, newest first.
 
     Bounds are placed between the readings as marks: a ``to`` mark before readings of the same
-    instant, a ``from`` mark after them. Counting readings within (series, time bucket) and
-    adding the totals of later buckets numbers readings and marks alike. A question then wants
-    the positions after its ``to`` mark, up to its limit and its ``from`` mark, and picks them
-    by equality, so the join emits exactly the result. Equal questions are answered once.
+    instant, a ``from`` mark after them. Readings and marks alike are numbered within their
+    (series, time bucket) behind the number of later readings, which ``reached_hours`` tells;
+    only open buckets are read, broadcast against the readings while they are few. A ``from``
+    mark in a closed bucket lies beyond its question's limit, wherever it is in the bucket. A
+    question then wants the positions after its ``to`` mark, up to its limit and its ``from``
+    mark, and picks them by equality, so the join emits exactly the result. Equal questions are
+    answered once.
     """
     keys = ["device_id", "series"]
     question = [*keys, "from_ts", "to_ts"]
     questions = asked.groupBy(*question).agg(F.max("limit").alias("_most"))
+    hours = written(reached_hours(questions, readings, bucket_seconds), "reached-hours")
+    place = [*keys, "bucket", "_offset", "_total"]
+    opened = checked(hours.where("_open").select(*place))
     bounds = F.array(
         F.struct(F.lit(0).alias("place"), F.col("to_ts").alias("ts")),
         F.struct(F.lit(2).alias("place"), F.col("from_ts").alias("ts")),
     )
     marks = (
-        questions.select("*", F.explode(bounds).alias("_at"))
-        .select(*question, "_most", "_at.place", "_at.ts")
+        questions.select("*", F.inline(bounds))
         .where("ts is not null")
+        .withColumn("bucket", _bucket("ts", bucket_seconds))
+        .join(hours.select(*place), [*keys, "bucket"])
     )
     line = (
-        series.withColumn("place", F.lit(1))
+        _series(readings)
+        .withColumn("bucket", _bucket("ts", bucket_seconds))
+        .join(opened, [*keys, "bucket"])
+        .withColumn("place", F.lit(1))
         .unionByName(marks, allowMissingColumns=True)
-        .withColumn("bucket", F.floor(F.unix_seconds("ts") / bucket_seconds))
         .withColumn("_one", (F.col("place") == 1).cast("bigint"))
     )
     local = Window.partitionBy(*keys, "bucket").orderBy(F.desc("ts"), "place", F.desc("id"))
-    whole = Window.partitionBy(*keys)
-    later = whole.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per series and bucket, read twice.
-    offsets = written(
-        line.groupBy(*keys, "bucket")
-        .agg(F.sum("_one").alias("_in"))
-        .select(
-            *keys,
-            "bucket",
-            F.coalesce(F.sum("_in").over(later), F.lit(0)).alias("_offset"),
-            F.sum("_in").over(whole).alias("_total"),
-        ),
-        "offsets",
-    )
-    placed = (
-        line.withColumn(
-            "_local", F.sum("_one").over(local.rowsBetween(Window.unboundedPreceding, 0))
-        )
-        .join(offsets, [*keys, "bucket"])
-        .withColumn("pos", F.col("_local") + F.col("_offset"))
+    placed = line.withColumn(
+        "pos", F.sum("_one").over(local.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_offset")
     )
     last = F.least(F.col("_after") + F.col("_most"), F.coalesce("_upto", "_total"))
     picks = (
