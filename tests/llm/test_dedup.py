@@ -179,6 +179,28 @@ def test_jaccard_over_many_units(spark, monkeypatch, bound):
     assert got == brute_components(rows)
 
 
+def test_classes_ask_only_units_that_share_a_token(spark, monkeypatch):
+    """Texts of one template that share rare phrases, but no link, do not ask every unit."""
+    monkeypatch.setattr(jaccard, "UNIT", 3)
+    sizes, write = [], jaccard.written
+
+    def counting(df, name):
+        out = write(df, name)
+        if name == "jaccard-routes":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counting)
+    phrase = lambda k: [f"p{k}-{i}" for i in range(28)]
+    common = [f"c{i}" for i in range(150)]
+    rows = [(k, " ".join(phrase(k) + common + phrase(k + 1))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=repr)
+    assert got == brute_components(rows)
+    assert len({c for _, _, c in got}) == len(rows)
+    assert len(sizes) == 2 and 0 < max(sizes) <= 2 * len(rows)
+
+
 def test_units_find_all_links():
     rng = np.random.default_rng(3)
     sets = []

@@ -281,28 +281,43 @@ def _across(held: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.Table.from_batches([S.record(links, LINK_DDL)])
 
 
-def _ask(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Queries against the other units of their block that hold sets of a fitting length.
+def _ask(units: DataFrame, asking: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Classes against the other units that can hold a link of theirs.
 
-    Queries go in groups of bounded size; each group meets a unit in a task of its own.
+    Linked sets share a token of their prefixes and have fitting lengths, so a class goes only
+    to units where a set of such a length has one of its prefix tokens in its own prefix. The
+    classes for a unit go in groups of bounded size; each group meets it in a task of its own.
     """
-    groups = queries.groupBy("block").agg(_cuts().alias("k"))
-    there = units.groupBy("block", "unit").agg(F.first("bin").alias("to_bin"))
-    routes = queries.join(groups, "block").join(
-        there.withColumnRenamed("unit", "to"), "block"
-    ).where((F.col("to") != F.col("unit")) & (F.abs(F.col("to_bin") - F.col("bin")) <= 1))
-    asked = routes.select(
-        F.col("to").alias("q_unit"),
-        F.expr("pmod(xxhash64(class), k)").alias("q_part"),
+    there = prefixes.select(
+        "token", F.col("unit").alias("to"), F.col("bin").alias("to_bin")
+    ).distinct()
+    routes = written(
+        prefixes.join(asking.select("class"), "class", "left_semi")
+        .join(there, "token")
+        .where((F.col("to") != F.col("unit")) & (F.abs(F.col("to_bin") - F.col("bin")) <= 1))
+        .select("class", "to")
+        .distinct(),
+        "jaccard-routes",
+    )
+    groups = routes.join(units.select("class", "n_shingles"), "class").groupBy("to").agg(_cuts().alias("k"))
+    dealt = routes.join(groups, "to").select(
+        "class", F.col("to").alias("q_unit"), F.expr("pmod(xxhash64(class), k)").alias("q_part")
+    )
+    asked = dealt.join(units.select("class", "tokens", "root"), "class").select(
+        "q_unit",
+        "q_part",
         F.col("class").alias("q_class"),
         F.col("tokens").alias("q_tokens"),
         F.col("root").alias("q_root"),
     )
-    targets = asked.select(F.col("q_unit").alias("unit"), F.col("q_part").alias("part")).distinct()
+    targets = dealt.select(F.col("q_unit").alias("unit"), F.col("q_part").alias("part")).distinct()
     held = units.join(targets, "unit").select("unit", "part", "class", "tokens", "root")
-    return held.groupBy("unit", "part").cogroup(asked.groupBy("q_unit", "q_part")).applyInArrow(
+    links = held.groupBy("unit", "part").cogroup(asked.groupBy("q_unit", "q_part")).applyInArrow(
         S.settled(_across), LINK_DDL
     )
+    links = written(links, "jaccard-found")
+    discard(routes)
+    return links
 
 
 def _rooted(units: DataFrame, links: DataFrame) -> DataFrame:
@@ -343,18 +358,19 @@ def _class_links(sets: DataFrame) -> DataFrame:
     if not spread.take(1):
         discard(able, units)
         return links
+    dealt = spread.select("class", "unit", "bin")
+    prefixes = written(entries.join(dealt, "class"), "jaccard-prefixes")
     rooted = written(_rooted(spread, links), "jaccard-rooted")
     firsts = rooted.groupBy("unit", "root").agg(F.min("class").alias("class"))
-    queries = rooted.join(firsts.select("class"), "class", "left_semi")
-    links = written(links.unionByName(_ask(rooted, queries)), "jaccard-links")
+    links = links.unionByName(_ask(rooted, firsts, prefixes))
+    discard(rooted)
     rooted = written(_rooted(spread, links), "jaccard-rooted")
     sizes = rooted.groupBy("block", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("block").agg(F.max(F.struct("n", "root")).alias("x"))
-    queries = rooted.join(
-        largest.select("block", F.col("x.root").alias("main")), "block"
-    ).where(F.col("root") != F.col("main")).drop("main")
-    links = written(links.unionByName(_ask(rooted, queries)), "jaccard-links")
-    discard(able, units, rooted)
+    main = largest.select(F.col("x.root").alias("root"))
+    others = rooted.select("class", "root").join(main, "root", "left_anti")
+    links = links.unionByName(_ask(rooted, others, prefixes))
+    discard(able, units, rooted, prefixes)
     return links
 
 
