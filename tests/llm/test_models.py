@@ -427,3 +427,22 @@ def test_varying_slots_come_before_article_tags(spark):
     got = {r["page_id"]: r["text"].split("\n") for r in extraction.extract(df).collect()}
     for k, texts in want.items():
         assert set(texts) <= set(got[k]) and ("Site name" in got[k]) == (k == 200)
+
+
+def test_rare_nodes_and_texts_at_the_share_are_judged_exactly(spark):
+    """A section of few pages among names of their own, and texts just below and at the share."""
+    rows, letters = [], [chr(97 + i) for i in range(26)]
+    for k in range(300):
+        own = f"Article {k} {k * 7919}"
+        page = "<table><tr><td>Sports desk</td></tr></table>" if k in (7, 100, 160, 220, 280) else ""
+        page += f"<p>{own}</p>" + ("<h4>Below</h4>" if k % 100 < 79 else f"<h4>Below {k}</h4>")
+        page += "<h5>At</h5>" if k % 100 < 80 else f"<h5>At {k}</h5>"
+        name = letters[k % 26] + letters[k // 26]
+        page += "".join(f"<div class='x{name}{i}'>{k}</div>" for i in "abc")
+        rows.append((k, f"http://wide.example/{k}", f"<body>{page}</body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extraction.extract(df.coalesce(1)).collect()}
+    for k in range(300):
+        text = [f"Article {k} {k * 7919}", "Below" if k % 100 < 79 else f"Below {k}"]
+        text += [] if k % 100 < 80 else [f"At {k}"]
+        assert got[k] == "\n".join(text + [str(k)] * 3)

@@ -3,8 +3,9 @@
 Pages become trees of blocks; runs of like siblings are one repeated node. A host's template is
 the fold of its pages: simple tree matching aligns each page with the template so far, nodes
 that align are counted, and a node counts in how many pages each block text of it was seen, and
-with how many distinct articles. Templates of parts of a host fold in the same way. A block
-whose text is on ``SHARE`` of the pages that have its node, over distinct articles, is the
+with how many distinct articles. Templates of parts of a host fold in the same way, without
+texts: these go aside as rows, one per part, node and text, and Spark adds them up, whatever
+their number. A block whose text is on ``SHARE`` of the pages that have its node, over distinct articles, is the
 template; the other slots are content, as far as their marks do not name them menus, adverts,
 forms or the like. Only on pages whose host has no usable template, <article> or <main> are
 looked for.
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import checked
 from tidemark.llm import shared as S
 from tidemark.session import written
 
@@ -64,11 +66,12 @@ TITLES = frozenset("h1 h2 h3".split())
 NEVER_NAMED = frozenset("html body article main".split())
 ENOUGH = 5
 SHARE = 0.8
-# Beyond so many block texts, or children, a node forgets those that are rare on its pages.
+# Beyond so many block texts, a node sets those aside that are on at most ``LOST`` of its pages.
 COUNTED = 512
-CHILDREN = 256
-# Shares of a node's pages that a forgotten text, or child, can have been on at the most.
 LOST = 0.05
+# Beyond so many children, only those are aligned whose sign the other node's children have. A
+# fold without rows to set aside to also drops those that are on at most ``RARE`` of its pages.
+CHILDREN = 256
 RARE = 0.02
 
 
@@ -236,6 +239,16 @@ def align(a: list[dict], b: list[dict], seen: dict | None = None):
     if not a or not b:
         return 0, []
     seen = {} if seen is None else seen
+    if max(len(a), len(b)) > CHILDREN:
+        signs = {x["s"] for x in a} & {y["s"] for y in b}
+        at, bt = ([k for k, x in enumerate(side) if x["s"] in signs] for side in (a, b))
+        if len(at) < len(a) or len(bt) < len(b):
+            most, pairs = _align([a[k] for k in at], [b[k] for k in bt], seen)
+            return most, [(at[i], bt[j]) for i, j in pairs]
+    return _align(a, b, seen)
+
+
+def _align(a: list[dict], b: list[dict], seen: dict):
     score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     gain = {}
     for i, x in enumerate(a):
@@ -269,28 +282,56 @@ def tally(a: dict, b: dict) -> dict:
     return a
 
 
-def forget(node: dict) -> None:
-    """Drops rare texts and children of a node that has many, and notes how rare they were.
+class Aside:
+    """Counts of texts that have left their nodes, as rows, and the ids of these nodes."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.nodes = 0
+
+    def number(self, node: dict) -> int:
+        if "i" not in node:
+            node["i"] = S.new_id(self.nodes)
+            self.nodes += 1
+        return node["i"]
+
+    def take(self, node: dict, texts: dict) -> None:
+        at = self.number(node)
+        self.rows += [(None, None, None, at, text, v[0], v[1:]) for text, v in texts.items()]
+
+    def strip(self, node: dict) -> None:
+        """Takes all texts of a template."""
+        self.take(node, node.pop("h"))
+        for kid in node["k"]:
+            self.strip(kid)
 
-    ``e`` bounds on how many pages a text that is not listed can have been: what is dropped had
-    at most so many beyond the bound before, and the bounds of parts add up as their pages do.
-    It stays within ``LOST`` of the node's pages, so a text on ``SHARE`` of them is never lost,
-    however many there are, and the listed ones are in proportion to the texts of one page.
-    Children are bounded in the same way by ``q`` and ``RARE``.
+
+def forget(node: dict, aside: Aside | None = None) -> None:
+    """Rare texts of a node that has many go aside, where nothing is lost; children all stay.
+
+    A fold without ``aside`` is an estimate in bounded memory, which no query takes: it drops
+    rare texts and children. ``e`` then bounds on how many pages a text that is not listed can
+    have been, at most so many beyond the bound before, and the bounds of parts add up as their
+    pages do, within ``LOST`` of the node's pages; ``q`` and ``RARE`` are the same for children.
     """
     if len(node["h"]) > COUNTED and (most := int(LOST * node["n"]) - node.get("e", 0)) > 0:
-        rare = [v[0] for v in node["h"].values() if v[0] <= most]
+        rare = {text: v for text, v in node["h"].items() if v[0] <= most}
         if rare:
             node["h"] = {text: v for text, v in node["h"].items() if v[0] > most}
-            node["e"] = node.get("e", 0) + max(rare)
-    if len(node["k"]) > CHILDREN and (most := int(RARE * node["n"]) - node.get("q", 0)) > 0:
+            if aside is None:
+                node["e"] = node.get("e", 0) + max(v[0] for v in rare.values())
+            else:
+                aside.take(node, rare)
+    if aside is not None or len(node["k"]) <= CHILDREN:
+        return
+    if (most := int(RARE * node["n"]) - node.get("q", 0)) > 0:
         rare = [k["n"] for k in node["k"] if k["n"] <= most]
         if rare:
             node["k"] = [k for k in node["k"] if k["n"] > most]
             node["q"] = node.get("q", 0) + max(rare)
 
 
-def fold(a: dict, b: dict, seen: dict | None = None) -> dict:
+def fold(a: dict, b: dict, seen: dict | None = None, aside: Aside | None = None) -> dict:
     """The template of the pages of both: aligned nodes add up, others keep their place.
 
     The counts of ``a`` are used up.
@@ -302,13 +343,33 @@ def fold(a: dict, b: dict, seen: dict | None = None) -> dict:
     for x, y in seen[id(a), id(b)][1] + [(len(a["k"]), len(b["k"]))]:
         kids += a["k"][i:x] + b["k"][j:y]
         if x < len(a["k"]):
-            kids.append(fold(a["k"][x], b["k"][y], seen))
+            kids.append(fold(a["k"][x], b["k"][y], seen, aside))
         i, j = x + 1, y + 1
     out = {"s": a["s"], "n": a["n"] + b["n"], "h": tally(a["h"], b["h"]), "k": kids}
     for bound in ("e", "q"):
         if bound in a or bound in b:
             out[bound] = a.get(bound, 0) + b.get(bound, 0)
-    forget(out)
+    if "i" in a:
+        out["i"] = a["i"]
+    forget(out, aside)
+    if "d" in a:
+        out["d"] = list(dict.fromkeys(a["d"] + b["d"]))[:ENOUGH]
+    return out
+
+
+def join_parts(a: dict, b: dict, same: list, seen: dict | None = None) -> dict:
+    """``fold`` of stripped templates; ``same`` gets the ids of ``b`` with those they become."""
+    if seen is None:
+        seen = {}
+        seen[id(a), id(b)] = align(a["k"], b["k"], seen)
+    kids, i, j = [], 0, 0
+    for x, y in seen[id(a), id(b)][1] + [(len(a["k"]), len(b["k"]))]:
+        kids += a["k"][i:x] + b["k"][j:y]
+        if x < len(a["k"]):
+            kids.append(join_parts(a["k"][x], b["k"][y], same, seen))
+        i, j = x + 1, y + 1
+    same.append((b["i"], a["i"]))
+    out = {"s": a["s"], "n": a["n"] + b["n"], "k": kids, "i": a["i"]}
     if "d" in a:
         out["d"] = list(dict.fromkeys(a["d"] + b["d"]))[:ENOUGH]
     return out
@@ -489,6 +550,8 @@ def _collect(
 
 
 TEMPLATE_DDL = "host string, part long, template string"
+PART_DDL = TEMPLATE_DDL + ", node long, text string, pages long, articles array<long>"
+JOINED_DDL = TEMPLATE_DDL + ", was long, node long, n long"
 
 
 # Characters of pages whose templates a task holds.
@@ -497,48 +560,82 @@ HELD = 32 << 20
 
 def _induce(batches):
     found: dict[str, dict] = {}
-    size = 0
+    size, aside = 0, Aside()
     for batch in batches:
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             host, own = host_of(url), page_template(read_page(html or ""))
-            found[host] = fold(found[host], own) if host in found else own
+            found[host] = fold(found[host], own, None, aside) if host in found else own
             size += len(html or "")
         if size > HELD:
-            yield from _told(found)
+            yield from _told(found, aside)
             found, size = {}, 0
-    yield from _told(found)
+    yield from _told(found, aside)
 
 
-def _told(found: dict):
+def _told(found: dict, aside: Aside):
     part = S.new_id(0) >> 32
     rows, size = [], 0
     for host, t in found.items():
-        rows.append((host, part, json.dumps(t, separators=(",", ":"))))
-        size += len(rows[-1][2])
+        aside.strip(t)
+        told = json.dumps(t, separators=(",", ":"))
+        rows.append((host, part, told, None, None, None, None))
+        size += len(told) + 100 * len(aside.rows)
+        rows += aside.rows
+        aside.rows = []
         if size > 4 << 20:
-            yield S.record(rows, TEMPLATE_DDL)
+            yield S.record(rows, PART_DDL)
             rows, size = [], 0
     if rows:
-        yield S.record(rows, TEMPLATE_DDL)
+        yield S.record(rows, PART_DDL)
 
 
-def _folded(table: pa.Table, last: bool) -> pa.Table:
-    """Folds two and two, so that equal parts meet early."""
+def _joined(table: pa.Table, last: bool) -> pa.Table:
+    """Folds two and two, so that equal parts meet early; tells which nodes became which.
+
+    The last step also tells on how many pages each node is.
+    """
     todo = [json.loads(t) for t in table.column("template").to_pylist()]
+    same: list = []
     while len(todo) > 1:
-        todo = [fold(*todo[k : k + 2]) if k + 1 < len(todo) else todo[k]
+        todo = [join_parts(*todo[k : k + 2], same) if k + 1 < len(todo) else todo[k]
                 for k in range(0, len(todo), 2)]
+    became: dict = {}
+    for was, now in reversed(same):  # later steps first, so that every id leads to the last
+        became[was] = became.get(now, now)
     host, part = table.column("host")[0].as_py(), table.column("part")[0].as_py()
-    told = json.dumps(closed(todo[0]) if last else todo[0], separators=(",", ":"))
-    return pa.Table.from_batches([S.record([(host, part, told)], TEMPLATE_DDL)])
+    rows = [(host, part, json.dumps(todo[0], separators=(",", ":")), None, None, None)]
+    rows += [(host, part, None, was, now, None) for was, now in became.items()]
+    nodes = [todo[0]] if last else []
+    while nodes:
+        node = nodes.pop()
+        rows.append((host, part, None, None, node["i"], node["n"]))
+        nodes += node["k"]
+    return pa.Table.from_batches([S.record(rows, JOINED_DDL)])
+
+
+def _join_some(table: pa.Table) -> pa.Table:
+    return _joined(table, last=False)
 
 
-def _fold_all(table: pa.Table) -> pa.Table:
-    return _folded(table, last=False)
+def _join_all(table: pa.Table) -> pa.Table:
+    return _joined(table, last=True)
 
 
-def _close_all(table: pa.Table) -> pa.Table:
-    return _folded(table, last=True)
+def _close(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A host's template with the texts that are constant, one list a node."""
+    rows = []
+    for host, told in zip(left.column("host").to_pylist(), left.column("template").to_pylist()):
+        texts = dict(zip(right.column("node").to_pylist(), right.column("texts").to_pylist()))
+        template = json.loads(told)
+        todo = [template]
+        while todo:
+            node = todo.pop()
+            node["h"] = dict.fromkeys(texts.get(node.pop("i"), ()), 1)
+            todo += node["k"]
+        if len(template["d"]) < ENOUGH:
+            template |= {"h": {}, "k": []}  # too few articles to tell
+        rows.append((host, 0, json.dumps(template, separators=(",", ":"))))
+    return pa.Table.from_batches([S.record(rows, TEMPLATE_DDL)])
 
 
 SMALL = 32 << 20
@@ -560,12 +657,36 @@ def _extract(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One template a host: folded in each task, then in spread groups, then over the host."""
+    """One template a host: folded in each task, then in spread groups, then over the host.
+
+    A node's texts are counted beside, under the id that the node has in the end.
+    """
     S.attach(pages.sparkSession)
     parts = pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
-    parts = parts.mapInArrow(_induce, TEMPLATE_DDL).withColumn("part", F.col("part") % 64)
-    spread = parts.groupBy("host", "part").applyInArrow(_fold_all, TEMPLATE_DDL)
-    return spread.groupBy("host").applyInArrow(_close_all, TEMPLATE_DDL).drop("part")
+    parts = written(parts.mapInArrow(_induce, PART_DDL), "template-parts")
+    held = parts.where("template is not null").select("host", F.col("part") % 64, "template")
+    held = held.toDF("host", "part", "template")
+    some = written(held.groupBy("host", "part").applyInArrow(_join_some, JOINED_DDL), "templates-some")
+    held = some.where("template is not null").select("host", "part", "template")
+    whole = written(held.groupBy("host").applyInArrow(_join_all, JOINED_DDL), "templates-whole")
+
+    texts = parts.where("text is not null").select("node", "text", "pages", "articles")
+    for step in (some, whole):
+        moved = step.where("was is not null").select(F.col("was").alias("node"), F.col("node").alias("_now"))
+        texts = texts.join(checked(moved), "node", "left").select(
+            F.coalesce("_now", "node").alias("node"), "text", "pages", "articles"
+        )
+    counted = texts.groupBy("node", "text").agg(
+        F.sum("pages").alias("pages"), F.flatten(F.collect_list("articles")).alias("articles")
+    )
+    nodes = whole.where("n is not null").select("host", "node", "n")
+    often = (F.col("pages") >= ENOUGH) & (F.col("pages") >= F.lit(SHARE) * F.col("n"))
+    enough = F.size(F.array_distinct("articles")) >= ENOUGH
+    constant = counted.where(F.col("pages") >= ENOUGH).join(checked(nodes), "node")
+    constant = constant.where(often & enough).groupBy("host", "node").agg(F.collect_list("text").alias("texts"))
+    told = whole.where("template is not null").select("host", "template")
+    closing = told.groupBy("host").cogroup(constant.groupBy("host"))
+    return closing.applyInArrow(_close, TEMPLATE_DDL).drop("part")
 
 
 def extract(pages: DataFrame) -> DataFrame:
