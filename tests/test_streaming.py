@@ -146,3 +146,47 @@ def test_alerts_by_event_time(spark, folder):
     Z.write_stream(Z.ordered_alert_stream(stream, rules, "1 hour"), out, folder + "/c").awaitTermination()
     got = spark.read.parquet(out).collect()
     assert sorted((r["series"], r["pending_since"], r["firing_since"]) for r in got) == want
+
+
+def test_a_busy_key_is_answered_in_pieces_from_plain_arrays(monkeypatch):
+    import pandas as pd
+
+    from tidemark.streaming import state
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, _):
+            pass
+
+    def never(*_, **__):
+        raise AssertionError("the rows of a key are not gathered in one frame")
+
+    monkeypatch.setattr(state.pd, "concat", never)
+    monkeypatch.setattr(state, "PIECE", 100)
+    rows = [{"t": (k * 7919 % 1000) * 10**6, "request_id": k, "fills": None if k % 7 == 0 else k % 3 > 0}
+            for k in range(1000)]
+    one = state.ReuseProcessor(5)
+    one.init(Handle())
+    pieces = [pd.DataFrame(rows[k : k + 30]) for k in range(0, 1000, 30)]
+    got = list(one.handleInputRows(("a",), iter(pieces), None))
+    until, want = -1, {}
+    for r in sorted(rows, key=lambda r: (r["t"], r["request_id"])):
+        want[r["request_id"]] = "HIT" if r["t"] < until else "MISS"
+        if r["fills"] and r["t"] >= until:
+            until = r["t"] + 5 * 10**6
+    assert max(map(len, got)) <= 100
+    assert {i: s for f in got for i, s in zip(f["request_id"], f["cache_status"])} == want

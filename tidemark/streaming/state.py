@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from tidemark.streaming.rollups import _start
 ship(__name__)
 
 MICROS = 1_000_000
+#: Rows of one key that are handed back at once.
+PIECE = 20_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,20 +37,26 @@ class ReuseProcessor(StatefulProcessor):
         self.until = handle.getValueState("until", "until bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "request_id"])
-        until = self.until.get()[0] if self.until.exists() else None
-        before, statuses = until, []
-        for t, fills in zip(batch["t"], batch["fills"]):
-            hit = until is not None and t < until
-            statuses.append("HIT" if hit else "MISS")
-            if fills and not hit:
-                until = int(t) + self.ttl
+        # Three arrays of numbers are all that is held of a key: a busy one has millions of rows.
+        times, ids, fills = [], [], []
+        for piece in rows:
+            times.append(piece["t"].to_numpy(np.int64))
+            ids.append(piece["request_id"].to_numpy(np.int64))
+            fills.append((piece["fills"] == True).to_numpy(bool))  # noqa: E712  null fills nothing
+        times, ids, fills = np.concatenate(times), np.concatenate(ids), np.concatenate(fills)
+        order = np.lexsort((ids, times))
+        until = before = self.until.get()[0] if self.until.exists() else None
+        for start in range(0, len(order), PIECE):
+            at, statuses = order[start : start + PIECE], []
+            for t, fill in zip(times[at].tolist(), fills[at].tolist()):
+                hit = until is not None and t < until
+                statuses.append("HIT" if hit else "MISS")
+                if fill and not hit:
+                    until = t + self.ttl
+            yield pd.DataFrame({"request_id": ids[at], "key": key[0], "cache_status": statuses})
         if until != before:
             self.until.update((until,))
             self.handle.registerTimer(until // 1000 + 1)
-        yield pd.DataFrame(
-            {"request_id": batch["request_id"], "key": key[0], "cache_status": statuses}
-        )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.until.exists() and self.until.get()[0] // 1000 < expiredTimerInfo.getExpiryTimeInMs():
