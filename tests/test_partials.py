@@ -144,3 +144,16 @@ def test_empty_merges(spark, folder, held):
     store.merge(held)
     store.merge(held.limit(0))
     assert store.hourly().count() == R.hourly_rollup(held).count()
+
+
+def test_days_are_dealt_over_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    from tidemark.plans import partials
+
+    monkeypatch.setattr(partials, "TASK_ROWS", 100)
+    rows = spark.range(2500).selectExpr(
+        "concat('d', id % 50) AS device_id", "timestamp_seconds(id * 3600) AS ts", "'t' AS reading_type",
+        "CAST(id AS DECIMAL(15,2)) AS value",
+    )
+    counted = partials.value_partials(rows)
+    plan = partials._daily_of_small(counted, 15, 2)._jdf.queryExecution().toString()
+    assert ", 26)" in plan and "REPARTITION_BY_NUM" in plan

@@ -38,6 +38,8 @@ from tidemark.operators.rollups import (
 from tidemark.session import written
 from tidemark.sources.snapshots import Snapshots
 
+#: Rows of value counts that one task orders.
+TASK_ROWS = 250_000
 #: log2 of a sketch's registers: its standard error is 1.04 / sqrt(2^SKETCH).
 SKETCH = 12
 
@@ -76,9 +78,11 @@ MERGED = {
 }
 
 
-def merge(partials: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+def merge(partials: DataFrame, keys: list[str], by: list | None = None) -> DataFrame:
     """Partials of the same keys, or of a coarser key, as one; dealt by ``by`` if given.
 
+    A number before the columns in ``by`` is that of the tasks.
+
     Rows dealt by a part of the keys need no second exchange for whatever groups by that part.
     """
     kinds = {f.name: f.dataType for f in partials.schema}
@@ -154,7 +158,9 @@ def daily_of(counted: DataFrame, precision: int, scale: int, large_rows: int = S
 
 
 def _daily_of_small(counted: DataFrame, precision: int, scale: int) -> DataFrame:
-    merged = merge(counted, [*DAILY_KEY, "v"], by=DAILY_KEY)
+    """Dealt over as many tasks as the rows need, so that a task's memory does not grow with them."""
+    tasks = counted.count() // TASK_ROWS + 1
+    merged = merge(counted, [*DAILY_KEY, "v"], by=[tasks, *DAILY_KEY])
     placed = ranks_of_counts(merged, DAILY_KEY, F.col("v"), F.col("rows"), list(PERCENTS))
     sums = placed.groupBy(*DAILY_KEY).agg(
         *_sums_of_values(), *[F.max(c).alias(c) for c in rank_columns(len(PERCENTS))]
