@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import paths
-from tidemark.sources.snapshots import Conflict, Snapshots, curve_place
+from tidemark.sources.snapshots import Conflict, Snapshots, along_curve, curve_place, cuts_of
 
 
 def readings(spark, first, n):
@@ -157,3 +157,25 @@ def test_refresh_by_date(spark, sf, folder):
     M.refresh_recent_snapshot(table, df.where(~gone), "hourly", AS_OF, 7)
     want = R.hourly_rollup(df.where(~gone))
     assert M.rollup_diff(want, table.read().drop("bucket_date"), "hourly").count() == 0
+
+
+def test_a_large_part_is_written_side_by_side(spark, folder):
+    table = Snapshots(spark, f"{folder}/one-part", "month", ["id"])
+    rows = spark.range(600_000).select("id", F.xxhash64("id").alias("v"), F.lit("2024-01").alias("month"))
+    table.append(rows)
+    files = table.manifest().collect()
+    assert len(files) >= 3 and sum(f["rows"] for f in files) == 600_000
+    assert {f["part"] for f in files} == {"2024-01"} and min(f["low"]["id"] for f in files) == 0
+
+
+def test_places_by_halving_equal_counted_cuts(spark):
+    df = spark.range(900).select(
+        "id", F.format_string("d%04d", F.col("id") * 7 % 900).alias("d"),
+        F.when(F.col("id") % 10 > 0, F.col("id") % 5).alias("few"),
+    )
+    columns = ["id", "d", "few"]
+    cuts = cuts_of(df, columns, 4)
+    assert len(cuts["id"]) == len(cuts["d"]) == 15 and cuts["few"] == [0, 1, 2, 3, 4]
+    for r in along_curve(df, columns, 4).collect():
+        at = [0 if r[c] is None else sum(cut <= r[c] for cut in cuts[c]) for c in columns]
+        assert r["_place"] == sum((at[k] >> b & 1) << (3 * b + k) for b in range(4) for k in range(3))

@@ -24,6 +24,8 @@ from tidemark.sources import paths
 CURVE_BITS = 6
 #: Rows that the cuts of a column are taken from.
 CURVE_SAMPLE = 20_000
+#: Most tasks, and files, that one commit deals a part over.
+DEALT = 16
 #: Wanted keys that files are looked up for one by one.
 PRUNE_KEYS = 1_000
 
@@ -42,31 +44,37 @@ def curve_place(buckets: list[Column], bits: int = CURVE_BITS) -> Column:
     return place
 
 
-def cuts_of(df: DataFrame, column: str, bits: int = CURVE_BITS) -> list:
-    """At most 2^bits - 1 values that cut the column's rows evenly, from a bounded sample."""
-    sample = df.select(F.col(column).alias("v")).where(F.col(column).isNotNull())
-    rows = sample.select("v", F.rand(7).alias("r")).orderBy("r").limit(CURVE_SAMPLE)
+def cuts_of(df: DataFrame, columns: list[str], bits: int = CURVE_BITS) -> dict[str, list]:
+    """At most 2^bits - 1 values per column that cut its rows evenly, from one bounded sample."""
+    sample = df.select(*columns, F.rand(7).alias("_r")).orderBy("_r").limit(CURVE_SAMPLE)
+    held = sample.agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in columns])
     n = 1 << bits
-    tiles = rows.selectExpr("v", f"ntile({n}) OVER (ORDER BY v) AS tile")
-    firsts = tiles.groupBy("tile").agg(F.min("v").alias("v")).where("tile > 1")
-    return sorted({r["v"] for r in firsts.collect()})
 
+    def firsts(c: str) -> Column:
+        at = lambda k: F.floor(k * F.size(c) / n).cast("int")
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.get(c, at(k))))
 
-def _cuts_below(ordered: Column, value: Column) -> Column:
-    return F.size(F.filter(ordered, lambda cut: cut <= value))
+    row = held.select(*[firsts(c).alias(c) for c in columns]).first()
+    return {c: [v for v in row[c] if v is not None] for c in columns}
 
 
-def along_curve(df: DataFrame, columns: list[str], bits: int = CURVE_BITS) -> Column:
-    """A row's place on a space-filling curve over the columns, each cut into 2^bits ranges."""
+def along_curve(df: DataFrame, columns: list[str], bits: int = CURVE_BITS) -> DataFrame:
+    """Rows with their ``_place`` on a space-filling curve over the columns, each cut into 2^bits ranges.
+
+    The cuts at or below a value are counted by halving: a step of each column is a projection.
+    """
     buckets = []
-    for c in columns:
-        cuts = cuts_of(df, c, bits)
+    for k, (c, cuts) in enumerate(cuts_of(df, columns, bits).items()):
         if not cuts:
             continue
-        kind = df.schema[c].dataType
-        ordered = F.array(*[F.lit(v).cast(kind) for v in cuts])
-        buckets.append(F.when(F.col(c).isNull(), 0).otherwise(_cuts_below(ordered, F.col(c))))
-    return curve_place(buckets, bits)
+        ordered = F.array(*[F.lit(v).cast(df.schema[c].dataType) for v in cuts])
+        bucket = f"_bucket{k}"
+        df = df.withColumn(bucket, F.lit(0))
+        for step in [1 << b for b in reversed(range(bits))]:
+            above = F.get(ordered, F.col(bucket) + (step - 1)) <= F.col(c)
+            df = df.withColumn(bucket, F.col(bucket) + F.when(above, step).otherwise(0))
+        buckets.append(bucket)
+    return df.withColumn("_place", curve_place([F.col(b) for b in buckets], bits)).drop(*buckets)
 
 
 @dataclass
@@ -75,7 +83,8 @@ class Snapshots:
 
     ``part`` names the column that files are divided by, ``ranges`` those whose extremes the
     manifest holds, ``curve`` those that rows are clustered along. Without a curve each part is
-    gathered in few files, a large one in several, and sorted by ``ranges``. ``slices`` is the
+    gathered in few files, a large one in up to ``DEALT`` a commit that are written side by side,
+    and sorted by ``ranges``. ``slices`` is the
     number of ranges that rows of one commit are dealt over, if Spark is not to choose it.
     """
 
@@ -167,12 +176,13 @@ class Snapshots:
         """Writes rows as new files and returns their part of a manifest."""
         commit = uuid.uuid4().hex
         if self.curve:
-            dealt = df.select("*", along_curve(df, self.curve).alias("_place"))
+            dealt = along_curve(df, self.curve)
             slices = [self.slices] if self.slices else []
             dealt = dealt.repartitionByRange(*slices, self.part, "_place", *self.ranges)
             dealt = dealt.sortWithinPartitions(self.part, "_place", *self.ranges).drop("_place")
         else:
-            dealt = df.hint("rebalance", self.part).sortWithinPartitions(self.part, *self.ranges)
+            share = F.pmod(F.xxhash64(*self.ranges[:1]), F.lit(DEALT))
+            dealt = df.repartition(self.part, share).sortWithinPartitions(self.part, *self.ranges)
         folder = f"{self.path}/data/commit={commit}"
         dealt.write.partitionBy(self.part).parquet(folder)
         if not paths.folders(self.spark, folder):
@@ -183,12 +193,19 @@ class Snapshots:
             F.struct(*[f(c).alias(c) for c in self.ranges]).alias(side)
             for side, f in (("low", F.min), ("high", F.max))
         ]
-        return held.groupBy(
-            F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file"),
-            F.col(self.part).alias("part"),
-            F.col("_metadata.file_size").alias("bytes"),
-        ).agg(F.count(F.lit(1)).alias("rows"), *ends).select(
-            "file", "part", "rows", "bytes", "low", "high"
+        # The set of a file's one part lets Spark hash the files; extremes of texts alone would
+        # have it sort all rows by file.
+        files = held.groupBy("_metadata.file_path").agg(
+            F.collect_set(self.part).alias("parts"),
+            F.max("_metadata.file_size").alias("bytes"),
+            F.max(name).alias("name"),
+            F.count(F.lit(1)).alias("rows"),
+            *ends,
+        )
+        return files.select(
+            F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("file"),
+            F.get("parts", F.lit(0)).alias("part"),
+            "rows", "bytes", "low", "high",
         )
 
     def mark_of(self, writer: str) -> int:
@@ -221,9 +238,11 @@ class Snapshots:
 
     def _commit(self, base: int, stays: DataFrame | None, add: DataFrame | None, schema,
                 mark: tuple[str, int] | None = None) -> int:
-        held = self.spark.createDataFrame([], self._manifest_schema(schema))
-        for more in (stays, self._written(add) if add is not None else None):
-            held = held if more is None else held.unionByName(more)
+        held = stays
+        if add is not None:
+            held = self._written(add) if held is None else held.unionByName(self._written(add))
+        if held is None:
+            held = self.spark.createDataFrame([], self._manifest_schema(schema))
         name = uuid.uuid4().hex
         held.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
         marks = {**(self._entry(base).get("marks", {}) if base else {}), **dict([mark] if mark else [])}
