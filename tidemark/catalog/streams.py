@@ -69,7 +69,7 @@ def _disordered(s, d):
     late = F.col("event_id") % 5 == 0
     order = F.dayofyear("ts") + F.when(late, (F.col("event_id") % 7) * 4).otherwise(0)
     lot = F.least(F.floor(order / 8), F.lit(5)).cast("int")
-    events.withColumn("lot", lot).repartition("lot").sortWithinPartitions("lot").write.partitionBy("lot").parquet(path)
+    events.withColumn("lot", lot).write.partitionBy("lot").parquet(path)
     return path
 
 
