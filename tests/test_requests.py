@@ -235,3 +235,13 @@ def test_only_reached_hours_are_opened(spark):
     assert empty[("x", 1000)] == 0 and ("y", 5) not in empty
     offsets = {(r["series"], r["bucket"] - base): (r["_offset"], r["_total"]) for r in hours}
     assert offsets[("", 20)] == (1900, 4000) and offsets[("x", 8)] == (1550, 2000)
+
+
+def test_documents_from_texts_equal_those_from_records(spark, sf):
+    from tidemark.catalog.tables import events, requests_at
+
+    parsed, readings = requests_at(spark, sf), events(spark, sf)
+    records = Q.to_documents(parsed, Q.batch_latest(parsed, readings))
+    texts = Q.batch_latest(parsed, Q.with_text(readings), carried=["text"])
+    assert texts.columns == ["request_id", "rn", "id", "device_id", "text"]
+    assert sorted(records.collect()) == sorted(Q.to_documents(parsed, texts).collect())

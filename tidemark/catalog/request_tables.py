@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.tables import READINGS_SQL, REQUESTS_SQL, events, plain, requests_at
 from tidemark.operators import requests as B
+from tidemark.session import written
 
 CATALOG: dict = {}
 
@@ -15,36 +16,46 @@ def add(name: str, query, sql: str | None) -> None:
     CATALOG[name] = (query, prefix + sql if sql else None)
 
 
-def _hits(s, d):
-    return B.batch_latest(requests_at(s, d), events(s, d))
+DOCUMENT = (
+    "data array<struct<id string, timestamp string, value double, metadata struct<k string>>>, "
+    "meta struct<count bigint, `limit` bigint, device_id string, reading_type string>"
+)
 
 
-def _documents(s, d):
-    doc = B.to_documents(requests_at(s, d), _hits(s, d))
+def _parsed(s, d):
+    """Requests are parsed once; several steps read them."""
+    return written(requests_at(s, d), "parsed-requests")
 
-    def field(path):
-        return F.get_json_object("document", path)
 
-    parsed = F.from_json("document", "data array<struct<id string, timestamp string, value double, metadata struct<k bigint>>>")
-    records = parsed["data"]
+def _outcomes(s, d):
+    parsed = _parsed(s, d)
+    return B.request_outcome(parsed, B.batch_latest(parsed, events(s, d)))
+
+
+def _documents(s, d):
+    parsed = _parsed(s, d)
+    hits = B.batch_latest(parsed, B.with_text(events(s, d)), carried=["text"])
+    doc = B.to_documents(parsed, hits).select("request_id", F.from_json("document", DOCUMENT).alias("doc"))
+    meta, records = F.col("doc.meta"), F.col("doc.data")
+    first = F.get(records, F.lit(0))
     return doc.select(
         "request_id",
-        field("$.meta.count").cast("bigint").alias("count"),
-        field("$.meta.limit").cast("bigint").alias("limit"),
-        field("$.meta.device_id").alias("device_id"),
-        field("$.meta.reading_type").alias("reading_type"),
-        field("$.data[0].id").alias("first_id"),
-        field("$.data[0].timestamp").alias("first_timestamp"),
-        field("$.data[0].value").cast("double").alias("first_value"),
-        field("$.data[0].metadata.k").alias("first_k"),
-        field("$.data[1].id").alias("second_id"),
+        meta["count"].alias("count"),
+        meta["limit"].alias("limit"),
+        meta["device_id"].alias("device_id"),
+        meta["reading_type"].alias("reading_type"),
+        first["id"].alias("first_id"),
+        first["timestamp"].alias("first_timestamp"),
+        first["value"].alias("first_value"),
+        first["metadata"]["k"].alias("first_k"),
+        F.get(records, F.lit(1))["id"].alias("second_id"),
         F.array_join(F.transform(records, lambda r: r["id"]), ",").alias("ids"),
         F.array_join(F.transform(records, lambda r: r["timestamp"]), ",").alias("stamps"),
         F.aggregate(
             records, F.lit(0).cast("bigint"), lambda n, r: n + F.round(r["value"] * 100).cast("bigint")
         ).alias("cents"),
         F.aggregate(
-            records, F.lit(0).cast("bigint"), lambda n, r: n + F.coalesce(r["metadata"]["k"], F.lit(0))
+            records, F.lit(0).cast("bigint"), lambda n, r: n + F.coalesce(r["metadata"]["k"].try_cast("bigint"), F.lit(0))
         ).alias("sum_k"),
     )
 
@@ -81,9 +92,9 @@ add("lookup_by_id", lambda s, d: plain(B.lookup_ids(requests_at(s, d), events(s,
     ELSE 'OK' END AS outcome, r.device_id, r.ts, r.reading_type, r.value, r.unit, r.metadata
     FROM checked q LEFT JOIN readings r ON q.error_param IS NULL AND r.id = q.row_id
     WHERE q.mode = 'id'""")
-add("latest_for_requests", lambda s, d: plain(_hits(s, d).drop("unit", "metadata")),
+add("latest_for_requests", lambda s, d: plain(B.batch_latest(_parsed(s, d), events(s, d), carried=["ts", "reading_type", "value"])),
     "SELECT request_id, CAST(rn AS INTEGER) AS rn, id, device_id, ts, reading_type, value FROM answers")
-add("request_outcomes", lambda s, d: B.request_outcome(requests_at(s, d), _hits(s, d)),
+add("request_outcomes", _outcomes,
     f"""SELECT q.request_id, {OUTCOME} AS outcome, coalesce(c.n, 0) AS row_count
     FROM checked q LEFT JOIN (SELECT request_id, count(*) AS n FROM answers GROUP BY 1) c USING (request_id)
     WHERE mode = 'device' OR mode IS NULL""")

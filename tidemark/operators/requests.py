@@ -94,7 +94,7 @@ def lookup_ids(parsed: DataFrame, readings: DataFrame) -> DataFrame:
 
 def _series(readings: DataFrame) -> DataFrame:
     """Each reading under its own type and, as ``series`` '', under its device alone."""
-    return readings.select(*READING_COLUMNS, F.explode(_both()).alias("series"))
+    return readings.select("*", F.explode(_both()).alias("series"))
 
 
 def _both() -> Column:
@@ -105,9 +105,12 @@ def _bucket(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts) / seconds)
 
 
-def batch_latest(parsed: DataFrame, readings: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def batch_latest(
+    parsed: DataFrame, readings: DataFrame, bucket_seconds: int = 3600, carried: list[str] | None = None
+) -> DataFrame:
     """The newest ``limit`` readings of every valid device request, with their rank ``rn``.
 
+    ``carried`` names the columns of ``readings`` that come with the id, if not a whole record.
     Requests without ``to`` share one ranking of at most 500 readings per series. Requests with
     ``to`` are answered by position, so that many requests on one busy device never meet all
     of its readings; see ``_bounded``. They count the readings of every hour, but take no more
@@ -127,26 +130,30 @@ def batch_latest(parsed: DataFrame, readings: DataFrame, bucket_seconds: int = 3
         "requests",
     )
     keys = ["device_id", "series"]
+    carried = list(RECORD) if carried is None else carried
+    readings = readings.select(*dict.fromkeys([*READING_COLUMNS[:4], *carried]))
     edge = asked.agg(F.unix_micros(F.max("to_ts")).alias("edge")).first()["edge"]
     newest = _newest(
-        asked.where("to_ts is null"), keep_matching(_series(readings), asked.where("to_ts is null"), keys)
+        asked.where("to_ts is null"),
+        keep_matching(_series(readings), asked.where("to_ts is null"), keys),
+        carried,
     )
     if edge is None:
         return newest
     ended = asked.where("to_ts is not null")
     before = readings.where(F.col("ts") <= F.timestamp_micros(F.lit(edge)))
-    bounded = _bounded(ended, before, bucket_seconds)
+    bounded = _bounded(ended, before, bucket_seconds, carried)
     return newest.unionByName(bounded)
 
 
-def _newest(asked: DataFrame, series: DataFrame) -> DataFrame:
+def _newest(asked: DataFrame, series: DataFrame, carried: list[str]) -> DataFrame:
     order = Window.partitionBy("device_id", "series").orderBy(F.desc("ts"), F.desc("id"))
     top = series.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= MAX_LIMIT)
     inside = (F.col("rn") <= F.col("limit")) & (
         F.col("from_ts").isNull() | (F.col("ts") >= F.col("from_ts"))
     )
     return top.join(asked, ["device_id", "series"]).where(inside).select(
-        "request_id", "rn", "id", "device_id", *RECORD
+        "request_id", "rn", "id", "device_id", *carried
     )
 
 
@@ -188,7 +195,9 @@ def reached_hours(questions: DataFrame, readings: DataFrame, bucket_seconds: int
     return placed.select(*keys, "bucket", "_in", "_offset", "_total", is_open.alias("_open"))
 
 
-def _bounded(asked: DataFrame, readings: DataFrame, bucket_seconds: int) -> DataFrame:
+def _bounded(
+    asked: DataFrame, readings: DataFrame, bucket_seconds: int, carried: list[str]
+) -> DataFrame:
     """Positions of the wanted readings in their series, newest first.
 
     Bounds are placed between the readings as marks: a ``to`` mark before readings of the same
@@ -241,7 +250,7 @@ def _bounded(asked: DataFrame, readings: DataFrame, bucket_seconds: int) -> Data
         .where(last > F.col("_after"))
         .select(*question, "_after", F.explode(F.sequence(F.col("_after") + 1, last)).alias("pos"))
     )
-    rows = placed.where("place = 1").select(*keys, "pos", "id", *RECORD)
+    rows = placed.where("place = 1").select(*keys, "pos", "id", *carried)
     answers = picks.join(rows, [*keys, "pos"]).withColumn(
         "rn", (F.col("pos") - F.col("_after")).cast("int")
     )
@@ -253,7 +262,7 @@ def _bounded(asked: DataFrame, readings: DataFrame, bucket_seconds: int) -> Data
     same = F.col("rn") <= F.col("_limit")
     for c in question:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return answers.join(who, same).select("request_id", "rn", "id", "device_id", *RECORD)
+    return answers.join(who, same).select("request_id", "rn", "id", "device_id", *carried)
 
 
 def request_outcome(parsed: DataFrame, hits: DataFrame) -> DataFrame:
@@ -290,12 +299,20 @@ def _record() -> Column:
     )
 
 
+def with_text(readings: DataFrame) -> DataFrame:
+    """Readings with the JSON ``text`` of their record, written once however often it is asked for."""
+    return readings.withColumn("text", F.to_json(_record()))
+
+
 def to_documents(parsed: DataFrame, hits: DataFrame) -> DataFrame:
     """One JSON document per successful device request, readings newest first.
 
+    Hits bring the ``text`` of their records (``with_text``) or the records themselves.
+
     A document holds at most 500 readings by the request rules, so a group stays small.
     """
-    items = hits.select("request_id", F.struct("rn", F.to_json(_record()).alias("text")).alias("item"))
+    text = F.col("text") if "text" in hits.columns else F.to_json(_record())
+    items = hits.select("request_id", F.struct("rn", text.alias("text")).alias("item"))
     grouped = items.groupBy("request_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     known = F.col("items").isNotNull() | F.col("from_ts").isNotNull() | F.col("to_ts").isNotNull()
     meta = F.struct(

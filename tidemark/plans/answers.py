@@ -11,6 +11,7 @@ from tidemark.operators.requests import (
     to_documents,
     to_record_documents,
     validate_requests,
+    with_text,
 )
 from tidemark.session import written
 
@@ -20,7 +21,7 @@ def answer_requests(req: DataFrame, readings: DataFrame) -> tuple[DataFrame, Dat
     parsed = validate_requests(req)
     found = lookup_ids(parsed, readings)
     # Read for the outcomes and for the documents.
-    hits = written(batch_latest(parsed, readings), "hits")
+    hits = written(batch_latest(parsed, with_text(readings), carried=["text"]), "hits")
     by_device = request_outcome(parsed, hits).select("request_id", "outcome")
     outcomes = by_device.unionByName(found.select("request_id", "outcome"))
     documents = to_documents(parsed, hits).unionByName(to_record_documents(found))
