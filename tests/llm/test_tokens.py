@@ -48,6 +48,56 @@ def test_words_learned_together():
         assert [f.tolist() for f in found] == want[k : k + 900]
 
 
+class Asked(tokens.Numbers):
+    """Counts how often a number is asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.times = 0
+
+    def __getitem__(self, word):
+        self.times += 1
+        return super().__getitem__(word)
+
+
+def test_a_batch_asks_once_for_a_word():
+    own = tokens.WordEncoder(WORD)
+    own.at = Asked()
+    found = own.encode([b"the quick fox, " * 2000, b"The quick " * 3000, b""])
+    assert own.at.times <= 6 and list(map(len, found)) == [8000, 6000, 0]
+
+
+def test_simple_words_go_to_the_merges():
+    """Only words with other characters are normalised and split by the tokenizer's rules."""
+    library, own = Tokenizer.from_file(WORD), tokens.WordEncoder(WORD)
+    rng, by_rules = random.Random(8), []
+    joined = own._joined
+    own._joined = lambda words: by_rules.extend(words) or joined(words)
+    letters = "abcdeinorstußàéñöøÿ"
+    texts = ["".join(rng.choices(letters + letters[:-1].upper() + "   ", k=400)) for _ in range(200)]
+    marks = "".join(map(chr, range(33, 127))).replace("<", "").lower() + ".,"
+    texts += ["".join(rng.choices(marks + "stmdrevlß ", k=400)) for _ in range(100)]
+    texts += ["it's I'LL don''t 'RE've 'x's' 's'", "1234.5,6 a1b2 ''s"]
+    texts += ["x" * 5000 + " ÿ", "ab 日本 Straße straße\u0301 e\u0301", "µ ªº ÷ ×a <|endoftext|> ab", "a's 1b"]
+    found = own.encode([t.encode() for t in texts])
+    assert [f.tolist() for f in found] == [
+        library.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+    assert len(own.at) > 5000 and len(by_rules) < 20
+
+
+def test_stops_are_set_apart_within_their_text():
+    library, own = Tokenizer.from_file(WORD), tokens.WordEncoder(WORD)
+    texts = [".", ".a", "é", ". b", "a.", ",", "b,\n", "c.\n\n", "ÿ. ÷. ß, 1. A. a.b. x.,", "日本 a. é, B.", "",
+             "<| a. b,", "a.\t", "Ö,", "a,"]
+    found = own.encode([t.encode() for t in texts])
+    assert [f.tolist() for f in found] == [
+        library.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+    assert {b"a", b"."} <= set(own.at) and b"a.b" in own.at and b"1." in own.at
+    assert {b"B.", b"b,"} <= set(own.at)  # of texts that are not changed
+
+
 def brute_pieces(rows):
     library, out = Tokenizer.from_file(WORD), []
     for d, t in rows:
