@@ -245,3 +245,68 @@ def test_documents_from_texts_equal_those_from_records(spark, sf):
     texts = Q.batch_latest(parsed, Q.with_text(readings), carried=["text"])
     assert texts.columns == ["request_id", "rn", "id", "device_id", "text"]
     assert sorted(records.collect()) == sorted(Q.to_documents(parsed, texts).collect())
+
+
+def hits_of(spark, parsed, readings, listed):
+    if listed:
+        out = Q.batch_latest(parsed, readings, listed="text").collect()
+        return sorted((r["request_id"], i + 1, t) for r in out for i, t in enumerate(r["text"]))
+    out = Q.batch_latest(parsed, readings, carried=["text"]).collect()
+    return sorted((r["request_id"], r["rn"], r["text"]) for r in out)
+
+
+@pytest.mark.parametrize("bounds", [("from", "to"), ("from",)])
+def test_lists_equal_rows(spark, monkeypatch, bounds):
+    """Also where a list runs into the next block, and where blocks are copied."""
+    monkeypatch.setattr(Q, "BLOCK", 500)
+    monkeypatch.setattr(Q, "CROWD", 3)
+    rng = random.Random(len(bounds))
+    rows = some_readings(rng) + [(9000 + i, "d1", None, "humidity", Decimal(i), "u", None) for i in range(3)]
+    cases = [dict(device_id="hot", limit="500", to="2024-01-01T05:00:00Z")] if "to" in bounds else []
+    for _ in range(120):
+        case = dict(device_id=rng.choice(["hot", "hot", "d1", "nobody"]), limit=str(rng.choice([1, 10, 300, 500])))
+        if rng.random() < 0.4:
+            case["reading_type"] = rng.choice(["temperature", "other"])
+        a, b = sorted(rng.randint(-20, 620) for _ in range(2))
+        for bound, minute in (("from", a), ("to", b)):
+            if bound in bounds and rng.random() < 0.7:
+                case[bound] = (T0 + datetime.timedelta(minutes=minute)).strftime("%Y-%m-%dT%H:%M:%SZ")
+        cases.append(case)
+    parsed = Q.validate_requests(table(spark, cases))
+    readings = Q.with_text(spark.createDataFrame(rows, READ))
+    want = hits_of(spark, parsed, readings, listed=False)
+    assert want and hits_of(spark, parsed, readings, listed=True) == want
+    lists = Q.batch_latest(parsed, readings, listed="text")
+    assert lists.count() == len(cases)
+
+
+def test_documents_of_repeated_and_null_request_ids(spark):
+    """Requests of one id share their readings; those without an id have none."""
+    rows = some_readings(random.Random(8), 200)
+    cases = [
+        dict(device_id="hot", limit="3"),
+        dict(device_id="d1", limit="2"),
+        dict(device_id="hot", limit="4", to="2024-01-01T05:00:00Z"),
+        dict(device_id="nobody", to="2024-01-01T05:00:00Z"),
+        dict(device_id="nobody"),
+        dict(device_id="hot", reading_type="humidity"),
+        dict(device_id="hot", limit="2", **{"from": "2024-01-01T01:00:00Z"}),
+        dict(id="7"),
+    ]
+    ids = {0: 1, 1: 1, 2: 2, 3: 3, 4: 1, 5: None, 6: None, 7: 2}
+    request_id = F.create_map(*[F.lit(v) for kv in ids.items() for v in kv])[F.col("request_id")].cast("bigint")
+    parsed = Q.validate_requests(table(spark, cases).withColumn("request_id", request_id))
+    readings = Q.with_text(spark.createDataFrame(rows, READ))
+    by_rows = Q.to_documents(parsed, Q.batch_latest(parsed, readings, carried=["text"])).collect()
+    by_lists = Q.to_documents(parsed, Q.batch_latest(parsed, readings, listed="text")).collect()
+    assert sorted(map(repr, by_lists)) == sorted(map(repr, by_rows))
+    sizes = sorted((str(r["request_id"]), json.loads(r["document"])["meta"]["count"]) for r in by_lists)
+    assert sizes == [("1", 5), ("1", 5), ("1", 5), ("2", 4), ("3", 0), ("None", 0)]
+
+
+def test_documents_are_not_shuffled(spark, sf):
+    """The texts of a request, up to 500, stay where its list is cut."""
+    from tidemark.catalog.request_tables import CATALOG
+
+    plan = CATALOG["response_documents"][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(request_id" not in plan

@@ -34,7 +34,7 @@ def _outcomes(s, d):
 
 def _documents(s, d):
     parsed = _parsed(s, d)
-    hits = B.batch_latest(parsed, B.with_text(events(s, d)), carried=["text"])
+    hits = B.batch_latest(parsed, B.with_text(events(s, d)), listed="text")
     doc = B.to_documents(parsed, hits).select("request_id", F.from_json("document", DOCUMENT).alias("doc"))
     meta, records = F.col("doc.meta"), F.col("doc.data")
     first = F.get(records, F.lit(0))

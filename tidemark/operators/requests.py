@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import BROADCAST_ROWS, checked, keep_matching
+from tidemark.functions.joins import BROADCAST_ROWS, checked, keep_matching, on_same
 from tidemark.functions.text import (
     DEVICE_PATTERN,
     TYPE_PATTERN,
@@ -25,6 +25,8 @@ from tidemark.spec import READING_COLUMNS
 DEFAULT_LIMIT = 10
 MAX_LIMIT = 500
 RECORD = READING_COLUMNS[2:]
+BLOCK = 1000
+CROWD = 5000
 
 
 def validate_requests(req: DataFrame) -> DataFrame:
@@ -106,49 +108,64 @@ def _bucket(ts: str, seconds: int) -> Column:
 
 
 def batch_latest(
-    parsed: DataFrame, readings: DataFrame, bucket_seconds: int = 3600, carried: list[str] | None = None
+    parsed: DataFrame,
+    readings: DataFrame,
+    bucket_seconds: int = 3600,
+    carried: list[str] | None = None,
+    listed: str | None = None,
 ) -> DataFrame:
     """The newest ``limit`` readings of every valid device request, with their rank ``rn``.
 
     ``carried`` names the columns of ``readings`` that come with the id, if not a whole record.
     Requests without ``to`` share one ranking of at most 500 readings per series. Requests with
     ``to`` are answered by position, so that many requests on one busy device never meet all
-    of its readings; see ``_bounded``. They count the readings of every hour, but take no more
+    of its readings; see ``_spans``. They count the readings of every hour, but take no more
     of them than the hours that some request can reach. The parsed requests are written once,
     because several steps read them.
+
+    With ``listed``, a column of ``readings``, the answer is instead one row per request, with
+    the values of that column in the order of their ranks; see ``_lists``.
     """
     valid = parsed.where((F.col("mode") == "device") & F.col("error_code").isNull())
-    asked = written(
-        valid.select(
-            "request_id",
-            "device_id",
-            F.coalesce("reading_type", F.lit("")).alias("series"),
-            F.col("limit"),
-            "from_ts",
-            "to_ts",
-        ),
-        "requests",
+    asked = valid.select(
+        "request_id",
+        "device_id",
+        F.coalesce("reading_type", F.lit("")).alias("series"),
+        F.col("limit"),
+        "from_ts",
+        "to_ts",
     )
+    asked = written(_with_alone(asked) if listed else asked, "requests")
     keys = ["device_id", "series"]
-    carried = list(RECORD) if carried is None else carried
+    carried = [listed] if listed else list(RECORD) if carried is None else carried
     readings = readings.select(*dict.fromkeys([*READING_COLUMNS[:4], *carried]))
     edge = asked.agg(F.unix_micros(F.max("to_ts")).alias("edge")).first()["edge"]
-    newest = _newest(
-        asked.where("to_ts is null"),
-        keep_matching(_series(readings), asked.where("to_ts is null"), keys),
-        carried,
-    )
+    latest = asked.where("to_ts is null")
+    top = _top(keep_matching(_series(readings), latest, keys))
     if edge is None:
-        return newest
+        return _lists(latest, top, None, None, listed) if listed else _newest(latest, top, carried)
     ended = asked.where("to_ts is not null")
     before = readings.where(F.col("ts") <= F.timestamp_micros(F.lit(edge)))
-    bounded = _bounded(ended, before, bucket_seconds, carried)
-    return newest.unionByName(bounded)
+    spans, rows = _spans(ended, before, bucket_seconds, carried)
+    if listed:
+        return _lists(asked, top, spans, rows, listed)
+    return _newest(latest, top, carried).unionByName(_bounded(ended, spans, rows, carried))
 
 
-def _newest(asked: DataFrame, series: DataFrame, carried: list[str]) -> DataFrame:
+def _with_alone(asked: DataFrame) -> DataFrame:
+    """Whether a request is the only one with its ``request_id``, which is not null."""
+    counts = asked.groupBy("request_id").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    return asked.join(counts, "request_id", "left").withColumn(
+        "alone", F.coalesce("alone", F.lit(False))
+    )
+
+
+def _top(series: DataFrame) -> DataFrame:
     order = Window.partitionBy("device_id", "series").orderBy(F.desc("ts"), F.desc("id"))
-    top = series.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= MAX_LIMIT)
+    return series.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= MAX_LIMIT)
+
+
+def _newest(asked: DataFrame, top: DataFrame, carried: list[str]) -> DataFrame:
     inside = (F.col("rn") <= F.col("limit")) & (
         F.col("from_ts").isNull() | (F.col("ts") >= F.col("from_ts"))
     )
@@ -157,6 +174,94 @@ def _newest(asked: DataFrame, series: DataFrame, carried: list[str]) -> DataFram
     )
 
 
+def _lists(
+    asked: DataFrame, top: DataFrame, spans: DataFrame | None, rows: DataFrame | None, listed: str
+) -> DataFrame:
+    """One row per request: its columns, ``alone``, and the ``listed`` values of its readings.
+
+    The values of a series are gathered once, in blocks of ``BLOCK`` positions and the 500 that
+    follow, so the list of a request lies in the block of its first position and is cut out of
+    it where the two meet: the answers, many times the readings, are never shuffled. A block
+    that more than ``CROWD`` requests want is copied for every so many of them.
+    """
+    question = ["device_id", "series", "from_ts", "to_ts"]
+    place = ["device_id", "series", "_ended", "block"]
+    number = F.col("limit").cast("bigint")
+    wanted = asked.where("to_ts is null").select(
+        "*",
+        F.lit(False).alias("_ended"),
+        F.lit(0).cast("bigint").alias("_after"),
+        number.alias("_most"),
+    )
+    # Where the series were too many for ``keep_matching``, rows that nobody asks for end here.
+    asked_for = wanted.select("device_id", "series").distinct()
+    values = top.join(asked_for, ["device_id", "series"], "left_semi").select(
+        "device_id",
+        "series",
+        F.lit(False).alias("_ended"),
+        F.col("rn").cast("bigint").alias("pos"),
+        "ts",
+        listed,
+    )
+    if spans is not None:
+        ended = on_same(asked.where("to_ts is not null"), spans, question, "left").select(
+            *asked.columns,
+            F.lit(True).alias("_ended"),
+            "_after",
+            F.least(F.col("_last") - F.col("_after"), number).alias("_most"),
+        )
+        wanted = wanted.unionByName(ended)
+        values = values.unionByName(
+            rows.select(
+                "device_id",
+                "series",
+                F.lit(True).alias("_ended"),
+                "pos",
+                F.lit(None).cast("timestamp").alias("ts"),
+                listed,
+            )
+        )
+    block = F.floor(F.col("_after") / BLOCK)
+    wanted = written(wanted.withColumn("block", block), "wanted")
+    crowded = (
+        wanted.groupBy(*place)
+        .agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("_copies"))
+        .where("_copies > 1 and block is not null")
+    )
+    copies = F.coalesce("_copies", F.lit(1))
+    own = F.floor((F.col("pos") - 1) / BLOCK)
+    follows = (own > 0) & ((F.col("pos") - 1) % BLOCK < MAX_LIMIT)
+    item = F.struct("pos", "ts", F.col(listed).alias("value"))
+    blocks = (
+        values.withColumn("block", F.explode(F.when(follows, F.array(own, own - 1)).otherwise(F.array(own))))
+        .join(F.broadcast(crowded), place, "left")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))
+        .groupBy(*place, "_copy")
+        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
+        .select(
+            *place,
+            "_copy",
+            F.col("_items.pos").alias("_places"),
+            F.col("_items.ts").alias("_stamps"),
+            F.col("_items.value").alias("_values"),
+        )
+    )
+    start = F.array_position("_places", F.col("_after") + 1).cast("int")
+    most = F.col("_most").cast("int")
+    since = F.size(F.filter(F.slice("_stamps", F.lit(1), most), lambda ts: ts >= F.col("from_ts")))
+    most = F.when(F.col("_ended") | F.col("from_ts").isNull(), most).otherwise(since)
+    none = F.array().cast(f"array<{top.schema[listed].dataType.simpleString()}>")
+    return (
+        wanted.join(F.broadcast(crowded), place, "left")
+        .withColumn("_copy", F.pmod(F.xxhash64("request_id"), copies))
+        .join(blocks, [*place, "_copy"], "left")
+        .select(
+            *asked.columns,
+            F.when(start > 0, F.slice("_values", start, most)).otherwise(none).alias(listed),
+        )
+    )
+
+
 def reached_hours(questions: DataFrame, readings: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """Time buckets of the asked series that hold a reading or a bound of a question.
 
@@ -195,19 +300,18 @@ def reached_hours(questions: DataFrame, readings: DataFrame, bucket_seconds: int
     return placed.select(*keys, "bucket", "_in", "_offset", "_total", is_open.alias("_open"))
 
 
-def _bounded(
+def _spans(
     asked: DataFrame, readings: DataFrame, bucket_seconds: int, carried: list[str]
-) -> DataFrame:
-    """Positions of the wanted readings in their series, newest first.
+) -> tuple[DataFrame, DataFrame]:
+    """(positions that each question wants, readings at their positions), newest first.
 
     Bounds are placed between the readings as marks: a ``to`` mark before readings of the same
     instant, a ``from`` mark after them. Readings and marks alike are numbered within their
     (series, time bucket) behind the number of later readings, which ``reached_hours`` tells;
     only open buckets are read, broadcast against the readings while they are few. A ``from``
     mark in a closed bucket lies beyond its question's limit, wherever it is in the bucket. A
-    question then wants the positions after its ``to`` mark, up to its limit and its ``from``
-    mark, and picks them by equality, so the join emits exactly the result. Equal questions are
-    answered once.
+    question then wants the positions after its ``to`` mark, ``_after``, up to its limit and
+    its ``from`` mark, ``_last``. Equal questions are answered once.
     """
     keys = ["device_id", "series"]
     question = [*keys, "from_ts", "to_ts"]
@@ -238,7 +342,7 @@ def _bounded(
         "pos", F.sum("_one").over(local.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_offset")
     )
     last = F.least(F.col("_after") + F.col("_most"), F.coalesce("_upto", "_total"))
-    picks = (
+    spans = (
         placed.where("place <> 1")
         .groupBy(*question)
         .agg(
@@ -248,9 +352,17 @@ def _bounded(
             F.max("_most").alias("_most"),
         )
         .where(last > F.col("_after"))
-        .select(*question, "_after", F.explode(F.sequence(F.col("_after") + 1, last)).alias("pos"))
+        .select(*question, "_after", last.alias("_last"))
     )
-    rows = placed.where("place = 1").select(*keys, "pos", "id", *carried)
+    return spans, placed.where("place = 1").select(*keys, "pos", "id", *carried)
+
+
+def _bounded(asked: DataFrame, spans: DataFrame, rows: DataFrame, carried: list[str]) -> DataFrame:
+    """Questions pick their positions by equality, so the join emits exactly the result."""
+    keys = ["device_id", "series"]
+    question = [*keys, "from_ts", "to_ts"]
+    positions = F.sequence(F.col("_after") + 1, F.col("_last"))
+    picks = spans.select(*question, "_after", F.explode(positions).alias("pos"))
     answers = picks.join(rows, [*keys, "pos"]).withColumn(
         "rn", (F.col("pos") - F.col("_after")).cast("int")
     )
@@ -307,32 +419,52 @@ def with_text(readings: DataFrame) -> DataFrame:
 def to_documents(parsed: DataFrame, hits: DataFrame) -> DataFrame:
     """One JSON document per successful device request, readings newest first.
 
-    Hits bring the ``text`` of their records (``with_text``) or the records themselves.
+    Hits bring the ``text`` of their records (``with_text``) or the records themselves. They
+    come as rows, or as the lists of ``batch_latest``: a list is then its request's document,
+    without a shuffle, unless the ``request_id`` is null or that of several requests.
 
     A document holds at most 500 readings by the request rules, so a group stays small.
     """
-    text = F.col("text") if "text" in hits.columns else F.to_json(_record())
-    items = hits.select("request_id", F.struct("rn", text.alias("text")).alias("item"))
+    valid = parsed.where((F.col("mode") == "device") & F.col("error_code").isNull())
+    if "alone" not in hits.columns:
+        text = F.col("text") if "text" in hits.columns else F.to_json(_record())
+        return _documents(valid, hits.select("request_id", F.struct("rn", text.alias("text")).alias("item")))
+    single = hits.where("alone").withColumnRenamed("series", "reading_type")
+    documents = single.where(_known(F.size("text") > 0)).select("request_id", _document(F.col("text")))
+    shared = valid.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = shared.where("n > 1 or request_id is null").select("request_id")
+    if shared.isEmpty():
+        return documents
+    several = hits.where(~F.col("alone")).select("request_id", F.posexplode("text").alias("rn", "text"))
+    items = several.select("request_id", F.struct("rn", "text").alias("item"))
+    rest = on_same(valid, shared, ["request_id"], "left_semi")
+    return documents.unionByName(_documents(rest, items))
+
+
+def _documents(valid: DataFrame, items: DataFrame) -> DataFrame:
     grouped = items.groupBy("request_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    known = F.col("items").isNotNull() | F.col("from_ts").isNotNull() | F.col("to_ts").isNotNull()
+    texts = F.coalesce(F.col("items.text"), F.array().cast("array<string>"))
+    return (
+        valid.join(grouped, "request_id", "left")
+        .where(_known(F.col("items").isNotNull()))
+        .select("request_id", _document(texts))
+    )
+
+
+def _known(answered: Column) -> Column:
+    return answered | F.col("from_ts").isNotNull() | F.col("to_ts").isNotNull()
+
+
+def _document(texts: Column) -> Column:
     meta = F.struct(
-        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("count"),
+        F.size(texts).cast("bigint").alias("count"),
         F.col("limit"),
         "device_id",
         F.coalesce("reading_type", F.lit("")).alias("reading_type"),
     )
-    data = F.coalesce(F.array_join(F.col("items.text"), ","), F.lit(""))
-    return (
-        parsed.where((F.col("mode") == "device") & F.col("error_code").isNull())
-        .join(grouped, "request_id", "left")
-        .where(known)
-        .select(
-            "request_id",
-            F.concat(
-                F.lit('{"data":['), data, F.lit('],"meta":'), F.to_json(meta), F.lit("}")
-            ).alias("document"),
-        )
-    )
+    return F.concat(
+        F.lit('{"data":['), F.array_join(texts, ","), F.lit('],"meta":'), F.to_json(meta), F.lit("}")
+    ).alias("document")
 
 
 def to_record_documents(found: DataFrame) -> DataFrame:
