@@ -158,8 +158,11 @@ def daily_of(counted: DataFrame, precision: int, scale: int, large_rows: int = S
 
 
 def _daily_of_small(counted: DataFrame, precision: int, scale: int) -> DataFrame:
-    """Dealt over as many tasks as the rows need, so that a task's memory does not grow with them."""
-    tasks = counted.count() // TASK_ROWS + 1
+    """Dealt over as many tasks as the rows need, so that a task's memory does not grow with them.
+
+    Two at least: with one, Spark gathers the rows instead of dealing them by the key.
+    """
+    tasks = max(2, counted.count() // TASK_ROWS + 1)
     merged = merge(counted, [*DAILY_KEY, "v"], by=[tasks, *DAILY_KEY])
     placed = ranks_of_counts(merged, DAILY_KEY, F.col("v"), F.col("rows"), list(PERCENTS))
     sums = placed.groupBy(*DAILY_KEY).agg(
